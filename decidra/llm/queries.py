@@ -17,6 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.rans import token_stream
+
+    return token_stream(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.mixing import mix_schedule
+
+    return mix_schedule(table(spark, sf_dir, "documents"), max_repeat=2.0)
+
+
+def op4_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.line_dedup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "pages"), ratio=0.2, min_pages=3)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decidra.llm.exact_dedup import exact_groups
 
@@ -30,6 +48,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_rans_tokens": op2_rans_tokens,
+    "op3_temperature_mixing": op3_temperature_mixing,
+    "op4_site_line_dedup": op4_site_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -42,4 +63,43 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+#: With a repetition limit alone, alpha has a closed form: the smallest source is repeated as often as the limit allows.
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) + 1 AS n_tokens,
+         ('0x' || md5('17|' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT % 1024 AS block
+  FROM documents
+), b AS (SELECT source, block, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL
+), t AS (SELECT source, sum(tokens)::BIGINT AS total FROM b GROUP BY ALL
+), a AS (SELECT round(greatest(0, CASE WHEN min(total) = max(total) THEN 0 ELSE 1 - ln(2.0::DOUBLE) / (ln(max(total)::DOUBLE) - ln(min(total)::DOUBLE)) END), 12) AS alpha, max(total) AS most, sum(total) AS everything FROM t
+), w AS (SELECT source, total, exp(alpha * ln(total::DOUBLE / everything)) AS raw, floor(round(exp((alpha - 1) * (ln(total::DOUBLE) - ln(most::DOUBLE))), 9) * total)::BIGINT AS budget FROM t, a
+), p AS (SELECT source, total, round(raw / sum(raw) OVER (), 9) AS weight, budget // total AS passes, budget % total AS rest FROM w
+), e AS (
+  SELECT b.*, p.total, p.weight, p.passes, p.rest, unnest(range(0, passes + 1)) AS copy FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source
+), o AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source, copy ORDER BY ('0x' || md5('17|' || copy || '|' || coalesce(source, 'null') || '|' || block)[1:8])::BIGINT, block ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM e
+)
+SELECT d.doc_id, d.source, o.copy::INT AS copy, o.block::INT AS block, (o.copy * total + upto - tokens)::BIGINT AS block_start, d.n_tokens, o.weight
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.block = o.block WHERE copy < passes OR upto <= rest
+"""
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '')) AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'),
+      '(?i)</?(?:html|head|body|title|meta|link|p|br|div|ul|ol|li|h[1-6]|table|tr|td|th|nav|header|footer|main|article|section|aside|pre|blockquote|form|hr)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines, row_number() OVER () AS r
+  FROM pages
+), t AS (SELECT host, count(*) AS pages FROM p GROUP BY ALL
+), l AS (SELECT DISTINCT r, host, unnest(lines) AS line FROM p
+), b AS (SELECT l.host, line FROM l JOIN t USING (host) GROUP BY l.host, line, pages HAVING count(*) >= 3 AND count(*) > 0.2::DOUBLE * pages
+), x AS (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM p
+), k AS (
+  SELECT r, count(b.line) AS n_dropped, string_agg(x.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL) AS kept
+  FROM x LEFT JOIN b ON x.host = b.host AND x.line = b.line GROUP BY r
+)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(kept, '') AS clean_text FROM p LEFT JOIN k USING (r)
+"""
+
+SQL: dict[str, str] = {"op3_temperature_mixing": OP3_SQL, "op4_site_line_dedup": OP4_SQL, "op8_exact_dedup": OP8_SQL}
