@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decidra.llm._common import ship
+from decidra.llm._common import new_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decidra.llm.rans import token_stream
 
@@ -35,12 +42,30 @@ def op4_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "pages"), ratio=0.2, min_pages=3)
 
 
+def op5_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.sharding import sharded_rows
+
+    return sharded_rows(table(spark, sf_dir, "documents"), new_path(spark, "shards"), target_bytes=32 << 20, least_bytes=1 << 20)
+
+
+def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decidra.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))[0]
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decidra.llm.packing import pack_documents
 
@@ -48,10 +73,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_rans_tokens": op2_rans_tokens,
     "op3_temperature_mixing": op3_temperature_mixing,
     "op4_site_line_dedup": op4_site_line_dedup,
+    "op5_tiered_shards": op5_tiered_shards,
+    "op6_additive_quantisation": op6_additive_quantisation,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
