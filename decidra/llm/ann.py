@@ -2,9 +2,9 @@
 
 Codebooks of full dimension are fitted by k-means on the residuals of a bounded sample (the `sample` vectors with the
 smallest hashes). Every vector is then encoded by a beam search: at each codebook the few best partial sums are extended
-by all its codewords, and the best again are kept. A vector is stored as its codes and its norm. Queries are scored by
-lookup tables of their products with all codewords; the best `shortlist` of each are scored exactly, in double
-precision, on the original vectors.
+by all its codewords, and the best again are kept. A vector is stored as its codes and the norm of what they decode to.
+Queries are scored by lookup tables of their products with all codewords, over that norm; the best `shortlist` of each
+are scored exactly, in double precision, on the original vectors.
 
 The stated queries are taken in groups of at most GROUP_QUERIES, each group sent to the tasks as one bounded array, and
 each pass streams all codes through the tables: no join of queries with vectors and no block of unbounded size.
@@ -92,8 +92,8 @@ def build_index(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
             rows, x = rows[keep], x[keep]
             for a in range(0, len(rows), CODE_ROWS):
                 part = x[a : a + CODE_ROWS]
-                norms = np.linalg.norm(part, axis=1)
-                codes = encode(part / norms[:, None], codebooks)
+                codes = encode(part / np.linalg.norm(part, axis=1)[:, None], codebooks)
+                norms = np.linalg.norm(codebooks[np.arange(len(codebooks)), codes].sum(1), axis=1)
                 values = [ids[rows[a : a + CODE_ROWS]].astype("<i8").tobytes(), codes.tobytes(), norms.astype("<f4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["ids", "codes", "norms"])
 
@@ -101,7 +101,7 @@ def build_index(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
 
 
 def shortlists(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, codebooks: np.ndarray, shortlist: int) -> DataFrame:
-    """Each task's best (query_id, vec_id, approx) by table lookup; queries are unit vectors."""
+    """Each task's best by table lookup: query_id and an array of (approx, vec_id); queries are unit vectors."""
     books = codebooks.shape[0]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,23 +109,25 @@ def shortlists(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, cod
         best = np.full((len(query_ids), 0), -np.inf, np.float32)
         who = np.zeros((len(query_ids), 0), np.int64)
         for batch in batches:
-            for raw_ids, raw_codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, codes = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw_codes, np.uint8).reshape(-1, books)
+            for raw_ids, raw_codes, raw_norms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, codes, norms = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw_codes, np.uint8).reshape(-1, books), np.frombuffer(raw_norms, "<f4")
                 score = tables[0][codes[:, 0]]
                 for b in range(1, books):
                     score = score + tables[b][codes[:, b]]
-                score = score.T.copy()  # codes are of unit vectors: this is the cosine, up to quantisation
+                score = score.T / np.maximum(norms, 1e-12)
                 score[query_ids[:, None] == ids[None, :]] = -np.inf
                 best, who = np.concatenate([best, score], 1), np.concatenate([who, np.broadcast_to(ids, score.shape)], 1)
                 if best.shape[1] > shortlist:
                     top = np.argpartition(-best, shortlist - 1, axis=1)[:, :shortlist]
                     best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
         for a in range(0, len(query_ids), 64):
-            q, b, w = (np.repeat(query_ids[a : a + 64], best.shape[1]), best[a : a + 64].ravel(), who[a : a + 64].ravel())
+            b, w = best[a : a + 64], who[a : a + 64]
             fine = np.isfinite(b)
-            yield pa.RecordBatch.from_arrays([pa.array(q[fine]), pa.array(w[fine]), pa.array(b[fine], pa.float32())], names=["query_id", "vec_id", "approx"])
+            each = pa.StructArray.from_arrays([pa.array(b[fine], pa.float32()), pa.array(w[fine], pa.int64())], names=["approx", "vec_id"])
+            ends = np.concatenate([[0], np.cumsum(fine.sum(1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[a : a + 64]), pa.ListArray.from_arrays(pa.array(ends), each)], names=["query_id", "found"])
 
-    return index.select("ids", "codes").mapInArrow(per_task, "query_id long, vec_id long, approx float")
+    return index.select("ids", "codes", "norms").mapInArrow(per_task, "query_id long, found array<struct<approx:float,vec_id:long>>")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -133,7 +135,7 @@ def cosine(a: Column, b: Column) -> Column:
     return total(a, b) / (F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shortlist: int = 160, sample: int = SAMPLE) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shortlist: int = 320, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found among all rows of (vec_id, embedding)."""
     spark = embeddings.sparkSession
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -161,8 +163,9 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shortlist: int
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
-    first = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    short = found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= shortlist).select("query_id", "vec_id").distinct()
+    # of a query, one short array from each task
+    merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    short = merged.select("query_id", F.explode(F.slice(F.sort_array("found", asc=False), 1, shortlist)).alias("c")).select("query_id", "c.vec_id").distinct()
     pairs = short.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).dropDuplicates(["query_id"]), "query_id").join(vectors.withColumnRenamed("embedding", "v"), "vec_id")
     fine = F.col("v").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
     scored = pairs.filter(fine).select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score"))
