@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -64,6 +66,25 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def without(documents: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """documents without the rows whose doc_id is in ids (doc_id); null ids stay.
+
+    Up to BROADCAST_ROWS ids, counted first, are broadcast; more are joined by shuffling both sides.
+    """
+    staged, _ = stage(ids.select("doc_id"), name)
+    few = staged.count() <= BROADCAST_ROWS
+    return documents.join(F.broadcast(staged) if few else staged, "doc_id", "left_anti").select(*documents.columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context cleaner drop the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8 bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -54,6 +54,12 @@ def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decidra.llm.exact_dedup import exact_groups
 
@@ -72,6 +78,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_rans_tokens": op2_rans_tokens,
@@ -79,9 +91,11 @@ QUERIES: dict[str, Query] = {
     "op4_site_line_dedup": op4_site_line_dedup,
     "op5_tiered_shards": op5_tiered_shards,
     "op6_additive_quantisation": op6_additive_quantisation,
+    "op7_ngram_join": op7_ngram_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": pipeline,
 }
 
 OP8_SQL = """

@@ -206,6 +206,19 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(per_batch, "doc_id long, score double, n_matches long, n_words long")
 
 
+def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    at = documents.columns.index(text_col)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            found = (scorer.matches(t or "") for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([scorer.score(t, n) < threshold for t, _, n in found], pa.bool_()))
+
+    return documents.mapInArrow(per_batch, documents.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
