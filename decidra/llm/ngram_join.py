@@ -14,12 +14,13 @@ Everything is exact up to collisions of 64-bit hashes; the steps only leave out
 4. Within each signature's bucket, documents are paired with the bucket's smallest, not with each other. Pairs are left
    out whose sizes, or whose numbers of tokens that anyone else has, can't reach the threshold. Each document's most
    voted pair is verified on the whole sets. Then only pairs that share a bucket and whose components still differ are
-   left, and all of those are verified too.
+   left. Of those the join emits the ones that pass a bound from bitmaps: each token flips one bit of its document's
+   bitmap, so the bits that differ are no more than the tokens that differ. All that pass are verified.
 
 Defined results: null and empty texts and texts without words have an empty set, link with nothing and are components
 of their own; shorter texts are one shingle of all their words; a null doc_id takes no part in links; rows that repeat a
-doc_id are one document, whose links are those of any of its texts; an empty table gives no rows; columns other than the
-two named are ignored.
+doc_id with its text are one document, and rows that repeat it with another text are given its component, whichever of
+its texts was joined; an empty table gives no rows; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from decidra.llm._shingles import shingle_sets
 from decidra.llm.components import components
 
 RARE = 8
+MARK_WORDS = 16  # 64-bit words of a document's parity bitmap
 EXTRA = 0.7  # of the allowed deletions, by which the first prefix is extended
 CLASS_TOKENS = 8
 SMALL = 16
@@ -140,7 +142,12 @@ def prefix_signatures(n: int, rare: np.ndarray, frequent: np.ndarray, t: Thresho
 
 
 def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
-    """From (doc_id, n_shingles, common: array of (n, token)): sig, doc_id, n, a (tokens that others hold)."""
+    """From (doc_id, n_shingles, common: array of (n, token)): sig, doc_id, n, a (tokens that others hold).
+
+    Behind a document's signatures comes one row without sig that has its bitmap, m0 to m15, over the tokens that others hold.
+    """
+    bits = 64 * MARK_WORDS
+    names = ["sig", "doc_id", "n", "a"] + [f"m{i}" for i in range(MARK_WORDS)]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -154,9 +161,12 @@ def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
                     sigs = prefix_signatures(n, mine[df <= RARE], mine[df > RARE], t)
                     if sigs and (found := np.unique(np.concatenate(sigs))).size:
                         m = len(found)
-                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(m, doc)), pa.array(np.full(m, n)), pa.array(np.full(m, len(mine)))], names=["sig", "doc_id", "n", "a"])
+                        flips = np.bincount((mix64(mine) >> U64(20)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1
+                        words = np.packbits(flips, bitorder="little").view("<i8")
+                        heads = [pa.array([*found.view(np.int64).tolist(), None], pa.int64()), *(pa.array(np.full(m + 1, v, np.int64)) for v in (doc, n, len(mine)))]
+                        yield pa.RecordBatch.from_arrays(heads + [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array([w], pa.int64())]) for w in words.tolist()], names=names)
 
-    return rows.select("doc_id", "n_shingles", "common").mapInArrow(per_batch, "sig long, doc_id long, n long, a long")
+    return rows.select("doc_id", "n_shingles", "common").mapInArrow(per_batch, "sig long, doc_id long, n long, a long, " + ", ".join(f"m{i} long" for i in range(MARK_WORDS)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -202,7 +212,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     held, held_at = stage(each.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "held")
     common = each.join(held, "token").groupBy("doc_id").agg(F.collect_list(F.struct("n", "token")).alias("common"))
     # 3. signatures
-    sigs, sigs_at = stage(_signatures(sets.select("doc_id", "n_shingles").join(common, "doc_id"), t), "signatures")
+    made, sigs_at = stage(_signatures(sets.select("doc_id", "n_shingles").join(common, "doc_id"), t), "signatures")
+    marks = [f"m{i}" for i in range(MARK_WORDS)]
+    sigs, bitmaps = made.filter("sig IS NOT NULL").select("sig", "doc_id", "n", "a"), made.filter("sig IS NULL").select("doc_id", *marks)
     drop(spark, held_at)
     release(spark)
     # 4. each document with the smallest of its buckets
@@ -219,9 +231,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
         sigs.join(heads.select("sig"), "sig", "left_semi").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed"
     )
     open_sigs, open_at = stage(placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig"), "open")
-    left = placed.join(open_sigs, "sig", "left_semi")
-    x, y = (left.select("sig", F.col("doc_id").alias(v), F.col("n").alias(f"n{v}"), F.col("a").alias(f"a{v}"), F.col("component").alias(f"c{v}")) for v in "xy")
-    apart = x.join(y, "sig").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & t.reachable(F.col("nx"), F.col("ny"), F.least("ax", "ay")))
+    left, left_at = stage(placed.join(open_sigs, "sig", "left_semi").join(bitmaps, "doc_id"), "left")
+    x, y = (left.select("sig", F.col("doc_id").alias(v), *(F.col(c).alias(f"{c}{v}") for c in ("n", "a", "component", *marks))) for v in "xy")
+    differ = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in marks), F.col("nx") - F.col("ax") + F.col("ny") - F.col("ay"))
+    near_enough = (den + num) * differ <= (den - num) * (F.col("nx") + F.col("ny"))
+    apart = x.join(y, "sig").filter((F.col("x") < F.col("y")) & (F.col("componentx") != F.col("componenty")) & t.reachable(F.col("nx"), F.col("ny"), F.least("ax", "ay")) & near_enough)
     rest, rest_at = stage(apart.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "rest")
     second, second_at = stage(_verified(rest, sets, t), "links")
     links = first.unionByName(second)
@@ -231,7 +245,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     rep_of = facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     table = rep_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     decided, _ = stage(table, "decided")
-    drop(spark, sets_at, sigs_at, heads_at, votes_at, first_at, tried_at, named_at, placed_at, open_at, rest_at, second_at, final_at)
+    drop(spark, sets_at, sigs_at, heads_at, votes_at, first_at, tried_at, named_at, placed_at, open_at, left_at, rest_at, second_at, final_at)
     release(spark)
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     key = F.when(~empty, F.col("set_key"))
