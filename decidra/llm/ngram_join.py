@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import U64, drop, mix64, release, stage
+from decidra.llm._common import U64, batch_rows, drop, mix64, release, stage
 from decidra.llm._shingles import shingle_sets
 from decidra.llm.components import components
 
+BATCH_ROWS = 1_000
 RARE = 8
 MARK_WORDS = 16  # 64-bit words of a document's parity bitmap
 EXTRA = 0.7  # of the allowed deletions, by which the first prefix is extended
@@ -190,6 +191,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (verified links of its set's representative) of every row."""
+    with batch_rows(documents.sparkSession, BATCH_ROWS):
+        return _near_duplicates(documents, k, num, den, id_col, text_col)
+
+
+def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark, t = documents.sparkSession, Threshold(num, den)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = texts.filter(F.col("doc_id").isNotNull())
