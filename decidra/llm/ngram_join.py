@@ -143,12 +143,11 @@ def prefix_signatures(n: int, rare: np.ndarray, frequent: np.ndarray, t: Thresho
 
 
 def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
-    """From (doc_id, n_shingles, common: array of (n, token)): sig, doc_id, n, a (tokens that others hold).
+    """From (doc_id, n_shingles, common: array of (n, token)): sig, doc_id, n, a (tokens that others hold), bitmap.
 
-    Behind a document's signatures comes one row without sig that has its bitmap, m0 to m15, over the tokens that others hold.
+    A document's signatures come without bitmap; one row without sig has its bitmap over the tokens that others hold.
     """
     bits = 64 * MARK_WORDS
-    names = ["sig", "doc_id", "n", "a"] + [f"m{i}" for i in range(MARK_WORDS)]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -156,18 +155,27 @@ def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
                 ids, sizes, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
                 at, flat = lists.offsets.to_numpy(), lists.values
                 held, tokens = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(U64)
+                made, facts, bitmaps = [], [], []
                 for i, (doc, n) in enumerate(zip(ids, sizes, strict=True)):
                     mine, first = np.unique(tokens[at[i] : at[i + 1]], return_index=True)
                     df = held[at[i] : at[i + 1]][first]
                     sigs = prefix_signatures(n, mine[df <= RARE], mine[df > RARE], t)
                     if sigs and (found := np.unique(np.concatenate(sigs))).size:
-                        m = len(found)
+                        made.append(found)
+                        facts.append((doc, n, len(mine)))
                         flips = np.bincount((mix64(mine) >> U64(20)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1
-                        words = np.packbits(flips, bitorder="little").view("<i8")
-                        heads = [pa.array([*found.view(np.int64).tolist(), None], pa.int64()), *(pa.array(np.full(m + 1, v, np.int64)) for v in (doc, n, len(mine)))]
-                        yield pa.RecordBatch.from_arrays(heads + [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array([w], pa.int64())]) for w in words.tolist()], names=names)
+                        bitmaps.append(np.packbits(flips, bitorder="little").view("<i8"))
+                if not made:
+                    continue
+                each, docs = np.array([len(f) for f in made]), np.array(facts, np.int64)
+                total, m = int(each.sum()), len(made)
+                sig = pa.concat_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.nulls(m, pa.int64())])
+                three = [pa.array(np.concatenate([np.repeat(docs[:, c], each), docs[:, c]])) for c in range(3)]
+                ends = pa.array(np.arange(m + 1, dtype=np.int32) * MARK_WORDS)
+                marks = pa.concat_arrays([pa.nulls(total, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bitmaps)))])
+                yield pa.RecordBatch.from_arrays([sig, *three, marks], names=["sig", "doc_id", "n", "a", "bitmap"])
 
-    return rows.select("doc_id", "n_shingles", "common").mapInArrow(per_batch, "sig long, doc_id long, n long, a long, " + ", ".join(f"m{i} long" for i in range(MARK_WORDS)))
+    return rows.select("doc_id", "n_shingles", "common").mapInArrow(per_batch, "sig long, doc_id long, n long, a long, bitmap array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -220,7 +228,7 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     # 3. signatures
     made, sigs_at = stage(_signatures(sets.select("doc_id", "n_shingles").join(common, "doc_id"), t), "signatures")
     marks = [f"m{i}" for i in range(MARK_WORDS)]
-    sigs, bitmaps = made.filter("sig IS NOT NULL").select("sig", "doc_id", "n", "a"), made.filter("sig IS NULL").select("doc_id", *marks)
+    sigs, bitmaps = made.filter("sig IS NOT NULL").select("sig", "doc_id", "n", "a"), made.filter("sig IS NULL").select("doc_id", *(F.element_at("bitmap", i + 1).alias(m) for i, m in enumerate(marks)))
     drop(spark, held_at)
     release(spark)
     # 4. each document with the smallest of its buckets
