@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ TOKEN = r"[一-鿿]|[a-z0-9]+(?:['’.][a-z0-9]+)*"
 TEXT_OPS = ("TYPE_TEXT", "REPLACE_TEXT", "APPEND_TEXT", "RENAME", "TYPE_FOCUSED")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, though `then` uses it often or inside lambdas."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def session_of(item_id: Column) -> Column:
     """An id without its trailing /liveN parts and its last part; a single part stays."""
     return F.regexp_replace(F.regexp_replace(item_id, r"(/live[0-9]+)+$", ""), r"/[^/]*$", "")
@@ -66,8 +73,12 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int = 13) -> Column:
     """Distinct n-grams of tokens; none if there are fewer."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def made(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, made)
 
 
 def option_set(keys: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from decidra.functions.text import let
+
 #: The shapes of values in a goal, in order: dates, quotations, addresses, names, CJK runs, numbers.
 MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
 PATTERNS = (
@@ -29,15 +31,18 @@ NUMBER_LABELS = ("passenger", "adult", "guest", "room", "qty", "quantity", "人
 LONGEST = 80
 
 
+def _once(values: Column) -> Column:
+    """The first of each value up to case, in order."""
+    return let(values, lambda vs: let(F.transform(vs, F.lower), lambda low: F.filter(vs, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)))
+
+
 def spans(text: Column, limit: int = 40) -> Column:
     """Values by length, the longest first, then in order of patterns; one of each up to case."""
     found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(g)) for p, g in PATTERNS))
     stripped = F.transform(found, lambda v: F.regexp_replace(v, r"^[ ,.;:'\"]+|[ ,.;:'\"]+$", ""))
     fit = F.filter(stripped, lambda v: (v != "") & (F.length(v) <= LONGEST) & ~F.lower(v).isin(*STOP))
     ordered = F.transform(F.array_sort(F.transform(fit, lambda v, i: F.struct((-F.length(v)).alias("n"), i.alias("i"), v.alias("v")))), lambda s: s["v"])
-    lowered = F.transform(ordered, F.lower)
-    first = F.filter(ordered, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return F.slice(first, 1, limit)
+    return F.slice(_once(ordered), 1, limit)
 
 
 def candidates(goal: Column, label: Column, page_values: Column, limit: int = 26) -> Column:
@@ -48,7 +53,5 @@ def candidates(goal: Column, label: Column, page_values: Column, limit: int = 26
     number = lambda v: v.rlike(r"^\d+$")
     last = lambda v: F.when(wants(DATE_LABELS), ~dated(v)).when(wants(NUMBER_LABELS), ~number(v)).otherwise(dated(v) | number(v)).cast("int")
     ordered = F.transform(F.array_sort(F.transform(spans(goal), lambda v, i: F.struct(last(v).alias("r"), (-F.length(v)).alias("n"), i.alias("i"), v.alias("v")))), lambda s: s["v"])
-    extra = F.filter(F.transform(F.coalesce(page_values, F.array().cast("array<string>")), F.trim), lambda v: (v != "") & (F.length(v) <= LONGEST) & ~F.exists(ordered, lambda o: F.lower(o) == F.lower(v)))
-    lowered = F.transform(extra, F.lower)
-    new = F.filter(extra, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return F.slice(F.concat(ordered, new), 1, limit)
+    given = F.filter(F.transform(F.coalesce(page_values, F.array().cast("array<string>")), F.trim), lambda v: (v != "") & (F.length(v) <= LONGEST))
+    return F.slice(_once(F.concat(ordered, given)), 1, limit)

@@ -91,7 +91,7 @@ def consensus_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(builders.consensus(labels, ["item_id", "qid"]).select("item_id", "qid", "n_sets", F.posexplode("ps").alias("opt", "p")))
 
 
-@query("teacher_attach", with_views(V_Q, """, x AS (SELECT item_id, qid, k, truth, CASE WHEN item_id % 17 = 1 OR item_id % 23 = 1 THEN 'gold_filled' WHEN arg_max(opt, (p, -opt)) <> truth THEN 'disagreed' ELSE 'labeled' END AS outcome, max(p) AS top FROM v_pred WHERE run = 1 GROUP BY ALL)
+@query("teacher_attach", with_views(V_Q, """, x AS (SELECT item_id, qid, CASE WHEN item_id % 17 = 1 OR item_id % 23 = 1 THEN 'gold_filled' WHEN arg_max(opt, (p, -opt)) <> max(truth) THEN 'disagreed' ELSE 'labeled' END AS outcome, max(p) AS top FROM v_pred WHERE run = 1 GROUP BY item_id, qid)
   SELECT item_id, qid, outcome, round(CASE WHEN outcome = 'gold_filled' THEN 0.9 ELSE top END, 6) AS top FROM x"""))
 def teacher_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = questions(spark, sf_dir).select("item_id", "qid", F.size("keys").alias("k"), P.argmax(F.col("ref")).alias("label"))
@@ -111,10 +111,10 @@ def stsb_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.filter("level = lo OR level = lo + 1").drop("lo"))
 
 
-@query("facet_search", "SELECT p_partkey, p_retailprice FROM part WHERE p_brand = 'Brand#13' AND p_size BETWEEN 10 AND 40 AND p_type LIKE '%STEEL%'")
+@query("facet_search", "SELECT p_partkey, p_retailprice FROM part WHERE p_brand = 'Brand#4' AND p_size BETWEEN 10 AND 40 AND p_type LIKE '%LARGE%'")
 def facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {"size": F.col("p_size").between(10, 40), "steel": F.col("p_type").contains("STEEL")}
-    return builders.facet_search(table(spark, sf_dir, "part"), flags, {"p_brand": "Brand#13"}, True, "p_retailprice", "p_partkey").select("p_partkey", "p_retailprice")
+    flags = {"size": F.col("p_size").between(10, 40), "large": F.col("p_type").contains("LARGE")}
+    return builders.facet_search(table(spark, sf_dir, "part"), flags, {"p_brand": "Brand#4"}, True, "p_retailprice", "p_partkey").select("p_partkey", "p_retailprice")
 
 
 @query("facet_counts", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size))")

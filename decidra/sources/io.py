@@ -26,7 +26,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, line_no, value of each non-blank line, numbered in each file: one file is read by one task, in order."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return raw.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter(F.trim("value") != "")
 
 
