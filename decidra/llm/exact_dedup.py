@@ -147,7 +147,8 @@ def byte_check(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: st
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
     old, new = (texts.select(F.col("doc_id").alias(f"{x}_id"), ascii_lower(F.col("text")).alias(f"{x}_text")) for x in ("old", "new"))
     both = pairs.join(old, "old_id").join(new, "new_id")
-    return both.filter("old_text = new_text").select("digest").distinct()
+    unnamed = pairs.filter("old_id IS NULL OR new_id IS NULL").select("digest")  # no id to fetch a text by: the digest decides
+    return both.filter("old_text = new_text").select("digest").unionByName(unnamed).distinct()
 
 
 def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> tuple[DataFrame, list[str]]:
