@@ -23,20 +23,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether all edges (a, b) are stars: no node has two smaller neighbours, or both a smaller and a larger one."""
+    sides = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("s"))
+    each = sides.groupBy("s.node").agg(F.sum("s.up").alias("up"), F.min("s.up").alias("least"))
+    return not each.filter("up > 1 OR (up > 0 AND least = 0)").limit(1).count()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; a component's name is its smallest node. Loops link nothing."""
     spark = links.sparkSession
     whole = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
     edges, at = stage(whole, "edges")
-    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-    before = None
-    while True:
-        # after both steps every edge (a, b) joins a node to a smaller one; without change, to its component's smallest
+    while not _done(edges):
         large, large_at = stage(_stars(edges, True), "edges")
         edges, next_at = stage(_stars(large, False), "edges")
         drop(spark, at, large_at)
-        at, now = next_at, digest(edges)
-        if now == before:
-            break
-        before = now
+        at = next_at
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

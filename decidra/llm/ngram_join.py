@@ -238,14 +238,17 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     best = votes.groupBy("y").agg(F.max_by("x", F.struct("votes", -F.col("x"))).alias("x")).select("x", "y")
     first, first_at = stage(_verified(best, sets, t), "links")
     tried, tried_at = stage(best, "tried")
-    names = components(first, "x", "y")
-    named, named_at = stage(names, "components")
-    # what shares a bucket and is not in one component yet
+    # a document's name is the end of two steps up its verified pairs: equal names are one component, and most are enough
+    up = first.select(F.col("y").alias("node"), F.col("x").alias("component"))
+    above = up.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    named, named_at = stage(up.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "names")
+    # what shares a bucket and is not known to be one component yet
     placed, placed_at = stage(
         sigs.join(heads.select("sig"), "sig", "left_semi").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed"
     )
-    open_sigs, open_at = stage(placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig"), "open")
-    left, left_at = stage(placed.join(open_sigs, "sig", "left_semi").join(bitmaps, "doc_id"), "left")
+    open_sigs, open_at = stage(placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).filter("lo < hi").select("sig", "least"), "open")
+    hopeful = placed.join(open_sigs, "sig").filter(t.reachable(F.col("n"), F.greatest("least", F.ceil(F.col("n") * num / den)), F.col("a"))).drop("least")
+    left, left_at = stage(hopeful.join(bitmaps, "doc_id"), "left")
     x, y = (left.select("sig", F.col("doc_id").alias(v), *(F.col(c).alias(f"{c}{v}") for c in ("n", "a", "component", *marks))) for v in "xy")
     differ = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in marks), F.col("nx") - F.col("ax") + F.col("ny") - F.col("ay"))
     near_enough = (den + num) * differ <= (den - num) * (F.col("nx") + F.col("ny"))
