@@ -85,10 +85,10 @@ def holdout_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return builders.holdout_tasks(rows, "l_returnflag", "l_suppkey", 5, "s2").groupBy("l_returnflag", "holdout").agg(F.count("*").alias("n"))
 
 
-@query("consensus_labels", with_views(V_Q, """, m AS (SELECT item_id, qid, opt, avg(p) AS p, count(*) AS n_sets FROM v_pred WHERE p IS NOT NULL GROUP BY ALL) SELECT item_id, qid, opt::INT AS opt, round(p, 6) AS p, n_sets FROM m"""))
+@query("consensus_labels", with_views(V_Q, """, m AS (SELECT item_id, qid, opt, avg(p) AS p, count(*) AS n_sets FROM v_pred WHERE p IS NOT NULL GROUP BY ALL) SELECT item_id, qid, opt::INT AS opt, round(p, 9) AS p, n_sets FROM m"""))
 def consensus_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = answers(spark, sf_dir).select("item_id", "qid", "ps", F.lit(True).alias("soft"))
-    return rounded(builders.consensus(labels, ["item_id", "qid"]).select("item_id", "qid", "n_sets", F.posexplode("ps").alias("opt", "p")))
+    return rounded(builders.consensus(labels, ["item_id", "qid"]).select("item_id", "qid", "n_sets", F.posexplode("ps").alias("opt", "p")), 9)
 
 
 @query("teacher_attach", with_views(V_Q, """, x AS (SELECT item_id, qid, CASE WHEN item_id % 17 = 1 OR item_id % 23 = 1 THEN 'gold_filled' WHEN arg_max(opt, (p, -opt)) <> max(truth) THEN 'disagreed' ELSE 'labeled' END AS outcome, max(p) AS top FROM v_pred WHERE run = 1 GROUP BY item_id, qid)
