@@ -27,7 +27,7 @@ def unit_hash(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
 
 
-def split_of(session: Column, share: float = 0.3, salt: str = "replay") -> Column:
+def split_of(session: Column, share: float = 0.3, salt: str = "replay-v1") -> Column:
     return F.when(unit_hash(F.concat(F.lit(salt + ":"), session)) < share, "holdout").otherwise("dev")
 
 

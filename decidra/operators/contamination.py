@@ -60,17 +60,13 @@ def dedup_window(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-#: Markers of hosted answers, which may not become training labels.
-VENDOR_MARKERS = ("openai", "anthropic", "gemini", "typesafe")
-
-
-def guarded(rows: DataFrame, fields: list[str], path: Column | None = None) -> DataFrame:
-    """rows, or a failing job if a field or the path shows an answer that may not be a training label."""
+def guarded(rows: DataFrame, fields: list[str], markers: list[str], path: Column | None = None) -> DataFrame:
+    """rows, or a failing job if a field or the path has a marker (lower case) of answers that may not be training labels."""
     parts = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]
     if path is not None:
         parts.append(F.lower(path))
     text = F.concat_ws("\n", *parts)
-    bad = text.rlike("|".join(VENDOR_MARKERS)) | text.contains("/published/")
+    bad = text.rlike("|".join(markers)) | text.contains("/published/")
     return rows.withColumn("_ok", F.when(bad, F.raise_error(F.concat(F.lit("not a teacher's own answer: "), text)).cast("boolean")).otherwise(True)).filter("_ok").drop("_ok")
 
 

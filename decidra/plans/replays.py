@@ -14,7 +14,7 @@ from decidra.plans.scoring import rounded
 from decidra.plans.views import V_STEPS, steps, with_views
 
 
-@query("session_split", "SELECT DISTINCT user_id AS session, CASE WHEN ('0x' || sha256('replay:' || user_id)[1:8])::BIGINT / 4294967295.0::DOUBLE < 0.3 THEN 'holdout' ELSE 'dev' END AS split FROM events")
+@query("session_split", "SELECT DISTINCT user_id AS session, CASE WHEN ('0x' || sha256('replay-v1:' || user_id)[1:8])::BIGINT / 4294967295.0::DOUBLE < 0.3 THEN 'holdout' ELSE 'dev' END AS split FROM events")
 def session_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("session")).distinct()
     return users.withColumn("split", split_of(F.col("session").cast("string")))

@@ -121,7 +121,7 @@ v_steps AS (
   FROM (
     SELECT event_id, user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS total_s, (props->>'$.k')::INT AS candidates,
       CASE event_type WHEN 'click' THEN 'CLICK' WHEN 'view' THEN 'OPEN' WHEN 'signup' THEN 'TYPE_TEXT' WHEN 'purchase' THEN 'DONE' ELSE 'ASK' END AS gold_op, (event_id * 7919 + 17) % 10 AS h,
-      CASE WHEN ('0x' || sha256('replay:' || user_id)[1:8])::BIGINT / 4294967295.0::DOUBLE < 0.3 THEN 'holdout' ELSE 'dev' END AS split,
+      CASE WHEN ('0x' || sha256('replay-v1:' || user_id)[1:8])::BIGINT / 4294967295.0::DOUBLE < 0.3 THEN 'holdout' ELSE 'dev' END AS split,
       (event_id * 31 % 100) / 100.0::DOUBLE AS op_conf, (event_id * 17 % 100) / 100.0::DOUBLE AS head_conf, event_id % 29 <> 0 AS has_operation,
       CASE WHEN event_id % 11 = 0 THEN 'unverifiable' END AS last_effect, ['cmd+s', 'cmd+z', 'Tab', 'delete'][event_id % 4 + 1] AS chord,
       CASE WHEN event_id % 13 = 0 THEN 'Undo last change' ELSE 'Save' END AS target_text, event_id % 3 <> 0 AS target_ok, event_id % 7 <> 0 AS value_ok

@@ -119,9 +119,9 @@ def test_runs_and_guards(spark):
     got = {r.item_id: (r.p, r.error) for r in runner.run_predictions(items, predict, "item_id long, p double, error string").collect()}
     assert got[1] == (0.5, None) and got[2][1] == "ValueError: no"
     rows = spark.createDataFrame([("own model",)], "by string")
-    assert contamination.guarded(rows, ["by"]).count() == 1
+    assert contamination.guarded(rows, ["by"], ["hosted"]).count() == 1
     with pytest.raises(Exception, match="not a teacher"):
-        contamination.guarded(spark.createDataFrame([("OpenAI",)], "by string"), ["by"]).collect()
+        contamination.guarded(spark.createDataFrame([("Hosted API",)], "by string"), ["by"], ["hosted"]).collect()
     with pytest.raises(Exception, match="no fixture"):
         replay.rejudge(spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(2,)], "id int")).collect()
 
