@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Codebooks of full dimension are fitted by k-means on the residuals of a bounded sample (the `sample` vectors with the
-smallest hashes). Every vector is then encoded by a beam search: at each codebook the few best partial sums are extended
+smallest hashes). Every distinct vector is then encoded by a beam search: at each codebook the few best partial sums are extended
 by all its codewords, and the best again are kept. A vector is stored as its codes and the norm of what they decode to.
-Queries are scored by lookup tables of their products with all codewords, over that norm; the best `shortlist` of each
-are scored exactly, in double precision, on the original vectors.
+Queries are scored by lookup tables of their products with all codewords, over that norm; the best of each are scored
+exactly, in double precision, on the original vectors.
 
-The stated queries are taken in groups of at most GROUP_QUERIES, each group sent to the tasks as one bounded array, and
+Equal vectors are indexed once, with the k + 1 smallest of their ids: no others can be among k neighbours. Distinct vectors
+of equal codes are one class. A shortlist is of classes, includes all that tie at its end, and stands for all vectors of
+them. It is of `shortlist` classes up to SHORT_ROWS distinct vectors and grows with the square root of their number beyond.
+
+The stated queries are taken in groups of at most GROUP_QUERIES, fewer for long shortlists, each group sent to the tasks as one bounded array, and
 each pass streams all codes through the tables: no join of queries with vectors and no block of unbounded size.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or hold a null or non-finite
@@ -16,6 +20,7 @@ with fewer candidates than wanted, all are given; an empty table gives no rows;
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +33,9 @@ from pyspark.sql.window import Window
 from decidra.llm._common import stage
 
 SAMPLE, BOOKS, WORDS, BEAM = 12_000, 16, 256, 4
+SHORT_ROWS = 10_000  # distinct vectors, from which on the shortlist grows with the square root of their number
 GROUP_QUERIES = 32_768
+GROUP_CELLS = GROUP_QUERIES * 320
 CODE_ROWS = 2_048
 
 
@@ -80,28 +87,52 @@ def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> np.ndarray
     return codes[np.arange(n), final]
 
 
-def build_index(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
-    """Packed code blocks (ids, codes, norms) of all valid rows of (vec_id, embedding)."""
+def coded_vectors(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
+    """(ids, embedding) of distinct valid vectors, with their codes."""
     dim = codebooks.shape[2]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            rows, x = valid_matrix(batch.column(1), dim)
-            keep = np.array([ids[r] is not None for r in rows], bool)
-            rows, x = rows[keep], x[keep]
-            for a in range(0, len(rows), CODE_ROWS):
-                part = x[a : a + CODE_ROWS]
-                codes = encode(part / np.linalg.norm(part, axis=1)[:, None], codebooks)
-                norms = np.linalg.norm(codebooks[np.arange(len(codebooks)), codes].sum(1), axis=1)
-                values = [ids[rows[a : a + CODE_ROWS]].astype("<i8").tobytes(), codes.tobytes(), norms.astype("<f4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["ids", "codes", "norms"])
+            for a in range(0, len(batch), CODE_ROWS):
+                part = batch.slice(a, CODE_ROWS)
+                rows, x = valid_matrix(part.column(1), dim)
+                codes = encode(x / np.linalg.norm(x, axis=1)[:, None], codebooks)
+                part = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["ids", "embedding", "codes"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("ids", "embedding").mapInArrow(per_batch, f"ids array<long>, embedding {kind}, codes binary")
+
+
+def build_index(classes: DataFrame, codebooks: np.ndarray) -> DataFrame:
+    """Packed blocks (classes, codes, norms) of the distinct (class, codes)."""
+    books = len(codebooks)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), CODE_ROWS):
+                part = batch.slice(a, CODE_ROWS)
+                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, books)
+                norms = np.linalg.norm(codebooks[np.arange(books), codes].sum(1), axis=1)
+                values = [part.column(0).to_numpy().astype("<i8").tobytes(), codes.tobytes(), norms.astype("<f4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["classes", "codes", "norms"])
+
+    return classes.select("class", "codes").mapInArrow(per_batch, "classes binary, codes binary, norms binary")
+
 
-    return vectors.mapInArrow(per_batch, "ids binary, codes binary, norms binary")
+def best_with_ties(best: np.ndarray, who: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the `wanted` largest and all that equal the least of them; what is left of the width is -inf."""
+    if best.shape[1] <= wanted:
+        return best, who
+    cut = -np.partition(-best, wanted - 1, axis=1)[:, wanted - 1 : wanted]
+    width = int((best >= cut).sum(1).max())
+    top = np.argpartition(-best, width - 1, axis=1)[:, :width]
+    best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
+    return np.where(best >= cut, best, -np.inf).astype(np.float32), who
 
 
 def shortlists(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, codebooks: np.ndarray, shortlist: int) -> DataFrame:
-    """Each task's best by table lookup: query_id and an array of (approx, vec_id); queries are unit vectors."""
+    """Each task's best classes by table lookup, with ties: query_id and an array of (approx, class); queries are unit vectors."""
     books = codebooks.shape[0]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,25 +140,21 @@ def shortlists(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, cod
         best = np.full((len(query_ids), 0), -np.inf, np.float32)
         who = np.zeros((len(query_ids), 0), np.int64)
         for batch in batches:
-            for raw_ids, raw_codes, raw_norms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, codes, norms = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw_codes, np.uint8).reshape(-1, books), np.frombuffer(raw_norms, "<f4")
+            for raw_classes, raw_codes, raw_norms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                classes, codes, norms = np.frombuffer(raw_classes, "<i8"), np.frombuffer(raw_codes, np.uint8).reshape(-1, books), np.frombuffer(raw_norms, "<f4")
                 score = tables[0][codes[:, 0]]
                 for b in range(1, books):
                     score = score + tables[b][codes[:, b]]
                 score = score.T / np.maximum(norms, 1e-12)
-                score[query_ids[:, None] == ids[None, :]] = -np.inf
-                best, who = np.concatenate([best, score], 1), np.concatenate([who, np.broadcast_to(ids, score.shape)], 1)
-                if best.shape[1] > shortlist:
-                    top = np.argpartition(-best, shortlist - 1, axis=1)[:, :shortlist]
-                    best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
+                best, who = best_with_ties(np.concatenate([best, score], 1), np.concatenate([who, np.broadcast_to(classes, score.shape)], 1), shortlist)
         for a in range(0, len(query_ids), 64):
             b, w = best[a : a + 64], who[a : a + 64]
             fine = np.isfinite(b)
-            each = pa.StructArray.from_arrays([pa.array(b[fine], pa.float32()), pa.array(w[fine], pa.int64())], names=["approx", "vec_id"])
+            each = pa.StructArray.from_arrays([pa.array(b[fine], pa.float32()), pa.array(w[fine], pa.int64())], names=["approx", "class"])
             ends = np.concatenate([[0], np.cumsum(fine.sum(1))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[a : a + 64]), pa.ListArray.from_arrays(pa.array(ends), each)], names=["query_id", "found"])
 
-    return index.select("ids", "codes", "norms").mapInArrow(per_task, "query_id long, found array<struct<approx:float,vec_id:long>>")
+    return index.select("classes", "codes", "norms").mapInArrow(per_task, "query_id long, found array<struct<approx:float,class:long>>")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -149,9 +176,18 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shortlist: int
     if not len(x):
         return spark.createDataFrame([], schema)
     codebooks = fit_codebooks(x / np.linalg.norm(x, axis=1, keepdims=True))
-    index, _ = stage(build_index(vectors, codebooks), "ann-index")
+    # one row of each distinct vector, with the smallest ids that can be among k neighbours: one may be the query's own
+    fine = (F.size("embedding") == dim) & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("embedding", lambda e: e != 0)
+    same = Window.partitionBy("hash", "embedding").orderBy("vec_id")
+    valid = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).withColumn("hash", F.xxhash64("embedding"))
+    least = valid.withColumn("nth", F.dense_rank().over(same)).filter(F.col("nth") <= k + 1)
+    distinct = least.groupBy("hash", "embedding").agg(F.collect_list("vec_id").alias("ids"))
+    coded, _ = stage(coded_vectors(distinct, codebooks).withColumn("class", F.xxhash64("codes")), "ann-vectors")
+    index, _ = stage(build_index(coded.select("class", "codes").distinct(), codebooks), "ann-index")
+    # the query's own vector takes a place
+    shortlist = 1 + math.ceil(shortlist * max(1.0, math.sqrt(coded.count() / SHORT_ROWS)))
     asked, _ = stage(vectors.filter(is_query & F.col("vec_id").isNotNull()), "ann-queries")
-    groups = -(-asked.count() // GROUP_QUERIES)
+    groups = -(-asked.count() // max(1, min(GROUP_QUERIES, GROUP_CELLS // shortlist)))
     found = None
     for g in range(groups):
         group = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toArrow()
@@ -165,9 +201,9 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shortlist: int
         return spark.createDataFrame([], schema)
     # of a query, one short array from each task
     merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-    short = merged.select("query_id", F.explode(F.slice(F.sort_array("found", asc=False), 1, shortlist)).alias("c")).select("query_id", "c.vec_id").distinct()
-    pairs = short.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).dropDuplicates(["query_id"]), "query_id").join(vectors.withColumnRenamed("embedding", "v"), "vec_id")
-    fine = F.col("v").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
-    scored = pairs.filter(fine).select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score"))
+    cut = merged.withColumn("cut", F.coalesce(F.get(F.sort_array(F.transform("found", lambda c: c["approx"]), asc=False), F.lit(shortlist - 1)), F.lit(float("-inf")).cast("float")))
+    short = cut.select("query_id", F.explode(F.filter("found", lambda c: c["approx"] >= F.col("cut"))).alias("c")).select("query_id", "c.class").distinct()
+    pairs = short.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).dropDuplicates(["query_id"]), "query_id").join(coded.select("class", "ids", F.col("embedding").alias("v")), "class")
+    scored = pairs.select("query_id", "ids", cosine(F.col("q"), F.col("v")).alias("score")).select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

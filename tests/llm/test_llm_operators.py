@@ -202,6 +202,21 @@ def test_neighbours(spark):
     assert ann.nearest(few, F.col("vec_id") == 0).count() == 2 and ann.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_ties(spark):
+    """1000 equal vectors give the smallest ids; of 700 that share all codes the nearest are found."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 1000, 0), rng.normal(size=(1, 8)) + 1e-6 * rng.normal(size=(700, 8)), rng.normal(size=(100, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id").isin(0, 500, 999, 1000, 1350)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[500] == got[999] == [0, 1, 2, 3, 4]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (1000, 1350):
+        near = [i for i in np.argsort(((unit - unit[q]) ** 2).sum(1)) if i != q][:5]
+        assert len(got[q]) == 5 and len(set(got[q]) & set(near)) >= 4
+
+
 def test_licences(docs, none):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert got[11].base_labels == "cc-by,reserved" and (got[11].n_base, got[11].first_word, got[11].last_word) == (2, 0, 2)
