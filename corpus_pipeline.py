@@ -38,7 +38,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near copies, the document with the smallest doc_id stays."""
     ship(spark)
-    joined = near_duplicates(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN)
+    joined = near_duplicates(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN, count_links=False)
     return without(docs, joined.filter("doc_id <> component_id"), "near-copies")
 
 

@@ -16,6 +16,8 @@ Everything is exact up to collisions of 64-bit hashes; the steps only leave out
    voted pair is verified on the whole sets. Then only pairs that share a bucket and whose components still differ are
    left. Of those the join emits the ones that pass a bound from bitmaps: each token flips one bit of its document's
    bitmap, so the bits that differ are no more than the tokens that differ. All that pass are verified.
+5. The links found so far are enough for the components, not for the number of links. Links are inside components, so each
+   component's representatives are dealt in blocks, and every pair of them is verified, in the products of two blocks.
 
 Defined results: null and empty texts and texts without words have an empty set, link with nothing and are components
 of their own; shorter texts are one shingle of all their words; a null doc_id takes no part in links; rows that repeat a
@@ -42,6 +44,8 @@ RARE = 8
 MARK_WORDS = 16  # 64-bit words of a document's parity bitmap
 EXTRA = 0.7  # of the allowed deletions, by which the first prefix is extended
 CLASS_TOKENS = 8
+BLOCK_ROWS, BLOCK_TOKENS = 256, 250_000  # of a block of a component's representatives, on average
+PAIR_ROWS, PAIR_COLUMNS = 32, 4_096  # pairs of blocks in an Arrow batch, tokens in a product
 SMALL = 16
 
 
@@ -197,13 +201,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "tx", "ty").mapInArrow(per_batch, "x long, y long")
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (verified links of its set's representative) of every row."""
+def linked_counts(i: int, j: int, ids: np.ndarray, block: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, numbers of links) over all pairs of sets between blocks i and j, or within i if they are one.
+
+    Sets with one id count as one, which links if any of them does.
+    """
+    sizes = np.diff(ends)
+    _, column, held = np.unique(tokens, return_inverse=True, return_counts=True)
+    row, wanted = np.repeat(np.arange(len(ids)), sizes), held[column] > 1
+    row, column = row[wanted], (np.cumsum(held > 1) - 1)[column[wanted]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    both = np.zeros((len(one), len(two)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, PAIR_COLUMNS):
+        a, b = np.searchsorted(column, [start, start + PAIR_COLUMNS])
+        dense = np.zeros((len(ids), int(column[b - 1]) - start + 1), np.float32)
+        dense[row[a:b], column[a:b] - start] = 1
+        both += (dense[one] @ dense[two].T).astype(np.int64)
+    linked = (t.den * both >= t.num * (sizes[one][:, None] + sizes[two][None, :] - both)) & (ids[one][:, None] != ids[two][None, :])
+    (x, at_x), (y, at_y) = np.unique(ids[one], return_inverse=True), np.unique(ids[two], return_inverse=True)
+    if len(x) < len(one) or len(y) < len(two):
+        whole = np.zeros((len(x), len(y)), bool)
+        np.logical_or.at(whole, (at_x[:, None], at_y[None, :]), linked)
+        linked = whole
+    else:
+        linked = linked[np.argsort(ids[one])][:, np.argsort(ids[two])]
+    if i == j:
+        return x, linked.sum(1)
+    return np.concatenate([x, y]), np.concatenate([linked.sum(1), linked.sum(0)])
+
+
+def _degrees(sets: DataFrame, placed: DataFrame, t: Threshold) -> DataFrame:
+    """rep and n_links (all links, verified on the whole sets) of the representatives in (node, component)."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            at, flat = rows.offsets.to_numpy(), rows.values
+            ids, block, lists = flat.field(0).to_numpy(), flat.field(1).to_numpy(), flat.field(2)
+            ends, tokens = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found = [linked_counts(i, j, ids[a:b], block[a:b], ends[a : b + 1] - ends[a], tokens[ends[a] : ends[b]], t) for i, j, a, b in zip(one, two, at[:-1], at[1:], strict=True)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(2)], names=["rep", "n"])
+
+    spark = sets.sparkSession
+    members = sets.join(placed.withColumnRenamed("node", "doc_id"), "doc_id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_TOKENS)).cast("int")
+    large, large_at = stage(members.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"), "large-components")  # one for BLOCK_ROWS members or BLOCK_TOKENS tokens at most
+    dealt = members.join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # one key in one column: blocks of a component must not meet in one task
+    pair = F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = each.select(pair.alias("pair"), F.struct("doc_id", "block", "tokens").alias("row")).groupBy("pair").agg(F.collect_list("row").alias("rows"))
+    with batch_rows(spark, PAIR_ROWS):
+        counted, counted_at = stage(rows.select("pair.i", "pair.j", "rows").mapInArrow(per_batch, "rep long, n long"), "block-links")
+    out, _ = stage(counted.groupBy("rep").agg(F.sum("n").alias("n_links")), "degrees")
+    drop(spark, large_at, counted_at)
+    return out
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with count_links, n_links (all links of its set's representative) of every row."""
     with batch_rows(documents.sparkSession, BATCH_ROWS):
-        return _near_duplicates(documents, k, num, den, id_col, text_col)
+        return _near_duplicates(documents, k, num, den, id_col, text_col, count_links)
 
 
-def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, count_links: bool) -> DataFrame:
     spark, t = documents.sparkSession, Threshold(num, den)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = texts.filter(F.col("doc_id").isNotNull())
@@ -257,7 +321,8 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     second, second_at = stage(_verified(rest, sets, t), "links")
     links = first.unionByName(second)
     final, final_at = stage(components(links, "x", "y"), "components")
-    degree = links.select(F.explode(F.array("x", "y")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    release(spark)
+    degree = _degrees(sets, final, t) if count_links else final.select(F.col("node").alias("rep"), F.lit(None).cast("long").alias("n_links"))
     # representatives of all sets, then their components; a component's name is its smallest document
     rep_of = facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     table = rep_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -267,4 +332,5 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     key = F.when(~empty, F.col("set_key"))
     joined = facts.withColumn("set_key", key).join(decided, "set_key", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out if count_links else out.drop("n_links")

@@ -87,6 +87,30 @@ def test_ngram_join_chains(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    """n_links against brute force on a family of near copies, in several blocks, and on small ones."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(21)
+    words = [f"w{x}" for x in rng.integers(0, 500, 3000)]
+    rows = []
+    for i in range(260):
+        start = 0 if i < 220 else 200 * (1 + i % 10)
+        mine = words[start : start + 200]
+        for _ in range(int(rng.integers(0, 4))):
+            mine[int(rng.integers(0, 200))] = f"e{rng.integers(0, 50)}"
+        rows.append((i + 1, " ".join(mine)))
+    rows += [(1000, rows[0][1].upper()), (1001, "one two")]
+    sets = {i: frozenset(tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))) for i, t in rows for w in [t.translate(LOWER).split()]}
+    distinct = set(sets.values())
+    degree = {s: sum(100 * len(s & o) >= 85 * len(s | o) for o in distinct if o is not s) for s in distinct}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(df, 4, 85, 100).collect()}
+    assert got == {i: degree[s] for i, s in sets.items()} and max(got.values()) > 100
+    two = (np.array([7, 9]), np.array([0, 0]), np.array([0, 2, 4]), np.array([1, 2, 1, 2]), ngram_join.Threshold(85, 100))
+    assert ngram_join.linked_counts(0, 0, *two)[1].tolist() == [1, 1] and not ngram_join.linked_counts(0, 1, *two)[1].any()
+    assert ngram_join.near_duplicates(df, 4, 85, 100, count_links=False).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, i) for i in range(101, 140)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
