@@ -269,6 +269,21 @@ def test_null_ids(spark):
     assert rans.token_stream(rows, public_tokenizers.path("word_bpe_49k.json")).count() == 3
 
 
+def test_dedup_stages_ids(spark):
+    """Null and repeated ids: one row of each group stays, and another text of a repeated id isn't lost."""
+    import corpus_pipeline
+
+    other = "some other text that has nothing in common with the rest of them"
+    rows = [(None, "a b c d e f"), (3, "A b c d e f"), (4, "x y"), (4, "x y"), (4, other), (None, None), (None, ""), (9, other.upper()), (5, BASE), (None, BASE + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exact = corpus_pipeline.exact_dedup(spark, docs, "")
+    got = sorted(((r.text or "").lower(), r.doc_id) for r in exact.collect())
+    assert got == sorted([("a b c d e f", 3), ("x y", 4), (other, 9), ("", None), (BASE, 5), (BASE + " z", None)])
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    got = collections.Counter((r.text or "").lower() for r in near.collect())
+    assert got == {"a b c d e f": 1, "x y": 1, other: 1, "": 2, BASE: 1} and near.columns == docs.columns
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
