@@ -34,7 +34,7 @@ def crossfit(answers: DataFrame, keys: list[str]) -> DataFrame:
     """Each answer with the temperature fitted on the other fold (by parity of ord); t is 1 where none was fitted."""
     folded = answers.withColumn("fold", F.pmod(F.col("fold_ord"), F.lit(2)))
     fitted = fit(folded, [*keys, "fold"]).withColumn("fold", 1 - F.col("fold"))
-    return folded.join(F.broadcast(fitted.limit(10_000)), [*keys, "fold"], "left").withColumn("t", F.coalesce("t", F.lit(1.0)))
+    return folded.join(fitted, [*keys, "fold"], "left").withColumn("t", F.coalesce("t", F.lit(1.0)))
 
 
 def apply(answers: DataFrame) -> DataFrame:

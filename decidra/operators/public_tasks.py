@@ -64,9 +64,11 @@ TASKS = {
 
 
 def label_set(rows: DataFrame, column: str, by: str | None = None) -> list[str]:
-    """All labels of a split, by their least number or by name: as many values as the task has classes (at most 255)."""
-    named = rows.filter(F.col(column).isNotNull()).groupBy(column).agg((F.min(by) if by else F.min(column)).alias("o")).orderBy("o", column).limit(256)
-    return [r[0] for r in named.collect()]
+    """All labels of a split, by their least number or by name: as many values as the task has classes (at most 255; more are an error)."""
+    named = rows.filter(F.col(column).isNotNull()).groupBy(column).agg((F.min(by) if by else F.min(column)).alias("o")).orderBy("o", column).limit(256).collect()
+    if len(named) > 255:
+        raise ValueError(f"{column} has more than 255 labels")
+    return [r[0] for r in named]
 
 
 def reference(ask: Ask, keys: Column) -> Column:

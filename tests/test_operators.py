@@ -27,6 +27,18 @@ def test_rank_metrics(spark):
     assert metrics.balanced_accuracy(pairs(spark, [(0.9, 1.0)]), ["run"]).collect()[0].balanced_accuracy is None
 
 
+def test_many_keys_and_labels(spark, monkeypatch):
+    """Every key's temperature is kept, and labels past 255 are an error."""
+    fitted = spark.range(10_500).select(F.col("id").alias("key"), F.lit(0).alias("fold"), F.lit(2.0).alias("t"))
+    monkeypatch.setattr(calibrate, "fit", lambda answers, keys: fitted)
+    rows = spark.range(10_500).select(F.col("id").alias("key"), F.lit(1).alias("fold_ord"))
+    assert calibrate.crossfit(rows, ["key"]).filter("t = 2.0").count() == 10_500
+    labels = spark.range(300).select(F.col("id").cast("string").alias("label"))
+    assert len(public_tasks.label_set(labels.limit(255), "label")) == 255
+    with pytest.raises(ValueError):
+        public_tasks.label_set(labels, "label")
+
+
 def test_temperature(spark):
     rows = spark.createDataFrame([("noul", [0.0, 1.0], [0.4, 0.6])] * 40, "kind string, ref array<double>, ps array<double>")
     assert calibrate.fit(rows, ["kind"]).collect()[0].t < 0.5
