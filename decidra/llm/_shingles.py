@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from decidra.llm._common import U64, mix64
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -30,7 +30,7 @@ _LETTER = _letters()
 _POWERS = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
+def powers(kind: str, n: int) -> np.ndarray:
     if len(_POWERS[kind]) < n:
         base = np.full(max(n, _CHUNK + 1), _P if kind == "up" else _P_INVERSE, U64)
         base[0] = 1
@@ -38,7 +38,7 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return _POWERS[kind][:n]
 
 
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of a string column; null is empty."""
     if column.null_count:
         column = column.fill_null("")
@@ -62,14 +62,14 @@ def _words(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[:-1] &= ~solid[1:] | edge[1:n]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = np.zeros(n + 1, U64)
-    np.cumsum(_LETTER[text] * _powers("down", n), out=sums[1:])
-    hashes = mix64((sums[stops] - sums[starts]) * _powers("up", n)[starts] + (stops - starts).astype(U64))
+    np.cumsum(_LETTER[text] * powers("down", n), out=sums[1:])
+    hashes = mix64((sums[stops] - sums[starts]) * powers("up", n)[starts] + (stops - starts).astype(U64))
     return hashes, np.searchsorted(starts, bounds)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingles: of k words, or of all words if there are fewer; none without words."""
-    data, offsets = _buffers(column)
+    data, offsets = text_buffers(column)
     weights = mix64(np.arange(11, 11 + k, dtype=U64)) | U64(1)
     first, n = 0, len(column)
     with np.errstate(over="ignore"):

@@ -74,21 +74,19 @@ def pack_documents(
     documents: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = 2048, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids if wanted."""
-    end = end_id.to_bytes(4, "little")
 
     def per_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer = encoder(tokenizer_path), BestFit(size, open_bins, task_id() << 40)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.texts(batch.column(1), end_id), strict=True):
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:
                     length = (n - start) % size or size
                     part = ids[4 * start : 4 * (start + length)]
                     number, offset = packer.place(length)
-                    out.append((doc, piece, start, length, zlib.crc32(part), number, offset, part))
+                    out.append((doc, piece, start, length, zlib.crc32(part), number, offset, part if with_ids else None))
                     start, piece = start + length, piece + 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids

@@ -10,8 +10,8 @@ Container: `<path>/table` (token, freq) and `<path>/blocks`, Parquet tables any
 start (ids of all blocks before it), doc_ids, lengths, lanes, words, states, word_starts, segment_crcs. Blocks are
 rows of the one stream, ordered by start.
 
-Defined results: a null or empty text has only its end id, repeated doc_ids follow one another, a null doc_id comes
-first, an empty table gives an empty stream, and columns other than the two named are ignored.
+Defined results: a null or empty text has only its end id, repeated doc_ids follow one another in the order of their texts'
+hashes, null doc_ids come first, an empty table gives an empty stream, and columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -148,7 +148,6 @@ def decode_block(n: int, block: dict, table: Table) -> np.ndarray:
 
 def _tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of plain ids of documents in doc_id order; start_in_part counts the ids before a block in its partition."""
-    end = end_id.to_bytes(4, "little")
 
     def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, begun = encoder(tokenizer_path), task_id(), 0
@@ -164,9 +163,9 @@ def _tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
         kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, encoded in zip(batch.column(0).to_pylist(), tokens.texts(batch.column(1), end_id), strict=True):
                 docs.append(doc)
-                ids.append(tokens.encode(text or "") + end)
+                ids.append(encoded)
                 held += len(ids[-1]) // 4
                 if held >= BLOCK_TOKENS:
                     yield block()
@@ -174,7 +173,8 @@ def _tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
         if docs:
             yield block()
 
-    ordered = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie"))
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return ordered.mapInArrow(per_part, "part int, start_in_part long, doc_ids array<long>, lengths array<long>, ids binary")
 
 

@@ -11,7 +11,7 @@ import pytest
 
 from decidra.llm import ann, exact_dedup, license_scan, ngram_join, packing, rans, toxicity
 from decidra.llm._shingles import shingle_sets
-from decidra.llm._tokens import ChunkEncoder
+from decidra.llm._tokens import ColumnEncoder
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", ",", "!", "\xa0", "́", "Σ", "İ", "日本", "\x1c", "\r", "<|endoftext|>", "<|", "​", "don't", " \n", "x"]
@@ -24,9 +24,27 @@ def odd_texts(n, seed=1):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_ids_are_the_librarys(name):
-    coder = ChunkEncoder(public_tokenizers.path(name))
-    for text in odd_texts(3000):
-        assert coder.encode(text) == np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+    coder = ColumnEncoder(public_tokenizers.path(name))
+    assert coder.kind != "other"
+    rng = random.Random(3)
+    letters = "".join(map(chr, range(1, 0x260)))
+    narrow = ["".join(rng.choice("ab É\n.,'s0 1\t'trevmld  LSTRED") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts = [*odd_texts(3000), *narrow, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(3000)), None]
+    want = [np.array([*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 7], dtype="<u4").tobytes() for t in texts]
+    for _ in range(2):  # the second time from the table
+        for text, ids, got in zip(texts, want, coder.texts(pa.array(texts), 7), strict=True):
+            assert ids == got, repr(text)
+
+
+def test_a_full_table_starts_afresh(monkeypatch):
+    from decidra.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "MOST_PIECES", 50)
+    coder = ColumnEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"word{i} is one of several words, {i}" for i in range(40)] * 3
+    for _ in range(2):
+        for text in texts:
+            assert list(coder.texts(pa.array([text, "", None]))) == [np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), b"", b""]
 
 
 def shingles(text, k):
