@@ -11,11 +11,13 @@ Everything is exact up to collisions of 64-bit hashes; the steps only leave out
    enough of them is done. A rare token is a signature by itself. Frequent tokens fall into token classes (by hash, about
    one for eight tokens of a document of that size band); the 2-combinations within a class are signatures, so a class
    with c tokens takes c - 1 deletions. Small documents use single tokens throughout.
-4. Within each signature's bucket, documents are paired with the bucket's smallest, not with each other. Pairs are left
-   out whose sizes, or whose numbers of tokens that anyone else has, can't reach the threshold. Each document's most
-   voted pair is verified on the whole sets. Then only pairs that share a bucket and whose components still differ are
-   left. Of those the join emits the ones that pass a bound from bitmaps: each token flips one bit of its document's
-   bitmap, so the bits that differ are no more than the tokens that differ. All that pass are verified.
+4. Buckets with the same documents count as one, as often as there are of them: long documents share thousands. Within each
+   signature's bucket, documents are paired with the bucket's most central one, whose tokens most others have, not with each
+   other: the original of many copies is near to them all. Pairs are left out whose sizes, or whose numbers of tokens that
+   anyone else has, can't reach the threshold. Each document's most voted pair is verified on the whole sets. Then only
+   pairs that share a bucket and whose components still differ are left; a large bucket is dealt in blocks for them, to
+   each of which go those that aren't in the bucket's most frequent component. Of those the join emits the ones that pass a bound from bitmaps: each token flips one bit of
+   its document's bitmap, so the bits that differ are no more than the tokens that differ. All that pass are verified.
 5. The links found so far are enough for the components, not for the number of links. Links are inside components, so each
    component's representatives are dealt in blocks, and every pair of them is verified, in the products of two blocks.
 
@@ -45,6 +47,7 @@ MARK_WORDS = 16  # 64-bit words of a document's parity bitmap
 EXTRA = 0.7  # of the allowed deletions, by which the first prefix is extended
 CLASS_TOKENS = 8
 BLOCK_ROWS, BLOCK_TOKENS = 256, 250_000  # of a block of a component's representatives, on average
+BUCKET_ROWS = 1_024  # of a block of a bucket's documents, on average
 PAIR_ROWS, PAIR_COLUMNS = 32, 4_096  # pairs of blocks in an Arrow batch, tokens in a product
 SMALL = 16
 
@@ -147,9 +150,9 @@ def prefix_signatures(n: int, rare: np.ndarray, frequent: np.ndarray, t: Thresho
 
 
 def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
-    """From (doc_id, n_shingles, common: array of (n, token)): sig, doc_id, n, a (tokens that others hold), bitmap.
+    """From (doc_id, n_shingles, common: array of (n, token)): sig, doc_id, n, a (tokens that others hold), central, bitmap.
 
-    A document's signatures come without bitmap; one row without sig has its bitmap over the tokens that others hold.
+    central grows with the share of a document's tokens that others hold, and with how many do. A document's signatures come without bitmap; one row without sig has its bitmap over the tokens that others hold.
     """
     bits = 64 * MARK_WORDS
 
@@ -166,7 +169,7 @@ def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
                     sigs = prefix_signatures(n, mine[df <= RARE], mine[df > RARE], t)
                     if sigs and (found := np.unique(np.concatenate(sigs))).size:
                         made.append(found)
-                        facts.append((doc, n, len(mine)))
+                        facts.append((doc, n, len(mine), int(1000 * np.log2(df).sum() / n)))
                         flips = np.bincount((mix64(mine) >> U64(20)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1
                         bitmaps.append(np.packbits(flips, bitorder="little").view("<i8"))
                 if not made:
@@ -174,12 +177,12 @@ def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
                 each, docs = np.array([len(f) for f in made]), np.array(facts, np.int64)
                 total, m = int(each.sum()), len(made)
                 sig = pa.concat_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.nulls(m, pa.int64())])
-                three = [pa.array(np.concatenate([np.repeat(docs[:, c], each), docs[:, c]])) for c in range(3)]
+                four = [pa.array(np.concatenate([np.repeat(docs[:, c], each), docs[:, c]])) for c in range(4)]
                 ends = pa.array(np.arange(m + 1, dtype=np.int32) * MARK_WORDS)
                 marks = pa.concat_arrays([pa.nulls(total, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bitmaps)))])
-                yield pa.RecordBatch.from_arrays([sig, *three, marks], names=["sig", "doc_id", "n", "a", "bitmap"])
+                yield pa.RecordBatch.from_arrays([sig, *four, marks], names=["sig", "doc_id", "n", "a", "central", "bitmap"])
 
-    return rows.select("doc_id", "n_shingles", "common").mapInArrow(per_batch, "sig long, doc_id long, n long, a long, bitmap array<long>")
+    return rows.select("doc_id", "n_shingles", "common").mapInArrow(per_batch, "sig long, doc_id long, n long, a long, central long, bitmap array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -198,7 +201,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (sets.select(F.col("doc_id").alias(v), F.col("tokens").alias(f"t{v}")) for v in "xy")
-    return pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "tx", "ty").mapInArrow(per_batch, "x long, y long")
+    # y first: a document with many partners is an x, and its tokens aren't shuffled once for each of them
+    return pairs.select("x", "y").join(two, "y").join(one, "x").select("x", "y", "tx", "ty").mapInArrow(per_batch, "x long, y long")
 
 
 def linked_counts(i: int, j: int, ids: np.ndarray, block: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -292,32 +296,45 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     # 3. signatures
     made, sigs_at = stage(_signatures(sets.select("doc_id", "n_shingles").join(common, "doc_id"), t), "signatures")
     marks = [f"m{i}" for i in range(MARK_WORDS)]
-    sigs, bitmaps = made.filter("sig IS NOT NULL").select("sig", "doc_id", "n", "a"), made.filter("sig IS NULL").select("doc_id", *(F.element_at("bitmap", i + 1).alias(m) for i, m in enumerate(marks)))
+    sigs, bitmaps = made.filter("sig IS NOT NULL").select("sig", "doc_id", "n", "a", "central"), made.filter("sig IS NULL").select("doc_id", *(F.element_at("bitmap", i + 1).alias(m) for i, m in enumerate(marks)))
     drop(spark, held_at)
     release(spark)
-    # 4. each document with the smallest of its buckets
-    heads, heads_at = stage(sigs.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "a")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("sig", "head"), "heads")
-    near = sigs.join(heads, "sig").filter("doc_id > head.doc_id").filter(t.reachable(F.col("n"), F.col("head.n"), F.least("a", "head.a")))
-    votes, votes_at = stage(near.groupBy(F.col("head.doc_id").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("votes")), "votes")
+    # 4. each document with the most central of its buckets; buckets of the same documents are one
+    head = F.max(F.struct("central", (-F.col("doc_id")).alias("down"), "n", "a"))
+    buckets = sigs.groupBy("sig").agg(head.alias("head"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("else")).filter("m > 1")
+    heads, heads_at = stage(buckets.groupBy("m", "who", "else").agg(F.min("sig").alias("sig"), F.first("head").alias("head"), F.count("*").alias("times")).select("sig", "head", "times", "m"), "heads")
+    shown = sigs.drop("central").join(heads.withColumn("x", -F.col("head.down")), "sig")
+    near = shown.filter("doc_id <> x").filter(t.reachable(F.col("n"), F.col("head.n"), F.least("a", "head.a")))
+    votes, votes_at = stage(near.groupBy("x", F.col("doc_id").alias("y")).agg(F.sum("times").alias("votes")), "votes")
     best = votes.groupBy("y").agg(F.max_by("x", F.struct("votes", -F.col("x"))).alias("x")).select("x", "y")
-    first, first_at = stage(_verified(best, sets, t), "links")
     tried, tried_at = stage(best, "tried")
+    first, first_at = stage(_verified(tried, sets, t), "links")
     # a document's name is the end of two steps up its verified pairs: equal names are one component, and most are enough
     up = first.select(F.col("y").alias("node"), F.col("x").alias("component"))
     above = up.select(F.col("node").alias("component"), F.col("component").alias("above"))
     named, named_at = stage(up.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "names")
     # what shares a bucket and is not known to be one component yet
     placed, placed_at = stage(
-        sigs.join(heads.select("sig"), "sig", "left_semi").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed"
+        sigs.drop("central").join(heads.select("sig", "m"), "sig").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed"
     )
-    open_sigs, open_at = stage(placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).filter("lo < hi").select("sig", "least"), "open")
+    held_by = placed.groupBy("sig", "component").agg(F.count("*").alias("rows"), F.min("n").alias("least"))
+    several_in = held_by.groupBy("sig").agg(F.count("*").alias("kinds"), F.max(F.struct("rows", "component")).alias("top"), F.min("least").alias("least")).filter("kinds > 1")
+    open_sigs, open_at = stage(several_in.select("sig", "least", F.col("top.component").alias("top")), "open")
     hopeful = placed.join(open_sigs, "sig").filter(t.reachable(F.col("n"), F.greatest("least", F.ceil(F.col("n") * num / den)), F.col("a"))).drop("least")
     left, left_at = stage(hopeful.join(bitmaps, "doc_id"), "left")
-    x, y = (left.select("sig", F.col("doc_id").alias(v), *(F.col(c).alias(f"{c}{v}") for c in ("n", "a", "component", *marks))) for v in "xy")
+    # a bucket's rows are dealt in blocks; those that aren't in its most frequent component go to all of its blocks
+    blocks = F.ceil(F.col("m") / BUCKET_ROWS).cast("int")
+    y = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    x = left.filter("component <> top").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    x, y = (df.select("sig", "block", F.col("doc_id").alias(v), (F.col("component") == F.col("top")).alias(f"top{v}"), *(F.col(c).alias(f"{c}{v}") for c in ("n", "a", "component", *marks))) for df, v in ((x, "x"), (y, "y")))
     differ = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in marks), F.col("nx") - F.col("ax") + F.col("ny") - F.col("ay"))
     near_enough = (den + num) * differ <= (den - num) * (F.col("nx") + F.col("ny"))
-    apart = x.join(y, "sig").filter((F.col("x") < F.col("y")) & (F.col("componentx") != F.col("componenty")) & t.reachable(F.col("nx"), F.col("ny"), F.least("ax", "ay")) & near_enough)
-    rest, rest_at = stage(apart.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "rest")
+    once = F.col("topy") | (F.col("x") < F.col("y"))
+    pairs = x.join(y, ["sig", "block"]).filter(once & (F.col("componentx") != F.col("componenty")) & t.reachable(F.col("nx"), F.col("ny"), F.least("ax", "ay")) & near_enough)
+    apart = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    found, found_at = stage(apart.select("x", "y").distinct(), "near-pairs")
+    known_pairs = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rest, rest_at = stage(found.join(known_pairs, ["x", "y"], "left_anti"), "rest")
     second, second_at = stage(_verified(rest, sets, t), "links")
     links = first.unionByName(second)
     final, final_at = stage(components(links, "x", "y"), "components")
@@ -327,7 +344,7 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     rep_of = facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     table = rep_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     decided, _ = stage(table, "decided")
-    drop(spark, sets_at, sigs_at, heads_at, votes_at, first_at, tried_at, named_at, placed_at, open_at, left_at, rest_at, second_at, final_at)
+    drop(spark, sets_at, sigs_at, heads_at, votes_at, first_at, tried_at, named_at, placed_at, open_at, left_at, found_at, rest_at, second_at, final_at)
     release(spark)
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     key = F.when(~empty, F.col("set_key"))
