@@ -1,6 +1,7 @@
 """Column functions over distributions: `ps` is array<double> in the question's option order, `keys` array<string>.
 
-All are built-in expressions, so they stay in whole-stage code; missing values are NULL throughout.
+All are built-in expressions that run in the JVM; missing values are NULL throughout. What a lambda needs for every
+option, such as a sum or a maximum, is bound by `let` outside it, so each function is linear in the number of options.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from decidra.functions.text import let
+
 FLOOR, EPS, TIE = 1e-12, 1e-6, 1e-12
 
 
@@ -22,7 +25,8 @@ def dot(a: Column, b: Column) -> Column:
 def normalize(ps: Column) -> Column:
     """Missing options count as 0, negative mass is clamped, the rest is rescaled; without mass it is uniform."""
     clamped = F.transform(ps, lambda p: F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(0.0)))
-    return F.when(total(clamped) > 0, F.transform(clamped, lambda p: p / total(clamped))).otherwise(F.transform(ps, lambda p: F.lit(1.0) / F.size(ps)))
+    share = lambda c, s: F.when(s > 0, F.transform(c, lambda p: p / s)).otherwise(let(F.size(c), lambda k: F.transform(c, lambda p: F.lit(1.0) / k)))
+    return let(clamped, lambda c: let(total(c), lambda s: share(c, s)))
 
 
 def restrict(dist: Column, keys: Column) -> Column:
@@ -56,15 +60,14 @@ def score_value(ps: Column) -> Column:
 
 def score_confidence(ps: Column) -> Column:
     """1 less twice the mean absolute deviation from the expected level, over the range; never below 0."""
-    mean = score_value(ps)
-    mad = total(F.transform(ps, lambda p, i: p * F.abs(i - mean)))
+    mad = let(score_value(ps), lambda mean: total(F.transform(ps, lambda p, i: p * F.abs(i - mean))))
     return F.when(F.size(ps) <= 1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - 2 * mad / (F.size(ps) - 1)))
 
 
 def tie_credit(ps: Column, label: Column) -> Column:
     """Expected accuracy of the top option under random tie-breaking; label is a 1-based place."""
-    tied = F.transform(ps, lambda p: p >= top(ps) - TIE)
-    return F.when(F.element_at(tied, label), F.lit(1.0) / F.size(F.filter(tied, lambda t: t))).otherwise(F.lit(0.0))
+    among = lambda least: F.when(F.element_at(ps, label) >= least, F.lit(1.0) / F.size(F.filter(ps, lambda p: p >= least))).otherwise(F.lit(0.0))
+    return let(top(ps) - TIE, among)
 
 
 def clipped(ps: Column) -> Column:
@@ -100,8 +103,8 @@ def score_error(ref: Column, ps: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits)))
-    return F.transform(shifted, lambda e: e / total(shifted))
+    raised = lambda xs: let(F.array_max(xs), lambda most: F.transform(xs, lambda x: F.exp(x.cast("double") - most)))
+    return let(let(logits, raised), lambda es: let(total(es), lambda s: F.transform(es, lambda e: e / s)))
 
 
 def rescale(ps: Column, t: Column) -> Column:
@@ -124,13 +127,19 @@ def gold_fill(k: Column, label: Column, mass: float) -> Column:
 
 
 def smooth(ps: Column, keep: float = 0.95) -> Column:
-    return F.transform(ps, lambda p: keep * p + F.lit(1 - keep) / F.size(ps))
+    return let(F.size(ps), lambda k: F.transform(ps, lambda p: keep * p + F.lit(1 - keep) / k))
 
 
 def two_level(x: Column, k: int) -> Column:
     """A real-valued level in [0, k-1] as mass on its two neighbours."""
-    lo = F.least(F.floor(x), F.lit(k - 2))
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == lo, 1 - (x - lo)).when(i == lo + 1, x - lo).otherwise(0.0))
+    spread = lambda x, lo: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == lo, 1 - (x - lo)).when(i == lo + 1, x - lo).otherwise(0.0))
+    return let(x, lambda x: let(F.least(F.floor(x), F.lit(k - 2)), lambda lo: spread(x, lo)))
+
+
+def merged_golds(golds: Column, keys: Column) -> Column:
+    """Several acceptable answers (an array of keys) as equal mass on those among the options, each counted once; NULL if none is."""
+    inside = F.filter(F.array_distinct(golds), lambda g: F.array_contains(keys, g))
+    return let(inside, lambda gs: F.when(F.size(gs) > 0, F.transform(keys, lambda k: F.when(F.array_contains(gs, k), F.lit(1.0) / F.size(gs)).otherwise(0.0))))
 
 
 def to_answer(qtype: Column, keys: Column, ps: Column) -> Column:

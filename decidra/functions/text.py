@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: a token is one CJK character, or a run of letters and digits with inner quotes and dots.
-TOKEN = r"[一-鿿]|[a-z0-9]+(?:['’.][a-z0-9]+)*"
+TOKEN = r"[㐀-鿿]|[a-z0-9]+(?:['’.][a-z0-9]+)*"
+#: Fixed value: what a clipped text ends with.
+TRUNCATED = " …[truncated]"
 TEXT_OPS = ("TYPE_TEXT", "REPLACE_TEXT", "APPEND_TEXT", "RENAME", "TYPE_FOCUSED")
 
 
@@ -52,7 +54,8 @@ def heads_for(op: Column, qids: Column) -> Column:
     return F.array_distinct(F.concat(own, extra("type_text_value", op.isin(*TEXT_OPS)), extra("replace_from", op == "REPLACE_TEXT")))
 
 
-def clip(text: Column, n: int = 8000, mark: str = "…") -> Column:
+def clip(text: Column, n: int = 8000, mark: str = TRUNCATED) -> Column:
+    """Texts of more than n characters end after n of them, with a mark."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
 
 

@@ -66,7 +66,11 @@ def twins(rows: DataFrame, step: list[str]) -> DataFrame:
     return rows.join(many, step, "left_semi")
 
 
-def prune(elements: Column, keep: Column, decorative: tuple[str, ...] = ("image", "separator", "generic", "container")) -> Column:
+#: Roles of elements that only decorate a desktop.
+DECORATIVE = ("scrollBar", "scrollArea", "group", "image")
+
+
+def prune(elements: Column, keep: Column, decorative: tuple[str, ...] = DECORATIVE) -> Column:
     """Elements (structs of index, role, name) without decorative ones, but with those that are options."""
     return F.filter(elements, lambda e: ~e["role"].isin(*decorative) | F.array_contains(keep, e["index"]))
 

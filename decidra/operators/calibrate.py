@@ -21,13 +21,13 @@ def with_kind(answers: DataFrame) -> DataFrame:
 def fit(answers: DataFrame, keys: list[str]) -> DataFrame:
     """keys, t: the lowest temperature of the grid with the least mean soft loss; kinds with too few pairs have none.
 
-    answers: keys, ref, ps. The grid is an array in each row, so no join is needed and losses are summed map-side.
+    answers: keys, ref, ps. Each row's losses are one array over the grid, averaged place by place map-side: rows aren't multiplied.
     """
     grid = F.array(*(F.lit(t) for t in GRID))
-    each = answers.select(*keys, "ref", "ps", F.explode(grid).alias("t"))
-    losses = each.groupBy(*keys, "t").agg(F.avg(P.soft_nll(F.col("ref"), P.rescale(F.col("ps"), F.col("t")))).alias("loss"), F.count("*").alias("n"))
+    each = answers.select(*keys, F.transform(grid, lambda t: P.soft_nll(F.col("ref"), P.rescale(F.col("ps"), t))).alias("losses"))
     # a loss is compared to 12 digits, so that the order of summing can't move the minimum
-    return losses.filter(F.col("n") >= LEAST_PAIRS).groupBy(*keys).agg(F.min_by("t", F.struct(F.round("loss", 12), F.col("t"))).alias("t"))
+    means = F.array(*(F.struct(F.round(F.avg(F.element_at("losses", i + 1)), 12).alias("loss"), F.lit(t).alias("t")) for i, t in enumerate(GRID)))
+    return each.groupBy(*keys).agg(F.count("*").alias("n"), F.array_min(means).alias("best")).filter(F.col("n") >= LEAST_PAIRS).select(*keys, F.col("best.t").alias("t"))
 
 
 def crossfit(answers: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Contamination of a corpus by benchmark items: shared token n-grams and equal option sets; exact dedup; guards.
 
-The benchmark's grams are the small side. They are broadcast only while their number, counted first, is below a bound;
-beyond it both sides are shuffled on the gram.
+Grams are joined as 64-bit hashes, so neither side carries 13 times its text. The benchmark's grams are the small side: they
+are broadcast only while their number, counted first, is below a bound; beyond it both sides are shuffled on the hash.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from decidra.functions.text import ngrams, option_set, tokens
+from decidra.sources.staging import staged
 
 BROADCAST_GRAMS = 2_000_000
 #: A benchmark item is flagged from this share of its grams, or this many of them in one training item.
@@ -18,7 +19,12 @@ FLAG_SHARE, FLAG_COUNT = 0.05, 20
 
 
 def grams_of(rows: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
-    return rows.select(key, F.explode(ngrams(tokens(F.col(text)), n)).alias("gram"))
+    """key and each distinct n-gram's hash."""
+    return rows.select(key, F.explode(gram_hashes(F.col(text), n)).alias("gram"))
+
+
+def gram_hashes(text: Column, n: int = 13) -> Column:
+    return F.array_distinct(F.transform(ngrams(tokens(text), n), lambda g: F.xxhash64(g)))
 
 
 def gram_hits(bench: DataFrame, corpus: DataFrame, n: int = 13) -> DataFrame:
@@ -28,6 +34,11 @@ def gram_hits(bench: DataFrame, corpus: DataFrame, n: int = 13) -> DataFrame:
     return grams_of(corpus, "doc_id", "text", n).join(F.broadcast(wanted) if small else wanted, "gram")
 
 
+def with_hits(bench: DataFrame, corpus: DataFrame, n: int = 13) -> DataFrame:
+    """gram_hits for several uses: they are worked out once and written to the checkpoint folder, if there is one."""
+    return staged(gram_hits(bench, corpus, n))
+
+
 def best_match(hits: DataFrame) -> DataFrame:
     """item_id, best (the first document with the most shared grams), shared."""
     each = hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
@@ -36,7 +47,7 @@ def best_match(hits: DataFrame) -> DataFrame:
 
 def summary(bench: DataFrame, hits: DataFrame, n: int = 13) -> DataFrame:
     """item_id, grams, hits, share, best, shared, flagged of every benchmark item."""
-    size = bench.select("item_id", F.size(ngrams(tokens(F.col("text")), n)).cast("long").alias("grams"))
+    size = bench.select("item_id", F.size(gram_hashes(F.col("text"), n)).cast("long").alias("grams"))
     distinct = hits.groupBy("item_id").agg(F.count_distinct("gram").alias("hits"))
     rows = size.join(distinct, "item_id", "left").join(best_match(hits), "item_id", "left").withColumns({"hits": F.coalesce("hits", F.lit(0)), "shared": F.coalesce("shared", F.lit(0))})
     share = F.col("hits") / F.greatest("grams", F.lit(1))

@@ -7,14 +7,17 @@ bucket, so a group of any size is many small windows instead of one.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from decidra.functions import prob as P
 from decidra.functions.text import k_bucket
+from decidra.sources.staging import staged
 
-BUCKETS = 4096
+BUCKETS = 64  # by confidence, and as many by ord within a confidence that many rows have
 METRICS = ("accuracy", "nll", "brier", "cross_entropy", "kl", "tv")
 
 
@@ -38,8 +41,19 @@ def score_pairs(questions: DataFrame, predictions: DataFrame, runs: list[int]) -
 
 
 def ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Answered pairs with n (of their group), rn (rank by confidence, ties by ord) and errors (running)."""
-    rows = pairs.filter("answered").withColumn("_bucket", F.floor(F.col("confidence") * BUCKETS))
+    """Answered pairs with n (of their group), rn (rank by confidence, ties by ord) and errors (running).
+
+    A bucket is a range of confidence and, where one confidence is that of many rows, a range of ord in it: the bounds are
+    approximate quantiles of each over all rows, and any bounds give the same ranks.
+    """
+    rows = pairs.filter("answered")
+    cuts = rows.agg(*(F.percentile_approx(c, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias(c) for c in ("confidence", "ord"))).collect()[0]
+    by_conf, by_ord = sorted(set(cuts.confidence or [])), sorted(set(cuts.ord or []))
+    common = [c for c, n in Counter(cuts.confidence or []).items() if n > 1]  # what many rows have alike: bounds that repeat
+    place = lambda values, c: F.size(F.filter(F.array(*(F.lit(v) for v in values)), lambda v: v <= c)) if values else F.lit(0)
+    high = place(by_conf, F.col("confidence"))
+    low = F.when(F.col("confidence").isin(*common), -place(by_ord, F.col("ord"))).otherwise(0) if common else F.lit(0)
+    rows = rows.withColumn("_bucket", F.struct(high.alias("high"), low.alias("low")))
     each = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.sum(1 - F.col("correct")).alias("_e"))
     group, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select(*keys, "_bucket", F.sum("_n").over(group).alias("n"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_e").over(above), F.lit(0.0)).alias("_e0"))
@@ -60,23 +74,42 @@ def rank_metrics(pairs: DataFrame, keys: list[str], coverage: float = 0.8, risks
     )
 
 
+def _cells(pairs: DataFrame, keys: list[str], bins: int, more: dict[str, Column] | None = None) -> DataFrame:
+    """Sums of answered and other pairs by keys, label and bin of confidence: all that means over groups, labels or bins need."""
+    at = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))
+    return pairs.groupBy(*keys, "label", at.alias("bin")).agg(
+        F.count("*").alias("n"), F.count_if("answered").alias("a"), F.sum("correct").alias("c"), F.sum("confidence").alias("f"), *(v.alias(k) for k, v in (more or {}).items())
+    )
+
+
+def _ece(cells: DataFrame, keys: list[str]) -> DataFrame:
+    each = cells.filter("a > 0").groupBy(*keys, "bin").agg(F.sum("a").alias("a"), F.abs(F.sum("c") / F.sum("a") - F.sum("f") / F.sum("a")).alias("gap"))
+    return each.groupBy(*keys).agg((F.sum(F.col("a") * F.col("gap")) / F.sum("a")).alias("ece"))
+
+
+def _balanced(cells: DataFrame, keys: list[str]) -> DataFrame:
+    each = cells.filter("a > 0").groupBy(*keys, "label").agg((F.sum("c") / F.sum("a")).alias("acc"))
+    return each.groupBy(*keys).agg(F.when(F.count("*") >= 2, F.avg("acc")).alias("balanced_accuracy"))
+
+
 def ece(pairs: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    binned = pairs.filter("answered").groupBy(*keys, F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).alias("_bin"))
-    each = binned.agg(F.count("*").alias("_n"), F.abs(F.avg("correct") - F.avg("confidence")).alias("_gap"))
-    return each.groupBy(*keys).agg((F.sum(F.col("_n") * F.col("_gap")) / F.sum("_n")).alias("ece"))
+    return _ece(_cells(pairs, keys, bins), keys)
 
 
 def balanced_accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    each = pairs.filter("answered").groupBy(*keys, "label").agg(F.avg("correct").alias("_acc"))
-    return each.groupBy(*keys).agg(F.when(F.count("*") >= 2, F.avg("_acc")).alias("balanced_accuracy"))
+    return _balanced(_cells(pairs, keys, 10), keys)
 
 
 def summarize(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """All metrics of each group; a metric over nothing is NULL."""
-    base = pairs.groupBy(*keys).agg(
-        F.count("*").alias("pairs"), F.avg(F.col("answered").cast("double")).alias("coverage"), *(F.avg("correct" if m == "accuracy" else m).alias(m) for m in METRICS), F.avg("score_abs_err").alias("score_mae")
+    """All metrics of each group; a metric over nothing is NULL. Plain means, balanced accuracy and ECE come from one aggregation."""
+    pairs = staged(pairs)
+    sums = {f"s_{m}": F.sum(m) for m in METRICS[1:]} | {"s_mae": F.sum("score_abs_err"), "n_mae": F.count("score_abs_err")}
+    cells = staged(_cells(pairs, keys, 10, sums))
+    mean = lambda s, n="a": F.try_divide(F.sum(s), F.sum(n))
+    base = cells.groupBy(*keys).agg(
+        F.sum("n").alias("pairs"), (F.sum("a") / F.sum("n")).alias("coverage"), mean("c").alias("accuracy"), *(mean(f"s_{m}").alias(m) for m in METRICS[1:]), mean("s_mae", "n_mae").alias("score_mae")
     )
-    for part in (balanced_accuracy(pairs, keys), ece(pairs, keys), rank_metrics(pairs, keys)):
+    for part in (_balanced(cells, keys), _ece(cells, keys), rank_metrics(pairs, keys)):
         base = base.join(part, keys, "left")
     return base
 

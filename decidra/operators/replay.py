@@ -85,9 +85,11 @@ def tally(rows: DataFrame, keys: list[str], gates: tuple[str, ...] = HIGHER + LO
 
 
 def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """gate, passed, allowed, limit: the verdict of each gate of two tallies (gate, n, of)."""
-    gates = [g for g in HIGHER + LOWER]
-    both = baseline.filter(F.col("gate").isin(*gates)).select("gate", F.col("n").alias("bn"), F.col("of").alias("bo")).join(candidate.select("gate", F.col("n").alias("cn"), F.col("of").alias("co")), "gate")
+    """gate, passed, allowed, limit: the verdict of each gate of two tallies (gate, n, of). A gate that one of them lacks ends the job."""
+    sides = baseline.select("gate", F.col("n").alias("bn"), F.col("of").alias("bo")), candidate.select("gate", F.col("n").alias("cn"), F.col("of").alias("co"))
+    both = sides[0].join(sides[1], "gate", "full").filter(F.col("gate").isin(*HIGHER, *LOWER))
+    lacking = F.raise_error(F.concat(F.lit("a tally lacks the gate "), F.col("gate"))).cast("boolean")
+    both = both.withColumn("_whole", F.when(F.col("bo").isNull() | F.col("co").isNull(), lacking).otherwise(True)).filter("_whole").drop("_whole")
     share, held_n, held_of = F.lit(0.0), F.lit(None).cast("long"), F.lit(None).cast("long")
     for g, s in ALLOWED_SHARE.items():
         share = F.when(F.col("gate") == g, F.lit(s)).otherwise(share)

@@ -18,7 +18,8 @@ def is_undo(op: Column, target: Column) -> Column:
 
 
 def decide(op: Column, has_operation: Column, conf: Column, last_effect: Column, chord: Column, has_chord: Column, target: Column, threshold: float = 0.94, judge_threshold: float = 0.8) -> Column:
-    """struct(escalate, reason): the first rule that applies. conf: the least of the operation's and its heads'."""
+    """struct(escalate, reason): the first rule that applies. conf: the least of the operation's and its heads'; NULL counts as 0."""
+    conf = F.coalesce(conf, F.lit(0.0))
     is_op = lambda *names: F.coalesce(op.isin(*names), F.lit(False))
     unsafe = is_op("KEY") & has_chord & ~F.lower(F.coalesce(chord, F.lit(""))).isin(*SAFE_KEYS)
     rule = lambda escalate, reason: F.struct(F.lit(escalate).alias("escalate"), F.lit(reason).alias("reason"))
@@ -31,8 +32,12 @@ def decide(op: Column, has_operation: Column, conf: Column, last_effect: Column,
 
 
 def with_decision(rows: DataFrame, threshold: float = 0.94, judge_threshold: float = 0.8) -> DataFrame:
-    """Adds escalate, reason and conf to rows of op, has_operation, op_conf, head_conf (NULL without heads), last_effect, chord, target_text."""
-    conf = F.least("op_conf", F.coalesce("head_conf", "op_conf"))
+    """Adds escalate, reason and conf to rows of op, has_operation, op_conf, head_conf, last_effect, chord, target_text.
+
+    head_conf is NULL without heads; an operation without a probability has none, so its NULL counts as 0.
+    """
+    own = F.coalesce("op_conf", F.lit(0.0))
+    conf = F.least(own, F.coalesce("head_conf", own))
     made = decide(F.col("op"), F.col("has_operation"), conf, F.col("last_effect"), F.col("chord"), F.col("chord").isNotNull(), F.col("target_text"), threshold, judge_threshold)
     return rows.withColumns({"conf": conf, "_d": made}).select("*", "_d.escalate", "_d.reason").drop("_d")
 

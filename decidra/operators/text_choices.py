@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from decidra.functions.text import let
 
-#: The shapes of values in a goal, in order: dates, quotations, addresses, names, CJK runs, numbers.
+#: The shapes of values in a goal, in order: dates, quotations, addresses, names, CJK runs, numbers. Letters,
+#: digits, spaces and word ends are those of Unicode, so each is read under the flag UNICODE.
 MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
 PATTERNS = (
     (MONTH + r"\s+\d{1,2}(?:,\s*\d{4})?", 0),
@@ -26,9 +27,11 @@ STOP = (
     "find", "search", "open", "go", "show", "set", "select", "click", "stop", "do", "the", "a", "an", "and",
     "for", "from", "to", "on", "in", "with", "then", "when", "if", "not", "book", "please",
 )
+#: Words in a field's label that ask for a date or for a number.
 DATE_LABELS = ("date", "depart", "return", "check", "日期", "出发", "返回")
 NUMBER_LABELS = ("passenger", "adult", "guest", "room", "qty", "quantity", "人数")
 LONGEST = 80
+UNICODE = "(?U)"
 
 
 def _once(values: Column) -> Column:
@@ -38,7 +41,7 @@ def _once(values: Column) -> Column:
 
 def spans(text: Column, limit: int = 40) -> Column:
     """Values by length, the longest first, then in order of patterns; one of each up to case."""
-    found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(g)) for p, g in PATTERNS))
+    found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNICODE + p), F.lit(g)) for p, g in PATTERNS))
     stripped = F.transform(found, lambda v: F.regexp_replace(v, r"^[ ,.;:'\"]+|[ ,.;:'\"]+$", ""))
     fit = F.filter(stripped, lambda v: (v != "") & (F.length(v) <= LONGEST) & ~F.lower(v).isin(*STOP))
     ordered = F.transform(F.array_sort(F.transform(fit, lambda v, i: F.struct((-F.length(v)).alias("n"), i.alias("i"), v.alias("v")))), lambda s: s["v"])
@@ -49,8 +52,8 @@ def candidates(goal: Column, label: Column, page_values: Column, limit: int = 26
     """Spans of the goal ranked for the field, then values of the page that aren't among them."""
     name = F.lower(F.coalesce(label, F.lit("")))
     wants = lambda words: name.rlike("|".join(words))
-    dated = lambda v: v.rlike(rf"^(?:{MONTH}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}})")
-    number = lambda v: v.rlike(r"^\d+$")
+    dated = lambda v: v.rlike(rf"{UNICODE}^(?:{MONTH}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}})")
+    number = lambda v: v.rlike(rf"{UNICODE}^\d+$")
     last = lambda v: F.when(wants(DATE_LABELS), ~dated(v)).when(wants(NUMBER_LABELS), ~number(v)).otherwise(dated(v) | number(v)).cast("int")
     ordered = F.transform(F.array_sort(F.transform(spans(goal), lambda v, i: F.struct(last(v).alias("r"), (-F.length(v)).alias("n"), i.alias("i"), v.alias("v")))), lambda s: s["v"])
     given = F.filter(F.transform(F.coalesce(page_values, F.array().cast("array<string>")), F.trim), lambda v: (v != "") & (F.length(v) <= LONGEST))

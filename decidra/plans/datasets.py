@@ -135,9 +135,42 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_windows")
 def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages.page_elements(table(spark, sf_dir, "pages"))
-    targets = found.filter("role = 'anchor'").groupBy("page_id").agg(F.min("ord").alias("target"))
-    return pages.windows(found, targets)
+    stream = pages.page_stream(table(spark, sf_dir, "pages"))
+    return pages.windows(stream, _first_anchors(stream))
+
+
+def _first_anchors(stream: DataFrame) -> DataFrame:
+    return stream.filter("role = 'anchor'").groupBy("page_id").agg(F.min_by("node", "pos").alias("node"))
+
+
+def _web_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One step for each page, whose target is its first anchor, and the pages' streams."""
+    stream = pages.page_stream(table(spark, sf_dir, "pages"))
+    before = F.transform(F.sequence(F.lit(1).cast("long"), F.col("page_id") % 7 + 1), lambda i: F.concat(F.lit("step "), i.cast("string")))
+    steps = table(spark, sf_dir, "pages").join(_first_anchors(stream), "page_id", "left").select(
+        F.col("page_id").alias("step_id"), F.regexp_extract("url", "://([^/]+)", 1).alias("website"), F.concat(F.lit("Open link "), "page_id").alias("goal"), before.alias("history"), "node"
+    )
+    return steps, stream.withColumnRenamed("page_id", "step_id")
+
+
+@query("web_items")
+def web_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.web_items(*_web_steps(spark, sf_dir))[0]
+
+
+@query("web_items_skipped")
+def web_items_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.web_items(*_web_steps(spark, sf_dir))[1]
+
+
+@query("web_records")
+def web_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.web_records(*_web_steps(spark, sf_dir))
+
+
+@query("page_sites", "SELECT count(*) AS items, count(DISTINCT regexp_extract(url, '://([^/]+)', 1)) AS websites FROM pages")
+def page_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.site_counts(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("website")))
 
 
 @query("text_spans")
