@@ -1,10 +1,11 @@
-"""License scans with a positional index of templates' rarest words.
+"""License scans with a positional index of templates' words, looked up by a file's rarest ones.
 
-One pass over all documents counts in how many of them each licence word occurs, so a word's IDF is that of the corpus.
-Each template is then posted under its highest-IDF words with their positions. The second pass looks up those words in
-a document: every hit proposes the place where the template would start, and places that several rare words agree on,
-give or take a few words, are verified against the template's mandatory key phrases and aligned word by word. Base
-phrases are searched for as whole word sequences besides, so a base label never hangs on the index.
+One pass over all documents counts in how many of them each licence word occurs, so a word's IDF is that of the corpus. The
+index has all positions of every template word. In the second pass a document's licence words are ranked by IDF, and the
+postings of the highest are fetched: those that few documents have, and at least LEAST_WORDS. A posting says where its template
+would start; the lists are intersected by that, so a place counts that several distinct words agree on, give or take a few
+words. Places are verified against the template's mandatory key phrases and aligned word by word. Base phrases are searched for
+as whole word sequences besides, so a base label never hangs on the index.
 
 Words are runs of digits, letters after lower-casing A-Z, and every character beyond ASCII. Defined results: a null or
 empty text has no words, no labels and score 0; overlapping places of base phrases all count; labels are distinct and
@@ -36,22 +37,68 @@ class Template(NamedTuple):
     keys: tuple[str, ...]
 
 
-TEMPLATES = (
+#: The standard wording of licences' notices and of the paragraphs by which their full texts are known.
+NOTICES = (
+    Template("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license",)),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
     Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
+    Template("apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ("apache license version 2 0",)),
+    Template("artistic-2.0", "the artistic license 2 0 everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("artistic license 2 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "with or without modification")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code",)),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form",)),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name", "endorse or promote products")),
+    Template("bsl-1.0", "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software", ("boost software license",)),
     Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-3.0", "this work is licensed under the creative commons attribution 3 0 license", ("creative commons attribution 3 0",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    Template("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives",)),
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Template("cc0-1.0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide", ("to the extent possible under law", "public domain")),
+    Template("cc0-1.0", "cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
+    Template("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", ("common development and distribution license",)),
+    Template("epl-1.0", "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution", ("eclipse public license v1 0",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", ("eclipse public license 2 0",)),
+    Template("epl-2.0", "eclipse public license v 2 0 the accompanying program is provided under the terms of this eclipse public license", ("eclipse public license v 2 0",)),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2 of the license")),
+    Template("gpl-2.0", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc", ("version 2 june 1991",)),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    Template("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3 of the license")),
+    Template("gpl-3.0", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("version 3 29 june 2007",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify", "with or without fee")),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("mit", "released under the mit license", ("mit license",)),
+    Template("mit", "licensed under the mit license", ("mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "copy of this software")),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("copies or substantial portions of the software",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("wtfpl", "do what the fuck you want to public license version 2 december 2004", ("do what the fuck you want to",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
 )
-RARE_WORDS = 3  # of each template, posted in the index
-SLACK = 3  # words by which two hits' proposed starts may differ
+#: Identifiers of licence tags, and the labels of those that have another here.
+IDENTIFIERS = (
+    "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0",
+    "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+LABELS = {"BSD-2-Clause": "bsd", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-ND-4.0": "cc-by-nd", "CC-BY-SA-4.0": "cc-by-sa", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl"}
+
+
+def _tag(identifier: str) -> Template:
+    words = "spdx license identifier " + identifier.lower().replace("-", " ").replace(".", " ")
+    return Template(LABELS.get(identifier, identifier.lower()), words, (words,))
+
+
+TEMPLATES = NOTICES + tuple(_tag(i) for i in IDENTIFIERS)
+LEAST_WORDS = 4  # a document's licence words of highest IDF that are looked up in any case
+COMMON = 0.05  # of all documents; words that more of them have are looked up only among the LEAST_WORDS
+AGREE = 2  # distinct words that must agree on a place, of a template that has as many among those looked up
+SLACK = 3  # words by which two words' proposed starts may differ
 LEAST_COVER = 0.6  # of a template's words, found in place
 
 _KEEP = bytes(c if chr(c).isdigit() or chr(c).islower() and c < 128 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -93,38 +140,67 @@ def corpus_idf(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, float]:
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in vocabulary}
 
 
+def place_of(number: int, start: int, index: Index, words: list[bytes]) -> float:
+    """The share of a template's words that stand in place if it starts there, or 0 if a key phrase is missing."""
+    _, wanted, keys = index.templates[number]
+    near = _line(words[max(0, start - SLACK) : max(0, start + len(wanted) + SLACK)])
+    if not all(b" " + k + b" " in near for k in keys):
+        return 0.0
+    return sum(w in words[max(0, start + i - SLACK) : max(0, start + i + SLACK + 1)] for i, w in enumerate(wanted)) / len(wanted)
+
+
 class Index:
-    """rare word -> (template, position) postings, and what verification needs."""
+    """word -> [(template, position)] over all words of all templates, and the words' IDF."""
 
-    def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float], rare_words: int = RARE_WORDS):
+    def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float]):
         self.templates = [(t.label, t.words.encode().split(), [k.encode() for k in t.keys]) for t in templates]
+        self.idf = idf
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for number, (_, words, _) in enumerate(self.templates):
-            for rare in sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[:rare_words]:
-                for position, word in enumerate(words):
-                    if word == rare:
-                        self.postings[rare].append((number, position))
-        self.lookup = frozenset(self.postings)
-
-    def match(self, words: list[bytes], line: bytes) -> dict[str, float]:
-        """label -> the best share of a template's words that stand in place, of the templates that verify."""
-        starts: dict[int, Counter] = defaultdict(Counter)
+            for position, word in enumerate(words):
+                self.postings[word].append((number, position))
+        self.vocabulary = frozenset(self.postings)
+        self.floor = -math.log(COMMON)
+        #: A text without any of these can hold no template's key phrases: the rarest word of each key phrase.
+        self.anchors = frozenset(max(k.split(), key=lambda w: (idf.get(w, 0.0), w)) for _, _, keys in self.templates for k in keys)
+
+    def looked_up(self, words: list[bytes]) -> list[bytes]:
+        """A text's licence words by IDF, the highest first: the rare ones, and LEAST_WORDS at least."""
+        ranked = sorted(self.vocabulary.intersection(words), key=lambda w: (-self.idf.get(w, 0.0), w))
+        return [w for i, w in enumerate(ranked) if i < LEAST_WORDS or self.idf.get(w, 0.0) >= self.floor]
+
+    def places(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(template, start) on which enough distinct looked-up words agree."""
+        look = set(self.looked_up(words))
+        starts: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         for position, word in enumerate(words):
-            for number, at in self.postings.get(word, ()):
-                starts[number][position - at] += 1
-        best: dict[str, float] = {}
+            if word in look:
+                for number, at in self.postings[word]:
+                    starts[number].append((position - at, word))
         for number, proposed in starts.items():
-            label, wanted, keys = self.templates[number]
-            need = min(2, len({w for w in wanted if w in self.lookup and any(n == number for n, _ in self.postings[w])}))
-            for start in proposed:
-                if sum(proposed[start + d] for d in range(-SLACK, SLACK + 1)) < need:
-                    continue
-                near = words[max(0, start - SLACK) : max(0, start + len(wanted) + SLACK)]
-                if not all(b" " + k + b" " in _line(near) for k in keys):
-                    continue
-                cover = sum(any(0 <= start + i + d < len(words) and words[start + i + d] == w for d in range(-SLACK, SLACK + 1)) for i, w in enumerate(wanted)) / len(wanted)
-                if cover >= LEAST_COVER:
-                    best[label] = max(best.get(label, 0.0), cover)
+            need = min(AGREE, len(look.intersection(self.templates[number][1])))
+            proposed.sort()
+            first, held = 0, Counter()
+            last = None
+            for start, word in proposed:
+                held[word] += 1
+                while proposed[first][0] < start - 2 * SLACK:
+                    held[proposed[first][1]] -= 1
+                    held += Counter()  # without words that left
+                    first += 1
+                if len(held) >= need:
+                    for middle in range(max(start - SLACK, -1 << 60 if last is None else last + 1), start + 1):
+                        last = middle
+                        yield number, middle
+
+    def match(self, words: list[bytes]) -> dict[str, float]:
+        """label -> the best share of a template's words that stand in place, of the templates that verify."""
+        best: dict[str, float] = {}
+        for number, start in self.places(words):
+            cover = place_of(number, start, self, words)
+            if cover >= LEAST_COVER:
+                label = self.templates[number][0]
+                best[label] = max(best.get(label, 0.0), cover)
         return best
 
 
@@ -137,13 +213,15 @@ def scan_licenses(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
 
     def judge(text: bytes) -> tuple:
         words = words_of(text)
-        if index.lookup.isdisjoint(words) and not any(p.split()[0] in words for p, _ in phrases):
+        held = set(words)
+        licensed = not index.anchors.isdisjoint(held)
+        if not licensed and not any(p.split()[0] in held for p, _ in phrases):
             return len(words), 0, None, None, "", "", 0.0
         line = _line(words)
         places = {label: phrase_starts(line, p) for p, label in phrases}
         found = sorted(x for xs in places.values() for x in xs)
         own = {label for label, xs in places.items() if xs}
-        matched = index.match(words, line)
+        matched = index.match(words) if licensed else {}
         score = 1.0 if own else max(matched.values(), default=0.0)
         return len(words), len(found), found[0] if found else None, found[-1] if found else None, ",".join(sorted(own)), ",".join(sorted(own | set(matched))), score
 
