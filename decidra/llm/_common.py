@@ -17,10 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 U64 = np.uint64
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark context."""
+    """Sends this package to the executors, once for each Spark context.
+
+    Arrow batches are bounded by BATCH_BYTES too, unless the session has a bound of its own: texts are of any length, and a
+    batch is held by the JVM and by Python at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_decidra_shipped", False):
         return
@@ -36,9 +44,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own on a local master; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="decidra-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -94,6 +105,31 @@ def without(documents: DataFrame, ids: DataFrame, name: str, key: str = "doc_id"
     return documents.join(F.broadcast(staged) if few else staged, key, "left_anti").select(*documents.columns)
 
 
+SALTS = 32
+
+
+def join_by_key(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to `small`, a staged table with one row for each key.
+
+    Up to BROADCAST_ROWS of its rows, counted, are broadcast. More are joined by shuffling, with every key dealt over SALTS parts,
+    so that a key with a third of all rows isn't one task.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, how)
+    salt = free_name("salt", rows, small)
+    dealt = rows.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, salt], how).drop(salt)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while f"_{name}".lower() in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def with_row_ids(documents: DataFrame, above: bool) -> DataFrame:
     """documents with row_id, another for each row: its doc_id, or one above (else below) all ids.
 

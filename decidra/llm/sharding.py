@@ -3,12 +3,16 @@
 Arrivals are appended as runs: folders of small Parquet shards that are never changed. Compaction sorts the runs whose
 shards are below the target size into tiers by their bytes; a tier that holds `fanout` runs is read and written again
 as one run of target-sized shards, without a shuffle. A run whose shards have the target size is left alone, so a row is
-written a few times at most. Every change ends in a manifest: a new table of all live shards, made current by creating
-its numbered commit file, which only one writer can. Readers keep the version that they opened.
+written a few times at most.
+
+Every change ends in a manifest, a new table of all live shards, and a commit file with the manifest's name. The commit file is
+written aside, whole, and then renamed to its number without overwriting, so a number appears with its content or not at all,
+and only one writer gets it. A writer lost before the rename leaves files that no version lists; `vacuum` finds them by listing
+the store. Readers keep the version that they opened. The driver holds one row for each run, never one for each shard.
 
 Defined results: rows are stored as they are, nulls, empty and long texts and repeated rows included; an arrival
-without rows adds no shard; committing on an outdated version raises CommitConflict and leaves the store as it was;
-an empty store reads as no rows; columns of any name are kept.
+without rows adds no shard; committing on an outdated version raises CommitConflict, leaves the store as it was and deletes
+what the writer had written; an empty store reads as no rows; columns of any name are kept, the one that arrivals go by included.
 """
 
 from __future__ import annotations
@@ -17,11 +21,16 @@ import math
 import uuid
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from decidra.llm._common import free_name
+
 MANIFEST = T.StructType([T.StructField("shard", T.StringType()), T.StructField("run", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("tier", T.IntegerType())])
+MANIFEST_ROWS = 1_000_000  # of a manifest's file
+GRACE_S = 86_400.0  # for which a writer may still be going to commit its files
 
 
 class Shard(NamedTuple):
@@ -31,6 +40,13 @@ class Shard(NamedTuple):
     tier: int
 
 
+class Run(NamedTuple):
+    run: str
+    bytes: int
+    shards: int
+    tier: int
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -45,107 +61,147 @@ class ShardStore:
     def _path(self, *parts: str):
         return self._hadoop.Path("/".join([self.path, *parts]))
 
+    def _listed(self, *parts: str) -> list:
+        at = self._path(*parts)
+        return list(self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     # --- manifests
 
     def version(self) -> int:
         """The current version; 0 before the first commit."""
-        if not self._fs.exists(self._path("commits")):
-            return 0
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(self._path("commits"))), default=0)
+        return max((int(s.getPath().getName()) for s in self._listed("commits")), default=0)
 
-    def manifest(self, version: int | None = None) -> list[Shard]:
+    def manifest(self, version: int | None = None) -> DataFrame | None:
+        """The live shards of a version; None before the first."""
         version = self.version() if version is None else version
         if not version:
-            return []
+            return None
         stream = self._fs.open(self._path("commits", f"{version:010d}"))
         try:
             name = stream.readUTF()
         finally:
             stream.close()
-        return [Shard(*r) for r in self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}").orderBy("shard").collect()]
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}")
 
-    def commit(self, based_on: int, shards: list[Shard]) -> int:
-        """Makes `shards` version based_on + 1. Creating the numbered file is the one atomic step."""
+    def runs(self, version: int | None = None) -> list[Run]:
+        """The live runs of a version."""
+        shards = self.manifest(version)
+        if shards is None:
+            return []
+        each = shards.groupBy("run").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), F.max("tier").alias("tier"))
+        return [Run(*r) for r in each.orderBy("run").collect()]
+
+    def commit(self, based_on: int, new: list[Shard], gone: list[str] = ()) -> int:
+        """Makes version based_on + 1: its predecessor's shards without the runs `gone`, and the new ones. The rename is the one atomic step."""
         name = uuid.uuid4().hex
-        self.spark.createDataFrame(shards, MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        shards, before = self.spark.createDataFrame(new, MANIFEST), self.manifest(based_on)
+        files = 1
+        if before is not None:
+            files += before.count() // MANIFEST_ROWS
+            kept = before.join(F.broadcast(self.spark.createDataFrame([(r,) for r in gone], "run string")), "run", "left_anti") if gone else before
+            shards = kept.select(*MANIFEST.names).unionByName(shards)
+        shards.coalesce(files).write.parquet(f"{self.path}/manifests/{name}")
+        aside = self._path("aside", name)
         self._fs.mkdirs(self._path("commits"))
-        try:
-            stream = self._fs.create(self._path("commits", f"{based_on + 1:010d}"), False)
-        except Exception as error:
-            self._fs.delete(self._path("manifests", name), True)
-            raise CommitConflict(f"version {based_on + 1} is there already") from error
+        stream = self._fs.create(aside, False)
         stream.writeUTF(name)
         stream.close()
+        if not self._claimed(aside, based_on + 1):
+            self._fs.delete(aside, False)
+            for folder in [f"manifests/{name}", *{s.run for s in new}]:
+                self._fs.delete(self._path(folder), True)
+            raise CommitConflict(f"version {based_on + 1} is there already")
         return based_on + 1
 
+    def _claimed(self, aside, version: int) -> bool:
+        """Renames a commit file to its number; False if the number is taken."""
+        context = self._hadoop.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)  # that is, without overwriting
+        try:
+            context.rename(self._fs.makeQualified(aside), self._fs.makeQualified(self._path("commits", f"{version:010d}")), plain)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     # --- runs
 
     def tier(self, n_bytes: int) -> int:
         return max(0, math.floor(math.log(max(n_bytes, 1) / self.least_bytes, self.fanout)) + 1) if n_bytes > self.least_bytes else 0
 
-    def _shards(self, run: str, folder: str) -> list[Shard]:
-        files = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
+    def _shards(self, run: str) -> list[Shard]:
+        files = [(s.getPath().getName(), s.getLen()) for s in self._listed(run) if s.getPath().getName().endswith(".parquet")]
         whole = sum(n for _, n in files)
-        return [Shard(f"{folder}/{name}", run, n, self.tier(whole)) for name, n in files]
+        return [Shard(f"{run}/{name}", run, n, self.tier(whole)) for name, n in files]
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> int:
-        """Adds rows as one run, or as one for each value of the column `arrival`, and commits."""
-        based_on, before = self.version(), self.manifest()
-        run = f"run-{uuid.uuid4().hex}"
+        """Adds rows as one run and commits it; with `arrival`, one run and one version for each value of that column, in their order."""
+        based_on, run = self.version(), f"run-{uuid.uuid4().hex}"
         if arrival is None:
             rows.write.parquet(f"{self.path}/{run}")
-            new = self._shards(run, run)
-        else:
-            rows.write.partitionBy(arrival).parquet(f"{self.path}/{run}")
-            folders = [s.getPath().getName() for s in self._fs.listStatus(self._path(run)) if s.isDirectory()]
-            new = [x for f in folders for x in self._shards(f"{run}/{f}", f"{run}/{f}")]
-        return self.commit(based_on, before + new)
-
-    def _merge(self, runs: list[list[Shard]]) -> list[Shard]:
+            return self.commit(based_on, self._shards(run))
+        part = free_name("part", rows)  # a copy, as the column that files are dealt by isn't in them
+        rows.withColumn(part, F.col(arrival)).write.partitionBy(part).parquet(f"{self.path}/{run}")
+        for folder in sorted(s.getPath().getName() for s in self._listed(run) if s.isDirectory()):
+            based_on = self.commit(based_on, self._shards(f"{run}/{folder}"))
+        return based_on
+
+    def _merge(self, runs: list[Run]) -> list[Shard]:
         run = f"run-{uuid.uuid4().hex}"
-        old = [s for r in runs for s in r]
-        whole = sum(s.bytes for s in old)
-        self._read(old).coalesce(max(1, round(whole / self.target_bytes))).write.parquet(f"{self.path}/{run}")
-        return self._shards(run, run)
+        whole = sum(r.bytes for r in runs)
+        self._read([r.run for r in runs]).coalesce(max(1, round(whole / self.target_bytes))).write.parquet(f"{self.path}/{run}")
+        return self._shards(run)
 
     def compact(self) -> int:
         """Merges until no tier is full; one commit for each merge. Gives the version then current."""
         while True:
-            based_on, live = self.version(), self.manifest()
-            by_run: dict[str, list[Shard]] = {}
-            for s in live:
-                by_run.setdefault(s.run, []).append(s)
-            tiers: dict[int, list[list[Shard]]] = {}
-            for run in by_run.values():
-                if sum(s.bytes for s in run) / len(run) < self.target_bytes / 2:  # its shards are small on average
-                    tiers.setdefault(run[0].tier, []).append(run)
+            based_on = self.version()
+            tiers: dict[int, list[Run]] = {}
+            for run in self.runs(based_on):
+                if run.bytes / run.shards < self.target_bytes / 2:  # its shards are small on average
+                    tiers.setdefault(run.tier, []).append(run)
             full = next((runs for _, runs in sorted(tiers.items()) if len(runs) >= self.fanout), None)
             if full is None:
                 return based_on
-            gone = {s.run for r in full for s in r}
-            self.commit(based_on, [s for s in live if s.run not in gone] + self._merge(full))
+            self.commit(based_on, self._merge(full), [r.run for r in full])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards that none of the last `keep` versions lists; gives their number."""
+    def vacuum(self, keep: int = 1, grace_s: float = GRACE_S) -> int:
+        """Deletes runs that none of the last `keep` versions lists, whether an older one does or no commit ever did; gives their number.
+
+        What no commit lists is left alone for grace_s, as its writer may be about to commit.
+        """
         current = self.version()
-        used = {s.shard for v in range(max(1, current - keep + 1), current + 1) for s in self.manifest(v)}
-        known = {s.shard for v in range(1, current + 1) for s in self.manifest(v)}
-        for shard in known - used:
-            self._fs.delete(self._path(shard), False)
-        return len(known - used)
+        last = range(max(1, current - keep + 1), current + 1)
+        used = {r.run for v in last for r in self.runs(v)}
+        known = {r.run for v in range(1, current + 1) for r in self.runs(v)} if grace_s else set()
+        newest = self.spark._jvm.System.currentTimeMillis() - 1000 * grace_s
+        gone = 0
+        for status in self._listed():
+            top = status.getPath().getName()
+            if not top.startswith("run-"):
+                continue
+            folders = [f"{top}/{s.getPath().getName()}" for s in self._listed(top) if s.isDirectory()] or [top]
+            for run in folders:
+                if run not in used and (run in known or status.getModificationTime() <= newest):
+                    self._fs.delete(self._path(run), True)
+                    gone += 1
+            if folders != [top] and not any(s.isDirectory() for s in self._listed(top)):  # all its arrivals are gone
+                self._fs.delete(self._path(top), True)
+        return gone
 
     # --- reading
 
-    def _read(self, shards: list[Shard]) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{s.shard}" for s in shards])
+    def _read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{r}" for r in runs])
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version, with `_shard`, the shard that holds each; None for an empty store."""
-        shards = self.manifest(version)
-        if not shards:
+        runs = self.runs(version)
+        if not runs:
             return None
         at = F.regexp_extract(F.col("_metadata.file_path"), r"(run-[0-9a-f]{32}/.*)$", 1)
-        return self._read(shards).select("*", at.alias("_shard"))
+        return self._read([r.run for r in runs]).select("*", at.alias("_shard"))
 
 
 def shard_documents(documents: DataFrame, path: str, target_bytes: int, least_bytes: int, id_col: str = "doc_id") -> tuple[ShardStore, DataFrame | None]:
@@ -153,7 +209,8 @@ def shard_documents(documents: DataFrame, path: str, target_bytes: int, least_by
     store = ShardStore(documents.sparkSession, path, target_bytes, 4, least_bytes)
     part = F.pmod(F.xxhash64(id_col), F.lit(64))
     arrival = F.when(part < 16, part).when(part < 32, 16 + F.floor((part - 16) / 4)).otherwise(20 + F.floor((part - 32) / 16)).cast("int")
-    store.append(documents.withColumn("_arrival", arrival), "_arrival")
+    name = free_name("arrival", documents)
+    store.append(documents.withColumn(name, arrival), name)
     store.compact()
     store.vacuum()
     return store, store.read()
