@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import U64, byte_texts, drop, mix64, stage
+from decidra.llm._common import BROADCAST_ROWS, U64, byte_texts, drop, mix64, stage
 
 BUCKET_DIGESTS = 60_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,9 +142,14 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def byte_check(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (digest, old_id, new_id), the digests whose two texts are the same bytes after normalising."""
-    wanted = pairs.select(F.explode(F.array("old_id", "new_id")).alias("doc_id")).distinct()
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+    """Of pairs (digest, old_id, new_id), the digests whose two texts are the same bytes after normalising.
+
+    The ids of the pairs are counted: up to BROADCAST_ROWS are broadcast, so only the texts they name are shuffled.
+    """
+    pairs, _ = stage(pairs, "maybe-pairs")
+    wanted, _ = stage(pairs.select(F.explode(F.array("old_id", "new_id")).alias("doc_id")).distinct(), "maybe-ids")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     old, new = (texts.select(F.col("doc_id").alias(f"{x}_id"), ascii_lower(F.col("text")).alias(f"{x}_text")) for x in ("old", "new"))
     both = pairs.join(old, "old_id").join(new, "new_id")
     unnamed = pairs.filter("old_id IS NULL OR new_id IS NULL").select("digest")  # no id to fetch a text by: the digest decides
