@@ -2,8 +2,9 @@
 
 Folding lower-cases, strips accents, maps look-alike letters of other scripts and full-width forms to Latin ones, undoes
 digit and sign substitutions, drops zero-width characters and turns punctuation into spaces. The lexicon holds the
-beginnings of words that toxic texts have significantly more often, each with its log-odds as weight; matches inside an
-exception phrase don't count. A text's sum of weights is normalised by its length in words to a fitted power, and a
+beginnings of words that toxic texts have significantly more often, each with its log-odds as weight. Exception phrases are
+learned too: a lexicon word with the word before or behind it, where clean texts have the two significantly more often; matches
+inside such a phrase don't count, nor inside phrases that are given. A text's sum of weights is normalised by its length in words to a fitted power, and a
 logistic curve makes the score.
 
 The lexicon and the curve are fitted on a bounded sample of labelled rows (`max_toxic` and `max_clean` rows with the
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -35,10 +36,9 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 #: Letters with accents, by what is under them.
 ACCENTS = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõöø", "u": "ùúûü", "y": "ÿ"}
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum")
-
 SHORTEST, LONGEST = 4, 8  # letters of a word's beginning
 LEAST_G2, LEAST_DOCS = 22.0, 3
+EXCEPTION_G2 = 6.6  # of a phrase in clean texts; it needs LEAST_DOCS of them
 MOST_ENTRIES = 1000
 POWERS = (0.1, 0.25, 0.5, 1.0)
 
@@ -84,7 +84,8 @@ class Scorer:
             self.automaton.add_word(" " + word, (len(word), weight))
         if model.entries:
             self.automaton.make_automaton()
-        self.exceptions = [" " + fold(x) for x in model.exceptions]
+        self.exceptions = tuple(" " + " ".join(fold(x).split()) for x in model.exceptions)
+        self.longest = max((x.count(" ") for x in self.exceptions), default=0)  # in words
 
     def matches(self, text: str) -> tuple[float, int, int]:
         """(sum of weights, matches, words) of a text."""
@@ -94,12 +95,23 @@ class Scorer:
         if self.model.entries:
             for end, (length, weight) in self.automaton.iter(folded):
                 at = end - length  # the space before the word
-                if any(folded.startswith(x, b) for x in self.exceptions for b in (at, folded.rfind(" ", 0, at)) if b >= 0 and b + len(x) > at + 1):
+                if self.exceptions and self._excepted(folded, at):
                     continue
                 total += weight
                 n += 1
         return total, n, words
 
+    def _excepted(self, folded: str, at: int) -> bool:
+        """Whether the word that begins behind the space at `at` is inside an exception phrase, as its first word or a later one."""
+        for back in range(self.longest):
+            if at < 0:
+                return False
+            found = folded.startswith(self.exceptions, at) and any(folded.startswith(x, at) and x.count(" ") > back for x in self.exceptions)
+            if found:
+                return True
+            at = folded.rfind(" ", 0, at)
+        return False
+
     def score(self, total: float, words: int) -> float:
         z = self.model.bias + self.model.slope * math.log1p(total / max(words, 1) ** self.model.power)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
@@ -144,15 +156,31 @@ def _sketch(words: list[str]) -> int:
     return min(zlib.crc32(g.encode()) for g in grams)
 
 
-def fit(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """A model from (text, 1 for toxic or 0) rows."""
-    once: dict[tuple[int, int], tuple[str, set[str], int]] = {}
+def learned_exceptions(toxic: list[list[str]], clean: list[list[str]], entries: Iterable[str]) -> tuple[str, ...]:
+    """Two-word phrases around the lexicon's words that clean texts have significantly more often than toxic ones. Texts are folded words.
+
+    The toxic texts give the odds: a phrase is as much more common among the lexicon words of clean texts as it must be by chance.
+    """
+    starts = tuple(sorted(entries))
+
+    def phrases(words: list[str]) -> set[str]:
+        held = [i for i, w in enumerate(words) if starts and w.startswith(starts)]
+        return {f"{words[a]} {words[a + 1]}" for i in held for a in (i - 1, i) if 0 <= a < len(words) - 1}
+
+    good, bad = (Counter(p for words in docs for p in phrases(words)) for docs in (clean, toxic))
+    with_word = [sum(any(w.startswith(starts) for w in words) for words in docs) if starts else 0 for docs in (clean, toxic)]
+    return tuple(sorted(p for p, n in good.items() if n >= LEAST_DOCS and _g2(n, bad[p], with_word[0], max(with_word[1], 1)) >= EXCEPTION_G2))
+
+
+def fit(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = ()) -> Model:
+    """A model from (text, 1 for toxic or 0) rows; exceptions: phrases that are none in any case, besides the learned ones."""
+    once: dict[tuple[int, int], tuple[str, list[str], int]] = {}
     for text, label in rows:
         words = fold(text).split()
-        once.setdefault((_sketch(words), label), (text, set(words), label))
+        once.setdefault((_sketch(words), label), (text, words, label))
     docs = sorted(once.items())
-    toxic = [w for _, (_, w, y) in docs if y]
-    clean = [w for _, (_, w, y) in docs if not y]
+    toxic_words, clean_words = [w for _, (_, w, y) in docs if y], [w for _, (_, w, y) in docs if not y]
+    toxic, clean = [set(w) for w in toxic_words], [set(w) for w in clean_words]
     bad: Counter = Counter()
     for words in toxic:
         bad.update(_candidates(words))
@@ -171,7 +199,8 @@ def fit(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS) -
             entries[c] = math.log((bad[c] + 0.5) / (len(toxic) + 1)) - math.log((good[c] + 0.5) / (len(clean) + 1))
     # a beginning that a longer, stronger entry only narrows down would count the same word twice
     entries = {e: w for e, w in entries.items() if not any(o != e and o.startswith(e) and entries[o] >= w for o in entries)}
-    model = Model(tuple(sorted(entries.items())), exceptions, 1.0, 0.0, 0.0)
+    learned = learned_exceptions(toxic_words, clean_words, entries)
+    model = Model(tuple(sorted(entries.items())), tuple(sorted({*exceptions, *learned})), 1.0, 0.0, 0.0)
     scorer = Scorer(model)
     found = [(*scorer.matches(text)[::2], y) for _, (text, _, y) in docs]
     best = None
@@ -189,8 +218,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, max_toxic: int, max_c
     for value, most in ((1, max_toxic), (0, max_clean)):
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_toxic + max_clean rows
-    return sorted((r.text or "", int(r.label)) for r in texts.select("text", "label").limit(2 * (max_toxic + max_clean)).collect())
+    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_toxic + max_clean ids
+    one = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))  # the least text of an id that repeats
+    return sorted((r.text, int(r.label)) for r in one.collect())
 
 
 def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
