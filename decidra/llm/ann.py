@@ -10,11 +10,13 @@ Equal vectors are indexed once, with the k + 1 smallest of their ids: no others
 of equal codes are one class. A shortlist is of classes, includes all that tie at its end, and stands for all vectors of
 them. It is of `shortlist` classes up to SHORT_ROWS distinct vectors and grows with the square root of their number beyond.
 
-The stated queries are taken in groups of at most GROUP_QUERIES, fewer for long shortlists, each group sent to the tasks as one bounded array, and
-each pass streams all codes through the tables: no join of queries with vectors and no block of unbounded size.
+The stated queries are taken in groups whose tables, scores and shortlists take at most GROUP_BYTES in a task. A group is fetched,
+sent to the tasks as one array, run, and its shortlists are written, before the next one is fetched. Each pass streams all codes
+through the tables: no join of queries with vectors and no block of unbounded size.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or hold a null or non-finite
-component take no part; a row is never its own neighbour, nor is another row with its id; ties go to the smaller id;
+component take no part; a row is never its own neighbour, nor is another row with its id; of a query's id that repeats, the
+vector of the smallest hash asks; ties go to the smaller id;
 with fewer candidates than wanted, all are given; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,13 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from decidra.llm._common import stage
+from decidra.llm._common import drop, stage
 
 SAMPLE, BOOKS, WORDS, BEAM = 12_000, 16, 256, 4
 SHORT_ROWS = 10_000  # distinct vectors, from which on the shortlist grows with the square root of their number
-GROUP_QUERIES = 32_768
-GROUP_CELLS = GROUP_QUERIES * 320
-CODE_ROWS = 2_048
+GROUP_BYTES = 128 << 20
+CODE_ROWS = 1_024
 
 
 def valid_matrix(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +132,12 @@ def best_with_ties(best: np.ndarray, who: np.ndarray, wanted: int) -> tuple[np.n
     return np.where(best >= cut, best, -np.inf).astype(np.float32), who
 
 
+def group_size(shortlist: int, books: int = BOOKS, words: int = WORDS) -> int:
+    """How many queries a task can hold: tables, a block's scores twice, and the best with their classes, twice while they are merged."""
+    each = 4 * books * words + 2 * 4 * CODE_ROWS + 2 * 12 * (shortlist + CODE_ROWS)
+    return max(1, GROUP_BYTES // each)
+
+
 def shortlists(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, codebooks: np.ndarray, shortlist: int) -> DataFrame:
     """Each task's best classes by table lookup, with ties: query_id and an array of (approx, class); queries are unit vectors."""
     books = codebooks.shape[0]
@@ -183,27 +190,30 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shortlist: int
     least = valid.withColumn("nth", F.dense_rank().over(same)).filter(F.col("nth") <= k + 1)
     distinct = least.groupBy("hash", "embedding").agg(F.collect_list("vec_id").alias("ids"))
     coded, _ = stage(coded_vectors(distinct, codebooks).withColumn("class", F.xxhash64("codes")), "ann-vectors")
-    index, _ = stage(build_index(coded.select("class", "codes").distinct(), codebooks), "ann-index")
+    index, index_at = stage(build_index(coded.select("class", "codes").distinct(), codebooks), "ann-index")
     # the query's own vector takes a place
     shortlist = 1 + math.ceil(shortlist * max(1.0, math.sqrt(coded.count() / SHORT_ROWS)))
-    asked, _ = stage(vectors.filter(is_query & F.col("vec_id").isNotNull()), "ann-queries")
-    groups = -(-asked.count() // max(1, min(GROUP_QUERIES, GROUP_CELLS // shortlist)))
-    found = None
+    chosen = vectors.filter(is_query & F.col("vec_id").isNotNull())
+    asked, _ = stage(chosen.groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding")), "ann-queries")  # of an id that repeats, one vector
+    groups = -(-asked.count() // group_size(shortlist, *codebooks.shape[:2]))
+    found, spent = None, []
     for g in range(groups):
         group = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toArrow()
         rows, q = valid_matrix(group.column(1).combine_chunks(), dim)
         if not len(rows):
             continue
         ids = np.array(group.column(0).to_pylist(), np.int64)[rows]
-        part = shortlists(index, ids, q / np.linalg.norm(q, axis=1, keepdims=True), codebooks, shortlist)
+        part, at = stage(shortlists(index, ids, q / np.linalg.norm(q, axis=1, keepdims=True), codebooks, shortlist), "ann-shortlists")
+        spent.append(at)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
     # of a query, one short array from each task
     merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
     cut = merged.withColumn("cut", F.coalesce(F.get(F.sort_array(F.transform("found", lambda c: c["approx"]), asc=False), F.lit(shortlist - 1)), F.lit(float("-inf")).cast("float")))
-    short = cut.select("query_id", F.explode(F.filter("found", lambda c: c["approx"] >= F.col("cut"))).alias("c")).select("query_id", "c.class").distinct()
-    pairs = short.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).dropDuplicates(["query_id"]), "query_id").join(coded.select("class", "ids", F.col("embedding").alias("v")), "class")
+    short, _ = stage(cut.select("query_id", F.explode(F.filter("found", lambda c: c["approx"] >= F.col("cut"))).alias("c")).select("query_id", "c.class").distinct(), "ann-found")
+    drop(spark, index_at, *spent)
+    pairs = short.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(coded.select("class", "ids", F.col("embedding").alias("v")), "class")
     scored = pairs.select("query_id", "ids", cosine(F.col("q"), F.col("v")).alias("score")).select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
