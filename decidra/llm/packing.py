@@ -1,7 +1,7 @@
 """Bounded-space online best-fit packing of token sequences.
 
 Each task packs the documents of its own input split, in the order in which they come, so nothing is shuffled and no
-group can be hot. A packer holds a fixed number of open bins. Their free spaces are the set bits of one integer: the
+group can be hot. Small splits are put together first, as each leaves bins that aren't full. A packer holds a fixed number of open bins. Their free spaces are the set bits of one integer: the
 lowest set bit at or above an item's length is the tightest bin that takes it. When a new bin is needed and all are
 open, the fullest closes first; a bin without free space closes at once.
 
@@ -23,6 +23,7 @@ from decidra.llm._common import task_id
 from decidra.llm._tokens import encoder
 
 OPEN_BINS = 1024
+SPLIT_ROWS = 5_000  # of a split, on average, from which on splits are packed as they come
 
 
 class BestFit:
@@ -71,7 +72,7 @@ class BestFit:
 
 
 def pack_documents(
-    documents: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = 2048, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    documents: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = 2048, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids if wanted."""
 
@@ -93,5 +94,9 @@ def pack_documents(
             columns = list(zip(*out, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
+    rows = documents.select(F.col(id_col).cast("long"), F.col(text_col))
+    splits = max(1, rows.count() // split_rows)
+    if rows.rdd.getNumPartitions() > splits:
+        rows = rows.coalesce(splits)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(per_split, schema)
+    return rows.mapInArrow(per_split, schema)
