@@ -1,5 +1,6 @@
 """The operators' kernels without Spark, against brute force."""
 
+import collections
 import random
 import re
 import zlib
@@ -105,6 +106,29 @@ def test_best_fit():
         packer.place(101)
 
 
+def test_best_fit_against_a_list():
+    """Every item goes to the tightest open bin that takes it; the fullest closes when one too many is open."""
+    rng = random.Random(9)
+    packer, free = packing.BestFit(50, 5), {}  # bin -> free space of the open ones
+    for _ in range(3000):
+        n = rng.choice([1, 2, 49, 50, rng.randint(1, 50)])
+        fits = [f for f in free.values() if f >= n]
+        number, offset = packer.place(n)
+        if fits:
+            assert free[number] == min(fits) and offset == 50 - free[number]
+        else:
+            assert number not in free and offset == 0
+            if len(free) == 5 and n < 50:
+                closed = min(free.values())
+                gone = next(b for b, f in free.items() if f == closed and b not in {x for xs in packer.bins.values() for x in xs})
+                del free[gone]
+            free[number] = 50
+        free[number] -= n
+        if not free[number]:
+            del free[number]
+        assert sorted(free.values()) == sorted(f for f, held in packer.bins.items() for _ in held) and packer.n_open == len(free)
+
+
 def test_licence_phrases():
     text = "CC BY, cc-by; ALL rights reserved. ÄLL Rights é1 cc by cc by General  Public\nLicense"
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
@@ -117,12 +141,49 @@ def test_licence_phrases():
 
 def test_licence_index():
     index = license_scan.Index(license_scan.TEMPLATES, {})
-    find = lambda t: index.match(license_scan.words_of(t), license_scan._line(license_scan.words_of(t)))
+    find = lambda t: index.match(license_scan.words_of(t))
     assert set(find(b"x y. Licensed under the Apache License, Version 2.0. z")) == {"apache-2.0"}
     assert set(find(b"Released under the MIT License.")) == {"mit"}
     assert not find(b"the version of the licence that was released") and not find(b"")
 
 
+NOTICES = {
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "# SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3.0",
+    "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License": "agpl-3.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl-2.0",
+    "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.": "cc0-1.0",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+    "CC BY 4.0": "cc-by-4.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+}
+
+
+def test_licence_notices_against_every_place():
+    """Notices among prose: what the index finds is what trying every template at every word finds."""
+    rng = random.Random(6)
+    prose = ["the", "of", "this", "software", "license", "version", "permission", "notice", "x1", "house", "under", "free", "2", "0", "any", "copyright"]
+    idf = collections.Counter({w.encode(): 1.0 for w in prose})
+    index = license_scan.Index(license_scan.TEMPLATES, {w: idf.get(w, 4.0) for t in license_scan.TEMPLATES for w in t.words.encode().split()})
+    for n in range(60):
+        notice, label = rng.choice(list(NOTICES.items()))
+        body = [rng.choice(prose) for _ in range(rng.randint(0, 60))]
+        if n % 3:
+            body.insert(rng.randint(0, len(body)), notice)
+        if n % 5 == 0:
+            body.insert(rng.randint(0, len(body)), rng.choice(list(NOTICES)))
+        words = license_scan.words_of(" ".join(body).encode())
+        every: dict = {}
+        for number, (name, wanted, _) in enumerate(index.templates):
+            for start in range(-len(wanted), len(words)):
+                if (cover := license_scan.place_of(number, start, index, words)) >= license_scan.LEAST_COVER:
+                    every[name] = max(every.get(name, 0.0), cover)
+        assert index.match(words) == every
+        assert not n % 3 or label in every
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("ЅTUРID 1d10t") == "stupid idiot"  # Cyrillic letters and digits
     model = toxicity.Model((("stupid", 5.0), ("trash", 5.0)), ("trash can",), 0.1, -3.0, 4.0)
@@ -132,6 +193,40 @@ def test_folding_and_exceptions():
     assert scorer.matches("")[:2] == (0.0, 0) and 0 <= scorer.score(0.0, 0) < 0.3 < scorer.score(5.0, 10) <= 1
 
 
+def test_matches_against_a_scan():
+    """The automaton and the exceptions against looking at every word."""
+    rng = random.Random(10)
+    entries, exceptions = (("scum", 2.0), ("scumbag", 1.5), ("idiot", 3.0), ("vile", 0.5)), ("pond scum", "idiot proof kit", "vile weather")
+    scorer = toxicity.Scorer(toxicity.Model(entries, exceptions, 1.0, 0.0, 1.0))
+    pool = ["scum", "ѕсum,", "scumbags", "1d1ot", "IDIOTIC", "pond", "proof", "kit", "weather", "vile", "a", "víle", "scu", "xscum", "-"]
+    for _ in range(500):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
+        words = toxicity.fold(text).split(" ")
+        line = " " + toxicity.fold(text)
+        phrases = [" " + x for x in exceptions]
+        total = n = 0
+        at = -1
+        for word in words:
+            at = line.index(" " + word, at + 1) if word else at + 1
+            inside = any(line.startswith(p, b) and b <= at < b + len(p) for p in phrases for b in range(max(0, at - 20), at + 1))
+            for entry, weight in entries:
+                if word.startswith(entry) and not inside:
+                    total, n = total + weight, n + 1
+        got = scorer.matches(text)
+        assert got[0] == pytest.approx(total) and got[1] == n, text
+
+
+def test_exceptions_are_learned():
+    rng = random.Random(12)
+    filler = lambda: [f"w{rng.randint(0, 500)}" for _ in range(30)]
+    toxic = [(" ".join([*filler(), "scumbag", *filler()]), 1) for _ in range(200)]
+    clean = [(" ".join([*filler(), "pond", "scumbag", *filler()]) if i < 15 else " ".join(filler()), 0) for i in range(800)]
+    model = toxicity.fit(toxic + clean)
+    assert "pond scumbag" in model.exceptions and any("scumbag".startswith(e) for e, _ in model.entries)
+    scorer = toxicity.Scorer(model)
+    assert scorer.matches("some pond scumbag here")[1] == 0 and scorer.matches("some scumbag here")[1] == 1
+
+
 def test_toxicity_fit_held_out():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeou") for _ in range(rng.randint(2, 4)))

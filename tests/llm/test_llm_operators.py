@@ -162,7 +162,8 @@ def test_mixing(spark, docs, none):
     rows = mixing.mix_schedule(docs, max_repeat=2.0).collect()
     copies = collections.Counter(r.doc_id for r in rows)
     assert set(copies) == {i for i, _ in TEXTS} and mixing.mix_schedule(none).count() == 0
-    assert mixing.mix_documents(docs).columns == docs.columns and mixing.mix_documents(docs).count() == len(rows)
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == len(rows) and {tuple(r)[2:] for r in mixed.collect()} == {tuple(r)[2:] for r in docs.collect()}
     many = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 5000, "big").when(F.col("id") < 5900, "mid").otherwise("small").alias("source"))
     got = collections.Counter(r.source for r in mixing.mix_schedule(many, max_repeat=2.0).collect())
     assert got["big"] == 5000 and 1.9 < got["small"] / 100 <= 2.0 and 1 <= got["mid"] / 900 < 2
@@ -171,6 +172,8 @@ def test_mixing(spark, docs, none):
     w = np.array([0.9, 0.09, 0.01]) ** alpha
     w /= w.sum()
     assert -(w * np.log(w)).sum() == pytest.approx(0.9, abs=1e-6)
+    for entropy, repeat in ((0.9, None), (None, 3.0), (0.5, 40.0)):  # over rows as over one array
+        assert mixing._fit_over_rows(totals, entropy, repeat) == pytest.approx(mixing.fit_exponent(totals, entropy, repeat), abs=1e-9)
     budgeted = mixing.mix_schedule(many, max_repeat=None, budget=8000).agg(F.sum("n_tokens")).collect()[0][0]
     assert 7800 <= budgeted <= 8000
 
@@ -195,15 +198,45 @@ def test_sharding(spark, docs):
         store.append(docs.withColumn("arrival", F.lit(i)).coalesce(1))
     before = store.version()
     old = store.read(before).count()
-    assert store.compact() > before and len({s.run for s in store.manifest()}) < 4
+    assert store.compact() > before and len(store.runs()) < 4
     assert store.read().count() == old == 8 * len(TEXTS) and store.read(before).count() == old
     with pytest.raises(sharding.CommitConflict):
-        store.commit(before, store.manifest())
+        store.commit(before, [])
     assert store.vacuum() > 0 and store.read().count() == old
     rows = sharding.sharded_rows(docs, new_path(spark, "store"), 1 << 20, 1 << 10).collect()
     assert sorted((r.doc_id, r.text_crc32) for r in rows) == sorted((i, zlib.crc32((t or "").encode())) for i, t in TEXTS)
 
 
+def test_a_lost_writer_leaves_the_store_readable(spark, docs, monkeypatch):
+    """A writer that dies before or in the rename, or loses the number to another, leaves the last version as it was."""
+    store = sharding.ShardStore(spark, new_path(spark, "store"), 1 << 20, 4, 1 << 10)
+    store.append(docs)
+    whole = store.read().count()
+    for lost in ("_claimed", "_shards"):
+        with monkeypatch.context() as patch:
+            patch.setattr(store, lost, lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+            with pytest.raises(KeyboardInterrupt):
+                store.append(docs)
+        assert store.version() == 1 and store.read().count() == whole
+    assert store.vacuum() == 0  # the writers may still commit
+    assert store.vacuum(grace_s=0) == 2 and store.read().count() == whole
+    assert store.append(docs) == 2 and store.read().count() == 2 * whole
+    other = sharding.ShardStore(spark, store.path, 1 << 20, 4, 1 << 10)
+    monkeypatch.setattr(other, "version", lambda: 1)
+    with pytest.raises(sharding.CommitConflict):
+        other.append(docs)
+    assert store.version() == 2 and store.vacuum(grace_s=0) == 0 and store.read().count() == 2 * whole
+
+
+def test_arrivals_keep_their_column(spark, docs, none):
+    store = sharding.ShardStore(spark, new_path(spark, "store"), 1 << 20, 4, 1 << 10)
+    days = docs.withColumn("day", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("d/"), F.col("doc_id") % 3)))
+    assert store.append(days, "day") == 3 and len(store.runs()) == 3
+    same = lambda df: sorted(map(str, df.select(*days.columns).collect()))
+    assert same(store.read()) == same(days) and set(days.columns) < set(store.read().columns)
+    assert sharding.sharded_rows(none, new_path(spark, "store"), 1 << 20, 1 << 10).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(400, 8)).astype(np.float32).astype(float)
