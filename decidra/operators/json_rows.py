@@ -1,0 +1,21 @@
+"""Rows of free JSON through a Python function, in Arrow batches."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def over_json(rows: DataFrame, key: str, columns: list[str], made: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """key and what `made` gives for each row's parsed JSON columns; NULL is null."""
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in schema.split(", ")]
+        for batch in batches:
+            out = [(k, *row) for k, *texts in batch.itertuples(index=False) for row in made(k, *(json.loads(t) if t is not None else None for t in texts))]
+            yield pd.DataFrame(out, columns=[key, *names])
+
+    return rows.select(key, *columns).mapInPandas(per_batch, f"{key} {dict(rows.dtypes)[key]}, {schema}")
