@@ -2,11 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _packed(lengths: Iterable[int], max_batch: int, token_budget: int) -> list[int]:
+    """The batch of each length, in order."""
+    batch, size, width, out = 0, 0, 0, []
+    for n in lengths:
+        width = max(width, n)
+        if size and (size >= max_batch or width * (size + 1) > token_budget):
+            batch, size, width = batch + 1, 0, n
+        size += 1
+        out.append(batch)
+    return out
+
+
+def batch_stream(examples: DataFrame, order: str, length: str, max_batch: int, token_budget: int) -> DataFrame:
+    """Adds batch: greedy over one stream of all examples in order.
+
+    The stream is cut into ranges of the order, each packed by a task that holds one batch at a time, so batches end at the cuts:
+    as many batches more, at most, as there are partitions. A batch's number is that of its range and its place there.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, done, size, width = TaskContext.get().partitionId() << 40, 0, 0, 0
+        for rows in batches:
+            out = []
+            for n in rows[length]:
+                width = max(width, n)
+                if size and (size >= max_batch or width * (size + 1) > token_budget):
+                    done, size, width = done + 1, 0, n
+                size += 1
+                out.append(part + done)
+            yield rows.assign(batch=out)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in examples.dtypes) + ", batch long"
+    return examples.repartitionByRange(order).sortWithinPartitions(order).mapInPandas(pack, schema)
+
+
 def token_batches(examples: DataFrame, group: str, order: str, length: str, max_batch: int, token_budget: int) -> DataFrame:
     """Adds batch: greedy in order; a batch grows while longest * size stays in the budget. Each group is packed by itself.
 
@@ -15,14 +54,7 @@ def token_batches(examples: DataFrame, group: str, order: str, length: str, max_
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        batch, size, width, out = 0, 0, 0, []
-        for n in rows[length]:
-            width = max(width, n)
-            if size and (size >= max_batch or width * (size + 1) > token_budget):
-                batch, size, width = batch + 1, 0, n
-            size += 1
-            out.append(batch)
-        return rows.assign(batch=out)
+        return rows.assign(batch=_packed(rows[length], max_batch, token_budget))
 
     schema = ", ".join(f"{c} {t}" for c, t in examples.dtypes) + ", batch long"
     return examples.groupBy(group).applyInPandas(pack, schema)

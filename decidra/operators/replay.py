@@ -119,17 +119,23 @@ def floor_index(column: str, q: float) -> Column:
 def latency_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Shares are of the summed time of requests; both tiers count for a stage. strong is NULL without escalation.
 
-    rows: total_s, route_s, candidates, fast and strong structs (total_s, tokenize_s, prefill_s, score_s, checkpoint).
+    rows: total_s, route_s, candidates, fast and strong structs (total_s, tokenize_s, prefill_s, score_s, checkpoint). Where the tiers have
+    prefilled_tokens and prompt_tokens, and the rows peak_memory_gb, the table has their percentiles and the peak.
     """
     both = lambda stage: F.sum(F.coalesce(F.col(f"fast.{stage}"), F.lit(0.0)) + F.coalesce(F.col(f"strong.{stage}"), F.lit(0.0)))
     whole = F.sum("total_s")
     shares = {f"{s}_share": both(f"{s}_s") / whole for s in ("tokenize", "prefill", "score")}
     hits = lambda tier: F.try_divide(F.count_if(F.col(f"{tier}.checkpoint") == "hit").cast("double"), F.count_if(F.col(f"{tier}.checkpoint").isin("hit", "miss")))
-    out = rows.withColumn("_strong_s", F.col("strong.total_s")).groupBy(*keys).agg(
+    named = {f.name for f in rows.schema["fast"].dataType.fields}
+    rows = rows.withColumns({"_strong_s": F.col("strong.total_s")} | {f"_{t}_{n}": F.col(f"{t}.{n}") for t in ("fast", "strong") for n in ("prefilled_tokens", "prompt_tokens") if n in named})
+    more = [nearest_rank(f"_{t}_prefilled_tokens", 0.5).alias(f"{t}_prefill_tokens_p50") for t in ("fast", "strong") if "prefilled_tokens" in named]
+    more += [nearest_rank("_fast_prompt_tokens", q).alias(f"prompt_tokens_p{round(100 * q)}") for q in (0.5, 0.95) if "prompt_tokens" in named]
+    more += [F.max("peak_memory_gb").alias("peak_memory_gb_max")] * ("peak_memory_gb" in rows.columns)
+    out = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), nearest_rank("total_s", 0.5).alias("p50_s"), nearest_rank("total_s", 0.95).alias("p95_s"), F.avg("total_s").alias("mean_s"),
         *(c.alias(name) for name, c in shares.items()), (F.sum("route_s") / whole).alias("route_share"), F.count("strong").alias("escalated"),
         nearest_rank("_strong_s", 0.5).alias("strong_p50_s"), hits("fast").alias("fast_hit_rate"), hits("strong").alias("strong_hit_rate"),
-        nearest_rank("candidates", 0.5).cast("int").alias("candidates_p50"), F.max("candidates").alias("candidates_max"),
+        nearest_rank("candidates", 0.5).cast("int").alias("candidates_p50"), F.max("candidates").alias("candidates_max"), *more,
     )
     return out.withColumn("other_share", 1 - F.col("tokenize_share") - F.col("prefill_share") - F.col("score_share") - F.col("route_share"))
 

@@ -65,3 +65,54 @@ def accepted(rows: DataFrame) -> DataFrame:
     """Adds right: the choice is any option of top probability. ps, keys, choice."""
     best = F.filter(F.arrays_zip("keys", "ps"), lambda o: o["ps"] >= F.array_max("ps") - 1e-9)
     return rows.withColumn("right", F.array_contains(F.transform(best, lambda o: o["keys"]), F.col("choice")))
+
+
+#: The heads that each operation uses where several operations are right.
+OP_HEADS = {
+    "CLICK": ("click_target",), "OPEN": ("open_target",), "TYPE_TEXT": ("type_text_target", "type_text_value"), "APPEND_TEXT": ("append_text_target", "type_text_value"),
+    "REPLACE_TEXT": ("replace_text_target", "replace_from", "type_text_value"), "SELECT": ("select_target",), "SCROLL": ("scroll_target",), "KEY": ("key_target",), "FOCUS_WINDOW": ("focus_window_target",),
+}
+
+
+def judged_heads(rows: DataFrame) -> DataFrame:
+    """One row for each item and labelled head that counts: id, kind, head, right. Items without answers (choices NULL) are left out.
+
+    rows: id, kind, references map<head, map<option, p>>, choices map<head, option>. Every option of top probability is right.
+    Heads of a right operation that wasn't chosen don't count, unless the chosen one uses them too.
+    """
+    best = lambda probs: F.map_keys(F.map_filter(probs, lambda _, p: p >= F.array_max(F.map_values(probs)) - 1e-9))
+    uses = F.create_map(*(x for op, heads in OP_HEADS.items() for x in (F.lit(op), F.array(*(F.lit(h) for h in heads)))))
+    none = F.array().cast("array<string>")
+    op = F.try_element_at("choices", F.lit("operation"))
+    others = F.flatten(F.transform(F.try_element_at("gold", F.lit("operation")), lambda o: F.coalesce(F.try_element_at(uses, o), none)))
+    skipped = F.array_except(others, F.coalesce(F.try_element_at(uses, F.coalesce(op, F.lit(""))), none))
+    each = rows.filter("choices IS NOT NULL").withColumn("gold", F.transform_values("references", lambda _, probs: best(probs))).withColumn("skipped", skipped)
+    heads = each.select("id", "kind", "choices", "skipped", F.explode("gold").alias("head", "want"))
+    right = F.coalesce(F.array_contains("want", F.try_element_at("choices", F.col("head"))), F.lit(False))
+    return heads.filter((F.col("head") == "operation") | ~F.array_contains("skipped", F.col("head"))).select("id", "kind", "head", right.alias("right"))
+
+
+def item_accuracy(heads: DataFrame) -> DataFrame:
+    """level ('kind', 'head' or 'all'), name, right and n: items whose heads are all right, by kind and in total, and each head by itself."""
+    whole = heads.groupBy("id", "kind").agg(F.bool_and("right").alias("right"))
+    by = lambda df, level, name: df.groupBy(F.lit(level).alias("level"), name.alias("name")).agg(F.count_if("right").alias("right"), F.count("*").alias("n"))
+    return by(whole, "all", F.lit("all")).unionByName(by(whole, "kind", F.col("kind"))).unionByName(by(heads, "head", F.col("head")))
+
+
+def probes(rows: DataFrame, kind: str, op: str, expected: str, ops: list[str]) -> DataFrame:
+    """By kind: n, hits (the expected operation; `not:OP` expects any other) and how often each operation came."""
+    other = F.startswith(expected, F.lit("not:"))
+    hit = F.when(other, ~F.col(op).eqNullSafe(F.substring(expected, 5, 100))).otherwise(F.col(op).eqNullSafe(F.col(expected)))
+    return rows.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), *(F.count_if(F.col(op) == o).alias(o) for o in ops))
+
+
+def request_stats(rows: DataFrame, seconds: str, op: str, by: str, reason: str) -> DataFrame:
+    """what ('all', 'op', 'by', 'reason'), name, n, p50_s (the middle two averaged) and mean_s of requests."""
+    what = F.array(*(F.struct(F.lit(w).alias("what"), c.alias("name")) for w, c in (("all", F.lit("requests")), ("op", F.col(op)), ("by", F.col(by)), ("reason", F.col(reason)))))
+    each = rows.select(F.col(seconds).alias("s"), F.explode(what).alias("w")).filter((F.col("w.what") == "op") | F.col("w.name").isNotNull())
+    return each.groupBy("w.what", "w.name").agg(F.count("*").alias("n"), F.median("s").alias("p50_s"), F.avg("s").alias("mean_s"))
+
+
+def family_states(items: DataFrame, answers: DataFrame, key: str, family: str) -> DataFrame:
+    """family_accuracy of all items: those without an answer count as wrong. answers: key, op_ok, target_ok."""
+    return family_accuracy(items.select(key, family).join(answers.select(key, "op_ok", "target_ok"), key, "left"), family)

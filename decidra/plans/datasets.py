@@ -189,18 +189,35 @@ def rename_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.rename_variants(table(spark, sf_dir, "events"), "event_id", "props")
 
 
-@query("token_batches")
+#: The greedy packing, one example after the other.
+PACKED = """
+  WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations
+  ), b AS (
+    SELECT conv_id, turn, n, i, 0 AS batch, 1 AS size, n AS width FROM r WHERE i = 1 UNION ALL
+    SELECT r.conv_id, r.turn, r.n, r.i, CASE WHEN b.size >= 4 OR greatest(b.width, r.n) * (b.size + 1) > 2000 THEN b.batch + 1 ELSE b.batch END,
+      CASE WHEN b.size >= 4 OR greatest(b.width, r.n) * (b.size + 1) > 2000 THEN 1 ELSE b.size + 1 END, CASE WHEN b.size >= 4 OR greatest(b.width, r.n) * (b.size + 1) > 2000 THEN r.n ELSE greatest(b.width, r.n) END
+    FROM b JOIN r ON r.conv_id = b.conv_id AND r.i = b.i + 1
+  )"""
+
+
+@query("token_batches", PACKED + " SELECT conv_id, turn, n, batch::BIGINT AS batch FROM b")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
     return batching.token_batches(rows, "conv_id", "turn", "n", 4, 2000)
 
 
-@query("batch_sizes")
+@query("batch_sizes", PACKED + ", c AS (SELECT conv_id, batch, count(*) AS size FROM b GROUP BY ALL) SELECT conv_id, list(size::INT ORDER BY batch) AS sizes FROM c GROUP BY conv_id")
 def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda s: s["n"])
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(batching.batch_sizes(ordered, 4, 2000).alias("sizes"))
 
 
+@query("token_stream", "SELECT count(*) AS examples, sum(length(text))::BIGINT AS tokens FROM conversations")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), F.length("text").cast("long").alias("n"))
+    return batching.batch_stream(rows, "at", "n", 4, 2000).agg(F.count("*").alias("examples"), F.sum("n").alias("tokens"))
+
+
 @query("adjacent_duplicates", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role")
 def adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -288,10 +305,12 @@ def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices.accepted(rows).select("run", "item_id", "qid", "right")
 
 
-@query("server_agreement", with_views(V_STEPS, ", s AS (SELECT step, session % 3 AS server, op, session FROM v_steps WHERE session < 3) SELECT b.server::INT AS server, count(*) AS n, round(avg((a.op = b.op)::INT::DOUBLE), 6) AS agreement FROM s b JOIN s a ON a.server = 0 AND b.server <> 0 AND a.step = b.step GROUP BY b.server"))
+@query("server_agreement", with_views(V_STEPS, """, s AS (SELECT session // 3 AS grp, step, session % 3 AS server, op FROM v_steps)
+  SELECT b.server::INT AS server, count(*) AS n, round(avg((a.op = b.op)::INT::DOUBLE), 6) AS agreement FROM s b JOIN s a ON a.server = 0 AND b.server <> 0 AND a.grp = b.grp AND a.step = b.step GROUP BY b.server"""))
 def server_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = steps(spark, sf_dir).filter("session < 3").select("step", (F.col("session") % 3).cast("int").alias("server"), "op")
-    return rounded(slices.positional_agreement(rows, "step", "server", "op", 0))
+    at = F.struct(F.floor(F.col("session") / 3).alias("grp"), "step")
+    rows = steps(spark, sf_dir).select(at.alias("at"), (F.col("session") % 3).cast("int").alias("server"), "op")
+    return rounded(slices.positional_agreement(rows, "at", "server", "op", 0))
 
 
 @query("answer_cache", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role, turn % 5 ORDER BY conv_id * 1000 + turn) > 1 AS hit FROM conversations")

@@ -7,14 +7,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from decidra.sources.staging import staged
+
 MANIFEST_SET = "struct<name:string,path:string,visibility:string,source:string,license:string,count:bigint,sha256:string,note:string>"
 ITEM = "id string, suite string, `group` string, state string, questions map<string,string>, references map<string,string>, meta string"
+#: Options of a choice at most, levels of a score.
+MOST_OPTIONS, LEVELS = 255, (2, 10)
 PREDICTION = "item_id string, answers map<string,string>, latency_s double, cost_usd double, error string"
 
 
@@ -75,6 +80,17 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("path"), F.desc("line_no")))).filter("_r = 1").drop("_r", "path", "line_no")
 
 
+def by_number(paths: list[str]) -> list[str]:
+    """Paths in the order of the numbers in their names: train_2 before train_10; names without one come last."""
+    number = lambda p: re.findall(r"\d+", os.path.basename(p))
+    return sorted(paths, key=lambda p: (not number(p), [int(n) for n in number(p)], p))
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """The first n rows in order, or all."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row for each fixture set, with the manifest's name and version."""
     raw = spark.read.schema(f"name string, version string, sets array<{MANIFEST_SET}>").option("multiLine", "true").json(path)
@@ -88,8 +104,8 @@ def resolve(root: str, path: str, visibility: str, private_root: str | None = No
     return os.path.join(root, path)
 
 
-def checked_fixtures(spark: SparkSession, root: str, sets: list[T.Row], private_root: str | None = None) -> tuple[DataFrame | None, list[str]]:
-    """(rows of all sets that are there, notes on the others). A wrong hash or count ends the job."""
+def checked_fixtures(spark: SparkSession, root: str, sets: list[T.Row], private_root: str | None = None, split: str | None = None) -> tuple[DataFrame | None, list[str]]:
+    """(rows of all sets that are there, notes on the others). A wrong hash or count ends the job. split: only fixtures of that split."""
     rows, notes = None, []
     for s in sets:
         path = resolve(root, s["path"], s["visibility"], private_root)
@@ -102,6 +118,8 @@ def checked_fixtures(spark: SparkSession, root: str, sets: list[T.Row], private_
         part = read_lines(spark, path).select(F.lit(s["name"]).alias("set"), F.lit(s["ord"]).alias("set_ord"), "line_no", "value")
         if (n := part.count()) != s["count"]:
             raise ValueError(f"{s['name']}: {n} rows, not {s['count']}")
+        if split is not None:
+            part = part.filter(F.get_json_object("value", "$.meta.replay.split") == split)
         rows = part if rows is None else rows.unionByName(part)
     return rows, notes
 
@@ -111,11 +129,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def content_digest(rows: DataFrame, order: str, content: Column, parts: int = 64) -> DataFrame:
-    """A digest of rows in order, in two steps: of each range of the order, then of those digests."""
-    bucket = F.ntile(parts).over(Window.orderBy(order))
-    each = rows.select(bucket.alias("b"), F.col(order).alias("o"), content.alias("c")).groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda s: s["c"]), "\n"), 256).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n"), 256).alias("digest"))
+def content_digest(rows: DataFrame, order: str, content: Column, block: int = 1024) -> DataFrame:
+    """A digest of rows in order, as a tree: of each row, then again and again of `block` digests that follow one another.
+
+    Rows are counted by ranges of the order, so no window or task goes over all of them, and contents are digests from the start.
+    """
+    ranges = rows.select(F.col(order).alias("o"), F.sha2(content, 256).alias("d")).repartitionByRange("o").sortWithinPartitions("o").withColumn("p", F.spark_partition_id())
+    ranges = staged(ranges)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = ranges.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    at = F.col("start") + F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1
+    level, n = ranges.join(F.broadcast(starts), "p").select(at.alias("i"), "d"), ranges.count()
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda s: s["d"]), "\n")
+        level, n = level.groupBy(F.floor(F.col("i") / block).alias("i")).agg(F.sha2(joined, 256).alias("d")), -(-n // block)
+        if n <= 1:
+            return level.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def viewer_data(text: Column) -> Column:
@@ -134,18 +163,22 @@ def trace_bodies(lines: DataFrame) -> DataFrame:
 def validate_requests(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) of rows with a JSON `body`: rejected rows have code, message and field."""
     field = lambda name: F.get_json_object("body", f"$.{name}")
-    # a step is a bare integer token from 1 on: "3", true and 3.0 are not
-    step = F.regexp_extract("body", r'"step"\s*:\s*([^,}\s]+)', 1)
-    digest = field("state_digest")
-    bad_step = (step != "") & (step != "null") & ~step.rlike(r"^[1-9][0-9]*$")
+    # a step is a number of the body itself, whole and from 1 on: "3", true and 3.0 are not
+    step = F.try_variant_get(F.try_parse_json("body"), "$.step", "variant")
+    kind = F.schema_of_variant(step)
+    bad_step = step.isNotNull() & (kind != "VOID") & ((kind != "BIGINT") | (F.try_variant_get(step, "$", "long") < 1))
+    digest, asked = field("state_digest"), F.from_json(field("questions"), "map<string,string>")
+    wrong = F.get(question_errors(asked), 0)
     error = (
         F.when(F.try_parse_json("body").isNull(), F.struct(F.lit("invalid_json").alias("code"), F.lit("not JSON").alias("message"), F.lit(None).cast("string").alias("field")))
         .when(~F.trim("body").startswith("{"), F.struct(F.lit("invalid_request").alias("code"), F.lit("not an object").alias("message"), F.lit(None).cast("string").alias("field")))
         .when(field("questions").isNull(), F.struct(F.lit("invalid_request").alias("code"), F.lit("missing").alias("message"), F.lit("questions").alias("field")))
         .when(bad_step, F.struct(F.lit("invalid_request").alias("code"), F.lit("not an integer from 1").alias("message"), F.lit("step").alias("field")))
-        .when(field("request_id") == "", F.struct(F.lit("invalid_request").alias("code"), F.lit("empty").alias("message"), F.lit("request_id").alias("field")))
+        .when(wrong.isNotNull(), F.struct(F.lit("invalid_request").alias("code"), F.concat(F.lit(""), wrong).alias("message"), F.lit("questions").alias("field")))
         .when(digest.isNotNull() & ~digest.rlike(r"^sha256:[0-9a-f]{64}$"), F.struct(F.lit("invalid_request").alias("code"), F.lit("not a digest").alias("message"), F.lit("state_digest").alias("field")))
     )
+    for name in ("request_id", "session_id", "observation_id"):
+        error = error.when(field(name) == "", F.struct(F.lit("invalid_request").alias("code"), F.lit("empty").alias("message"), F.lit(name).alias("field")))
     judged = rows.withColumn("error", error)
     return judged.filter("error IS NULL").drop("error"), judged.filter("error IS NOT NULL").select("*", "error.*").drop("error")
 
@@ -158,11 +191,54 @@ def option_keys(criteria: Column, qtype: Column) -> Column:
     return F.when(qtype == "noul", F.array(F.lit("false"), F.lit("true"))).when(qtype == "score", levels).otherwise(choice)
 
 
-def markdown(rows: DataFrame, columns: list[str], most: int = 10_000) -> str:
-    """A small result as a Markdown table; missing values are a dash."""
+def question_errors(questions: Column) -> Column:
+    """What is wrong with the questions of a request (map of id to JSON), as an array of texts; empty if nothing is.
+
+    A choice has 1 to 255 options with distinct, non-empty keys, as an object or a list of {key, description}; a score has 2 to 10 levels.
+    """
+
+    def problem(e: Column) -> Column:
+        qtype, criteria = F.get_json_object(e["value"], "$.type"), F.trim(F.get_json_object(e["value"], "$.criteria"))
+        listed = F.startswith(criteria, F.lit("["))
+        entries = F.from_json(criteria, "array<map<string,string>>")
+        keys = F.when(listed, F.transform(entries, lambda o: F.try_element_at(o, F.lit("key")))).otherwise(F.json_object_keys(criteria))
+        shaped = ~listed | F.coalesce(F.forall(entries, lambda o: F.array_sort(F.map_keys(o)) == F.array(F.lit("description"), F.lit("key"))), F.lit(False))
+        return (
+            F.when(qtype.isNull() | ~qtype.isin("choice", "score", "noul"), "no such type")
+            .when((qtype == "choice") & ~shaped, "entries must be key and description").when((qtype == "choice") & ~F.coalesce(F.size(keys).between(1, MOST_OPTIONS), F.lit(False)), f"1 to {MOST_OPTIONS} options")
+            .when((qtype == "choice") & listed & F.exists(keys, lambda k: F.coalesce(k, F.lit("")) == ""), "empty key").when((qtype == "choice") & (F.size(F.array_distinct(keys)) < F.size(keys)), "duplicate key")
+            .when((qtype == "score") & ~F.coalesce(listed & F.json_array_length(criteria).between(*LEVELS), F.lit(False)), f"{LEVELS[0]} to {LEVELS[1]} levels")
+        )
+
+    said = F.transform(F.map_entries(questions), lambda e: F.struct(e["key"].alias("q"), problem(e).alias("p")))
+    return F.transform(F.filter(said, lambda s: s["p"].isNotNull()), lambda s: F.concat(s["q"], F.lit(": "), s["p"]))
+
+
+def with_cost(predictions: DataFrame, input_tokens: str = "input_tokens", usd_per_mtok: float = 0.042) -> DataFrame:
+    """predictions with cost_usd by their input tokens; NULL where the usage isn't known."""
+    return predictions.withColumn("cost_usd", F.col(input_tokens) * usd_per_mtok / 1e6)
+
+
+def write_report(reports: dict[str, DataFrame], path: str) -> None:
+    """`path/report.md`, every report as a table, and `path/summary.json`, the same rows as JSON. Reports are small: their rows go by the driver."""
+    spark = next(iter(reports.values())).sparkSession
+    parts = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in reports.items()}
+    texts = {"report.md": "\n\n".join(f"## {name}\n\n{_table(rows, reports[name].columns)}" for name, rows in parts.items()) + "\n", "summary.json": json.dumps(parts, ensure_ascii=False, indent=1, default=str) + "\n"}
+    for name, text in texts.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        stream.write(text.encode())
+        stream.close()
+
+
+def _table(rows: list[dict], columns: list[str]) -> str:
     show = lambda v: "–" if v is None or v != v else f"{v:.2f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(r[c]) for c in columns) + " |" for r in rows.limit(most).collect()])
+    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(show(r[c]) for c in columns) + " |" for r in rows)])
+
+
+def markdown(rows: DataFrame, columns: list[str]) -> str:
+    """A small result as a Markdown table; missing values are a dash."""
+    return _table([r.asDict() for r in rows.collect()], columns)
 
 
 def suite_summary(questions: DataFrame) -> DataFrame:

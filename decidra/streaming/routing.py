@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 #: What a log row may hold: never the state or the text of a question.
-LOGGED = ("t", "request_id", "session_id", "step", "escalated", "reason", "fast_op", "final_op", "conf", "total_s")
+LOGGED = ("t", "request_id", "session_id", "step", "escalated", "reason", "fast_op", "chord", "final_op", "conf", "fast_s", "total_s")
 
 
 def log_rows(routed: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
+import hashlib
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from decidra.functions.text import heads_for, ngrams, session_of, shared_prefix, step_key, tokens
-from decidra.operators import batching, calibrate, contamination, metrics, public_tasks, replay, router, runner, variants
-from decidra.operators.pages import elements_of
+from decidra.operators import batching, calibrate, contamination, metrics, public_tasks, replay, router, runner, slices, variants
+from decidra.operators.pages import stream_of
 from decidra.operators.text_choices import candidates, spans
 from decidra.operators.tournament import rounds_for, tournament
 from decidra.sources import io
@@ -113,8 +118,8 @@ def test_texts(spark):
 
 def test_pages():
     html = "<body><div><a href='/x'>Go</a><a href='/y'>Go</a></div><input type='search' placeholder='Find'><script>x</script><div></div></body>"
-    assert [(r, n, k) for _, _, r, n, k in elements_of(html)] == [("anchor", "Go", "click"), ("searchbox", "Find", "fill")]
-    assert elements_of(None) == []
+    assert [(e["role"], e["name"], e["kind"]) for e in stream_of(html)] == [("anchor", "Go", "click"), ("searchbox", "Find", "fill")]
+    assert stream_of(None) == []
 
 
 def test_runs_and_guards(spark):
@@ -178,3 +183,108 @@ def test_stream_cache_and_log(spark, tmp_path):
     routing.write_log(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "log"))
     assert out.columns == ["step", "reason"] and out.count() == 2
+
+
+def test_question_validators(spark):
+    ok = {"a": {"type": "choice", "criteria": {"x": 1}}, "b": {"type": "score", "criteria": ["lo", "hi"]}, "c": {"type": "noul"}, "d": {"type": "choice", "criteria": [{"key": "x", "description": {"y": 1}}]}}
+    bad = [
+        {"type": "choice", "criteria": {}}, {"type": "choice", "criteria": {str(i): 1 for i in range(256)}}, {"type": "choice", "criteria": []}, {"type": "choice", "criteria": ["x"]}, {"type": "choice"}, {"type": "rank"}, {},
+        {"type": "choice", "criteria": [{"key": "x", "description": 1}, {"key": "x", "description": 2}]}, {"type": "choice", "criteria": [{"key": "", "description": 1}]}, {"type": "choice", "criteria": [{"key": "x"}]},
+        {"type": "choice", "criteria": [{"key": "x", "description": 1, "more": 2}]}, {"type": "score", "criteria": ["one"]}, {"type": "score", "criteria": list("abcdefghijk")}, {"type": "score", "criteria": {"a": 1, "b": 2}},
+    ]
+    bodies = [json.dumps({"questions": ok, "step": 1, "state": {"step": "3", "session_id": ""}})] + [json.dumps({"questions": {"q": b}}) for b in bad] + [json.dumps({"questions": {}, k: ""}) for k in ("session_id", "observation_id")]
+    good, rejected = io.validate_requests(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert [r.body for r in good.collect()] == bodies[:1]
+    assert [r.field for r in rejected.collect()] == ["questions"] * len(bad) + ["session_id", "observation_id"]
+
+
+def test_reports_and_digests(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("b", None, float("nan"))], "k string, n int, x double")
+    io.write_report({"one": rows.orderBy("k"), "none": rows.limit(0)}, f"file://{tmp_path}/r")
+    assert (tmp_path / "r/report.md").read_text() == "## one\n\n| k | n | x |\n|---|---|---|\n| a | 1 | 0.50 |\n| b | – | – |\n\n## none\n\n| k | n | x |\n|---|---|---|\n"
+    assert json.loads((tmp_path / "r/summary.json").read_text())["one"][0] == {"k": "a", "n": 1, "x": 0.5}
+    many = spark.range(5000).withColumn("t", F.concat(F.lit("row "), "id"))
+    digest = lambda df, block=1024: io.content_digest(df, "id", F.col("t"), block).collect()[0].digest
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    level = [sha(f"row {i}") for i in range(5000)]
+    while len(level) > 1:
+        level = [sha("\n".join(level[i : i + 1024])) for i in range(0, len(level), 1024)]
+    assert digest(many) == level[0] == digest(many.repartition(7)) and digest(many.filter("id <> 17")) != level[0] and digest(many.limit(0)) == sha("")
+    assert io.by_number(["d/train_10.json", "d/train_2.json", "d/x.json"]) == ["d/train_2.json", "d/train_10.json", "d/x.json"]
+    assert io.with_cost(spark.createDataFrame([(1_000_000,), (None,)], "input_tokens long")).collect()[0].cost_usd == pytest.approx(0.042)
+
+
+def test_renaming_is_one_to_one():
+    rng = random.Random(5)
+    for n in range(40):
+        words = [f"f{rng.randint(0, 30)}.txt" for _ in range(20)] + [str(rng.randint(100, 140)) for _ in range(20)] + [f"T-{rng.randint(10, 40)}" for _ in range(10)] + ["：张伟，", "：李娜，"]
+        names = variants.renaming(words, str(n))
+        assert len(set(names.values())) == len(names) and not set(names) & set(names.values()) and names == variants.renaming(words, str(n))
+        assert all(len(a) == len(b) and (not a.isdigit() or b.isdigit() and b[0] != "0") for a, b in names.items())
+    made = variants.rename({"a.txt": "see a1.txt and 4567, T-123", "n": 4567}, "s")
+    assert "a.txt" in made and "4567" not in made["a.txt"] and "T-123" not in made["a.txt"] and made["n"] == 4567
+    assert {len(k) for k in variants.renaming(["→张伟 "], "s")} == {2}
+
+
+def test_item_accuracy(spark):
+    rows = [
+        ("1", "x", {"operation": {"CLICK": 0.5, "OPEN": 0.5}, "click_target": {"a": 1.0, "b": 0.0}, "open_target": {"a": 1.0}}, {"operation": "OPEN", "open_target": "a", "click_target": "b"}),
+        ("2", "x", {"operation": {"CLICK": 1.0, "OPEN": 0.0}, "click_target": {"a": 0.5, "b": 0.5}}, {"operation": "CLICK", "click_target": "b"}),
+        ("3", "y", {"operation": {"DONE": 1.0}}, {"operation": "ASK"}), ("4", "y", {"operation": {"DONE": 1.0}}, None),
+    ]
+    heads = slices.judged_heads(spark.createDataFrame(rows, "id string, kind string, references map<string,map<string,double>>, choices map<string,string>"))
+    got = {(r.level, r.name): (r.right, r.n) for r in slices.item_accuracy(heads).collect()}
+    assert got == {("all", "all"): (2, 3), ("kind", "x"): (2, 2), ("kind", "y"): (0, 1), ("head", "operation"): (2, 3), ("head", "open_target"): (1, 1), ("head", "click_target"): (1, 1)}
+    probes = spark.createDataFrame([("k", "ASK", "ASK"), ("k", "DONE", "not:DONE"), ("k", None, "not:DONE")], "kind string, op string, expect string")
+    assert slices.probes(probes, "kind", "op", "expect", ["ASK", "DONE"]).collect()[0].asDict() == {"kind": "k", "n": 3, "hits": 2, "ASK": 1, "DONE": 1}
+    stats = spark.createDataFrame([(1.0, "ASK", "fast", "fast_ok"), (2.0, "ASK", None, None), (6.0, "DONE", "strong", "low_conf"), (7.0, "DONE", "strong", "low_conf")], "s double, op string, by string, reason string")
+    got = {(r.what, r.name): (r.n, r.p50_s) for r in slices.request_stats(stats, "s", "op", "by", "reason").collect()}
+    assert got[("all", "requests")] == (4, 4.0) and got[("op", "ASK")] == (2, 1.5) and got[("by", "strong")] == (2, 6.5) and ("by", None) not in got
+
+
+def test_latency_tokens(spark):
+    tier = "struct<total_s:double,tokenize_s:double,prefill_s:double,score_s:double,checkpoint:string,prefilled_tokens:int,prompt_tokens:int>"
+    rows = spark.createDataFrame([(1.0, 0.1, 5, 11.5, (1.0, 0.1, 0.4, 0.2, "hit", 10, 100), None), (3.0, 0.1, 7, 12.5, (1.0, 0.1, 0.4, 0.2, "miss", 30, 300), (2.0, 0.1, 1.0, 0.5, "miss", 50, 500))],
+                                 f"total_s double, route_s double, candidates int, peak_memory_gb double, fast {tier}, strong {tier}")
+    r = replay.latency_table(rows, []).collect()[0]
+    assert (r.fast_prefill_tokens_p50, r.strong_prefill_tokens_p50, r.prompt_tokens_p50, r.prompt_tokens_p95, r.peak_memory_gb_max) == (10, 50, 100, 300, 12.5)
+
+
+def test_missing_confidence_escalates(spark):
+    rows = spark.createDataFrame([("CLICK", True, None, None), ("CLICK", True, None, 0.99), (None, False, None, None)], "op string, has_operation boolean, op_conf double, head_conf double")
+    rows = rows.selectExpr("*", "cast(null as string) last_effect", "cast(null as string) chord", "cast(null as string) target_text")
+    assert [(r.escalate, r.reason, r.conf) for r in router.with_decision(rows).collect()] == [(True, "low_conf", 0.0)] * 2 + [(True, "judge_low_conf", 0.0)]
+    base = spark.createDataFrame([("ask", 1, 2)], "gate string, n long, of long")
+    with pytest.raises(Exception, match="lacks the gate"):
+        replay.compare(base, base.withColumn("gate", F.lit("false_done"))).collect()
+
+
+def test_ranked_with_one_confidence(spark):
+    """Most rows share a confidence: the ranks are those of a single window."""
+    rng = random.Random(3)
+    rows = [(1, i, True, rng.choice([0.0, 0.5, 1.0]), 1.0 if rng.random() < 0.7 else rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run int, ord long, answered boolean, correct double, confidence double")
+    got = {r.ord: (r.rn, r.errors) for r in metrics.ranked(df, ["run"]).collect()}
+    errors = 0.0
+    for n, (_, i, _, c, _) in enumerate(sorted(rows, key=lambda r: (-r[4], r[1])), 1):
+        errors += 1 - c
+        assert got[i][0] == n and got[i][1] == pytest.approx(errors)
+
+
+def test_spans_in_other_languages(spark):
+    """The same spans as the patterns give in Python, whose classes of letters are Unicode's."""
+    from decidra.operators import text_choices as T
+
+    def plain(text):
+        found = [m[g] for pattern, g in T.PATTERNS for m in re.finditer(pattern, text)]
+        found = [v for v in (f.strip(" ,.;:'\"") for f in found) if v and len(v) <= T.LONGEST and v.lower() not in T.STOP]
+        out, seen = [], set()
+        for v in sorted(found, key=lambda v: -len(v)):
+            if v.lower() not in seen:
+                seen.add(v.lower())
+                out.append(v)
+        return out[:40]
+
+    texts = ["Réserver Été à Zürich de Łódź le 5 mai", 'Find "Café Noir" and Élan of Ångström, jose.ñ@exämple.com', "Search ٣٤ hôtels, Straße 12", "从 上海 到 北京 on 2026-05-01, Mar 3, 2026", "naïve Über-Cool O'Neill’s"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(spans(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [plain(t) for t in texts]
