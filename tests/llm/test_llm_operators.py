@@ -317,6 +317,30 @@ def test_dedup_stages_ids(spark):
     assert got == {"a b c d e f": 1, "x y": 1, other: 1, "": 2, BASE: 1} and near.columns == docs.columns
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, none, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table and clashing names go through each stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2) for i in range(1, 15)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.unionByName(spark.createDataFrame([(None,) * 12, (None, BASE, None, None, None, None, None, None, None, None, None, None), (20, "scum", *(None,) * 10)], docs.schema))
+    rows = collections.Counter(map(tuple, odd.collect()))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, odd, str(tmp_path))
+        kept = collections.Counter(map(tuple, got.collect()))
+        assert got.columns == odd.columns and set(kept) <= set(rows), name  # whole rows, as they were
+        assert step(spark, none, str(tmp_path)).count() == 0, name
+        if name == "exact_dedup":
+            texts = [(t or "").translate(LOWER) for _, t, *_ in kept.elements()]
+            assert len(texts) == len(set(texts)) == len({(r[1] or "").translate(LOWER) for r in rows})
+        if name == "near_dedup":  # texts without words link with nothing
+            assert sum(n for r, n in kept.items() if not (r[1] or "").split()) == sum(n for r, n in rows.items() if not (r[1] or "").split())
+            assert sorted((r[1] or "").lower() for r in kept.elements() if (r[1] or "").lower().startswith(BASE[:20])) == [BASE, BASE.replace("lazy", "sleepy")]  # one word of 26 is too much
+        if name == "mixing":
+            assert set(kept) == set(rows)
+    packed = corpus_pipeline.packing(spark, odd, str(tmp_path))
+    assert packed.filter("piece = 0").count() == sum(rows.values()) and corpus_pipeline.packing(spark, none, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
