@@ -30,6 +30,13 @@ def strings(value: Any) -> list[str]:
     return [s for v in children for s in strings(v)]
 
 
+def flat_text(value: Any) -> str:
+    """All leaves of a JSON value as one text; nothing for null."""
+    if isinstance(value, dict | list):
+        return " ".join(map(flat_text, value.values() if isinstance(value, dict) else value))
+    return "" if value is None else str(value)
+
+
 def _drawn(pool: str, *seed: Any) -> str:
     return pool[int(hashlib.sha256("\x1f".join(map(str, seed)).encode()).hexdigest()[:12], 16) % len(pool)]
 

@@ -112,7 +112,7 @@ def checked_fixtures(spark: SparkSession, root: str, sets: list[T.Row], private_
         if path is None or not _exists(spark, path):
             notes.append(f"{s['name']}: not there")
             continue
-        digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).collect()[0][0]
+        digest = sha256_of(spark, path)
         if digest != s["sha256"]:
             raise ValueError(f"{s['name']}: sha256 is {digest}, not {s['sha256']}")
         part = read_lines(spark, path).select(F.lit(s["name"]).alias("set"), F.lit(s["ord"]).alias("set_ord"), "line_no", "value")
@@ -124,6 +124,11 @@ def checked_fixtures(spark: SparkSession, root: str, sets: list[T.Row], private_
     return rows, notes
 
 
+def sha256_of(spark: SparkSession, path: str) -> str:
+    """The hash of one file."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).collect()[0][0]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -35,7 +35,18 @@ def test_query(spark, duck, name):
         assert normal(rows, df.columns) == normal(want.fetchall(), want.columns)
 
 
-def test_entry_without_llm():
+def test_entry_without_llm(monkeypatch):
+    """With the subpackage there its queries come too; with its import blocked the engine's own are left, and nothing fails."""
+    import importlib
+    import sys
+
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+    with monkeypatch.context() as patch:
+        for name in [m for m in sys.modules if m == "decidra.llm" or m.startswith("decidra.llm.")]:
+            patch.delitem(sys.modules, name)
+        patch.setitem(sys.modules, "decidra.llm", None)
+        bare = importlib.reload(entry)
+        assert bare.queries() == QUERIES and bare.oracle_sql() == SQL
+    importlib.reload(entry)
