@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from decidra.functions import prob as P
 from decidra.functions.text import calibration_kind
+from decidra.sources.staging import staged
 
 #: The grid of temperatures, 0.20 to 3.00 by 0.05, and the pairs that a kind needs.
 GRID = tuple(round(0.20 + 0.05 * i, 2) for i in range(57))
@@ -42,5 +43,13 @@ def apply(answers: DataFrame) -> DataFrame:
 
 
 def with_fold_ord(answers: DataFrame, item_order: str, keys: list[str]) -> DataFrame:
-    """fold_ord: an item's position in its run."""
-    return answers.withColumn("fold_ord", F.dense_rank().over(Window.partitionBy(*keys).orderBy(item_order)) - 1)
+    """fold_ord: an item's position in its run, from 0.
+
+    Items are counted by ranges of (keys, item), each a task's rows, and the counts before a range are added: no run is one window.
+    """
+    ranges = staged(answers.select(*keys, item_order).distinct().repartitionByRange(*keys, item_order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranges.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(item_order)) - 1
+    numbered = ranges.join(starts, [*keys, "_part"]).select(*keys, item_order, place.alias("fold_ord"))
+    return answers.join(numbered, [*keys, item_order])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from decidra.functions.text import ngrams, option_set, tokens
+from decidra.functions.text import let, option_set, tokens
 from decidra.sources.staging import staged
 
 BROADCAST_GRAMS = 2_000_000
@@ -24,7 +24,9 @@ def grams_of(rows: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
 
 
 def gram_hashes(text: Column, n: int = 13) -> Column:
-    return F.array_distinct(F.transform(ngrams(tokens(text), n), lambda g: F.xxhash64(g)))
+    """The distinct hashes of a text's runs of n tokens, without making the runs' strings."""
+    made = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n))))).otherwise(F.array().cast("array<bigint>"))
+    return let(tokens(text), made)
 
 
 def gram_hits(bench: DataFrame, corpus: DataFrame, n: int = 13) -> DataFrame:
@@ -34,11 +36,6 @@ def gram_hits(bench: DataFrame, corpus: DataFrame, n: int = 13) -> DataFrame:
     return grams_of(corpus, "doc_id", "text", n).join(F.broadcast(wanted) if small else wanted, "gram")
 
 
-def with_hits(bench: DataFrame, corpus: DataFrame, n: int = 13) -> DataFrame:
-    """gram_hits for several uses: they are worked out once and written to the checkpoint folder, if there is one."""
-    return staged(gram_hits(bench, corpus, n))
-
-
 def best_match(hits: DataFrame) -> DataFrame:
     """item_id, best (the first document with the most shared grams), shared."""
     each = hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
@@ -46,7 +43,8 @@ def best_match(hits: DataFrame) -> DataFrame:
 
 
 def summary(bench: DataFrame, hits: DataFrame, n: int = 13) -> DataFrame:
-    """item_id, grams, hits, share, best, shared, flagged of every benchmark item."""
+    """item_id, grams, hits, share, best, shared, flagged of every benchmark item. hits are worked out once, though used twice."""
+    hits = staged(hits)
     size = bench.select("item_id", F.size(gram_hashes(F.col("text"), n)).cast("long").alias("grams"))
     distinct = hits.groupBy("item_id").agg(F.count_distinct("gram").alias("hits"))
     rows = size.join(distinct, "item_id", "left").join(best_match(hits), "item_id", "left").withColumns({"hits": F.coalesce("hits", F.lit(0)), "shared": F.coalesce("shared", F.lit(0))})

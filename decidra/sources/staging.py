@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,20 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 KEY = "spark.checkpoint.dir"
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder named in spark.checkpoint.dir, or None."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where it is unset, a folder of our own on a local master, deleted at the end; an error on a cluster."""
     base = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    return base.rstrip("/") if base else None
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{KEY} must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="decidra-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
+        spark.conf.set(KEY, base)
+    return base.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that several uses read it instead of working it out again.
-
-    Without such a folder df itself: the same rows, worked out by each use.
-    """
-    base = shared_dir(df.sparkSession)
-    if base is None:
-        return df
-    path = f"{base}/decidra/staged-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: several uses read it, and rows numbered by place stay as they are."""
+    path = f"{shared_dir(df.sparkSession)}/decidra/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
