@@ -2,7 +2,7 @@
 
 Folding lower-cases, strips accents, maps look-alike letters of other scripts and full-width forms to Latin ones, undoes
 digit and sign substitutions, drops zero-width characters and turns punctuation into spaces. The lexicon holds the
-beginnings of words that toxic texts have significantly more often, each with its log-odds as weight. Exception phrases are
+beginnings of words that toxic texts have significantly more often, and twice as often at least, each with its log-odds as weight. Exception phrases are
 learned too: a lexicon word with the word before or behind it, where clean texts have the two significantly more often; matches
 inside such a phrase don't count, nor inside phrases that are given. A text's sum of weights is normalised by its length in words to a fitted power, and a
 logistic curve makes the score.
@@ -37,9 +37,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Letters with accents, by what is under them.
 ACCENTS = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõöø", "u": "ùúûü", "y": "ÿ"}
 SHORTEST, LONGEST = 4, 8  # letters of a word's beginning
-LEAST_G2, LEAST_DOCS = 22.0, 3
-EXCEPTION_G2 = 6.6  # of a phrase in clean texts; it needs LEAST_DOCS of them
+LEAST_G2, LEAST_DOCS, LEAST_ODDS = 22.0, 3, math.log(2)  # an entry is in toxic texts twice as often, at least
 MOST_ENTRIES = 1000
+SIEVE_BITS = 22
 POWERS = (0.1, 0.25, 0.5, 1.0)
 
 
@@ -156,53 +156,73 @@ def _sketch(words: list[str]) -> int:
     return min(zlib.crc32(g.encode()) for g in grams)
 
 
-def learned_exceptions(toxic: list[list[str]], clean: list[list[str]], entries: Iterable[str]) -> tuple[str, ...]:
-    """Two-word phrases around the lexicon's words that clean texts have significantly more often than toxic ones. Texts are folded words.
+def learned_exceptions(toxic: list[str], clean: list[str], entries: Iterable[str]) -> tuple[str, ...]:
+    """Two-word phrases around the lexicon's words by which clean texts are told from toxic ones that have the same entry. Texts are folded.
 
-    The toxic texts give the odds: a phrase is as much more common among the lexicon words of clean texts as it must be by chance.
+    A phrase's share among clean texts with its entry is significantly greater than among toxic ones, by the lexicon's own measure.
     """
     starts = tuple(sorted(entries))
+    if not starts:
+        return ()
 
-    def phrases(words: list[str]) -> set[str]:
-        held = [i for i, w in enumerate(words) if starts and w.startswith(starts)]
-        return {f"{words[a]} {words[a + 1]}" for i in held for a in (i - 1, i) if 0 <= a < len(words) - 1}
+    def phrases(words: list[str]) -> set[tuple[str, str]]:
+        held = [(i, next(e for e in starts if w.startswith(e))) for i, w in enumerate(words) if w.startswith(starts)]
+        return {(e, "") for _, e in held} | {(e, f"{words[a]} {words[a + 1]}") for i, e in held for a in (i - 1, i) if 0 <= a < len(words) - 1}
 
-    good, bad = (Counter(p for words in docs for p in phrases(words)) for docs in (clean, toxic))
-    with_word = [sum(any(w.startswith(starts) for w in words) for words in docs) if starts else 0 for docs in (clean, toxic)]
-    return tuple(sorted(p for p, n in good.items() if n >= LEAST_DOCS and _g2(n, bad[p], with_word[0], max(with_word[1], 1)) >= EXCEPTION_G2))
+    good: Counter = Counter()
+    bad: Counter = Counter()
+    for folded in clean:
+        good.update(phrases(folded.split()))
+    for folded in toxic:
+        bad.update(phrases(folded.split()) & good.keys())
+    fine = lambda e, p, n: p and n >= LEAST_DOCS and _g2(n, bad[e, p], good[e, ""], max(bad[e, ""], 1)) >= LEAST_G2
+    return tuple(sorted({p for (e, p), n in good.items() if fine(e, p, n)}))
+
+
+def _frequent(docs: list[str]) -> Counter:
+    """How many of the folded texts have each candidate, of those that LEAST_DOCS have.
+
+    Candidates are counted by a hash first, as most are in one text only and would fill the driver's memory.
+    """
+    mask = (1 << SIEVE_BITS) - 1
+    sieve = bytearray(1 << SIEVE_BITS)
+    for folded in docs:
+        for at in {hash(c) & mask for c in _candidates(set(folded.split()))}:
+            sieve[at] = min(LEAST_DOCS, sieve[at] + 1)
+    found: Counter = Counter()
+    for folded in docs:
+        found.update(c for c in _candidates(set(folded.split())) if sieve[hash(c) & mask] >= LEAST_DOCS)
+    return Counter({c: n for c, n in found.items() if n >= LEAST_DOCS})
 
 
 def fit(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = ()) -> Model:
     """A model from (text, 1 for toxic or 0) rows; exceptions: phrases that are none in any case, besides the learned ones."""
-    once: dict[tuple[int, int], tuple[str, list[str], int]] = {}
+    once: dict[tuple[int, int], tuple[str, str, int]] = {}
     for text, label in rows:
-        words = fold(text).split()
-        once.setdefault((_sketch(words), label), (text, words, label))
-    docs = sorted(once.items())
-    toxic_words, clean_words = [w for _, (_, w, y) in docs if y], [w for _, (_, w, y) in docs if not y]
-    toxic, clean = [set(w) for w in toxic_words], [set(w) for w in clean_words]
-    bad: Counter = Counter()
-    for words in toxic:
-        bad.update(_candidates(words))
-    kept = {c for c, n in bad.items() if n >= LEAST_DOCS}
+        folded = fold(text)
+        once.setdefault((_sketch(folded.split()), label), (text, folded, label))
+    docs = [once[key] for key in sorted(once)]
+    toxic, clean = [f for _, f, y in docs if y], [f for _, f, y in docs if not y]
+    bad = _frequent(toxic)
     good: Counter = Counter()
-    for words in clean:
-        good.update(_candidates(words) & kept)
+    for folded in clean:
+        good.update(_candidates(set(folded.split())) & bad.keys())
+    odds = lambda c: math.log((bad[c] + 0.5) / (len(toxic) + 1)) - math.log((good[c] + 0.5) / (len(clean) + 1))
     ranked = []
-    for c in kept:
+    for c in bad:
         g2 = _g2(bad[c], good[c], len(toxic), len(clean)) if clean else 0.0
-        if g2 >= LEAST_G2:
+        if g2 >= LEAST_G2 and odds(c) >= LEAST_ODDS:
             ranked.append((-g2, len(c), c))
     entries: dict[str, float] = {}
     for _, _, c in sorted(ranked):
         if len(entries) < MOST_ENTRIES and not any(c.startswith(e) for e in entries):
-            entries[c] = math.log((bad[c] + 0.5) / (len(toxic) + 1)) - math.log((good[c] + 0.5) / (len(clean) + 1))
+            entries[c] = odds(c)
     # a beginning that a longer, stronger entry only narrows down would count the same word twice
     entries = {e: w for e, w in entries.items() if not any(o != e and o.startswith(e) and entries[o] >= w for o in entries)}
-    learned = learned_exceptions(toxic_words, clean_words, entries)
+    learned = learned_exceptions(toxic, clean, entries)
     model = Model(tuple(sorted(entries.items())), tuple(sorted({*exceptions, *learned})), 1.0, 0.0, 0.0)
     scorer = Scorer(model)
-    found = [(*scorer.matches(text)[::2], y) for _, (text, _, y) in docs]
+    found = [(*scorer.matches(text)[::2], y) for text, _, y in docs]
     best = None
     for power in POWERS:
         bias, slope, loss = _logistic([math.log1p(t / max(n, 1) ** power) for t, n, _ in found], [y for _, _, y in found])
