@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,23 @@ def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(per_task: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """per_task, after which the worker gives its free memory back: workers go on to other stages, and the JVM's share doesn't shrink."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from per_task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 BROADCAST_ROWS = 500_000
 
 

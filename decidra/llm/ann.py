@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from decidra.llm._common import drop, stage
+from decidra.llm._common import drop, lean, stage
 
 SAMPLE, BOOKS, WORDS, BEAM = 12_000, 16, 256, 4
 SHORT_ROWS = 10_000  # distinct vectors, from which on the shortlist grows with the square root of their number
@@ -102,7 +102,7 @@ def coded_vectors(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["ids", "embedding", "codes"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    return vectors.select("ids", "embedding").mapInArrow(per_batch, f"ids array<long>, embedding {kind}, codes binary")
+    return vectors.select("ids", "embedding").mapInArrow(lean(per_batch), f"ids array<long>, embedding {kind}, codes binary")
 
 
 def build_index(classes: DataFrame, codebooks: np.ndarray) -> DataFrame:
@@ -118,7 +118,7 @@ def build_index(classes: DataFrame, codebooks: np.ndarray) -> DataFrame:
                 values = [part.column(0).to_numpy().astype("<i8").tobytes(), codes.tobytes(), norms.astype("<f4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["classes", "codes", "norms"])
 
-    return classes.select("class", "codes").mapInArrow(per_batch, "classes binary, codes binary, norms binary")
+    return classes.select("class", "codes").mapInArrow(lean(per_batch), "classes binary, codes binary, norms binary")
 
 
 def best_with_ties(best: np.ndarray, who: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def shortlists(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, cod
             ends = np.concatenate([[0], np.cumsum(fine.sum(1))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[a : a + 64]), pa.ListArray.from_arrays(pa.array(ends), each)], names=["query_id", "found"])
 
-    return index.select("classes", "codes", "norms").mapInArrow(per_task, "query_id long, found array<struct<approx:float,class:long>>")
+    return index.select("classes", "codes", "norms").mapInArrow(lean(per_task), "query_id long, found array<struct<approx:float,class:long>>")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import BROADCAST_ROWS, U64, byte_texts, drop, mix64, stage
+from decidra.llm._common import BROADCAST_ROWS, U64, byte_texts, drop, lean, mix64, stage
 
 BUCKET_DIGESTS = 60_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +42,7 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0).cast(pa.int64()), pa.array(found, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "digest", "n_bytes"]
             )
 
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(per_batch, "doc_id long, digest binary, n_bytes long")
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(per_batch), "doc_id long, digest binary, n_bytes long")
 
 
 # --- binary-fuse filters ------------------------------------------------------------------------------------------

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import byte_texts
+from decidra.llm._common import byte_texts, lean
 
 #: The phrases every scan reports, each with its label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -135,7 +135,7 @@ def corpus_idf(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, float]:
         rows = [(w.decode(), c) for w, c in df.items()] + [("", n)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
 
-    df = {r.word.encode(): r.n for r in texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    df = {r.word.encode(): r.n for r in texts.mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = df.pop(b"", 0)
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in vocabulary}
 
@@ -232,4 +232,4 @@ def scan_licenses(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
             columns = list(zip(*map(judge, byte_texts(batch.column(1))), strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
 
-    return texts.mapInArrow(per_batch, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return texts.mapInArrow(lean(per_batch), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import U64, batch_rows, drop, mix64, release, stage
+from decidra.llm._common import U64, batch_rows, drop, lean, mix64, release, stage
 from decidra.llm._shingles import shingle_sets
 from decidra.llm.components import components
 
@@ -94,7 +94,7 @@ def _posted(texts: DataFrame, k: int, t: Threshold) -> DataFrame:
             for a in range(0, len(flat), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100_000]), pa.array(flat[a : a + 100_000].view(np.int64))], names=["doc_id", "token"])
 
-    return texts.mapInArrow(per_batch, "doc_id long, token long")
+    return texts.mapInArrow(lean(per_batch), "doc_id long, token long")
 
 
 def _described(texts: DataFrame, k: int, t: Threshold, with_tokens: bool) -> DataFrame:
@@ -116,7 +116,7 @@ def _described(texts: DataFrame, k: int, t: Threshold, with_tokens: bool) -> Dat
                 columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*names, "tokens"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return texts.mapInArrow(per_batch, "doc_id long, n_shingles long, set_key binary, needed long" + ", tokens array<long>" * with_tokens)
+    return texts.mapInArrow(lean(per_batch), "doc_id long, n_shingles long, set_key binary, needed long" + ", tokens array<long>" * with_tokens)
 
 
 def prefix_signatures(n: int, rare: np.ndarray, frequent: np.ndarray, t: Threshold) -> list[np.ndarray]:
@@ -182,7 +182,7 @@ def _signatures(rows: DataFrame, t: Threshold) -> DataFrame:
                 marks = pa.concat_arrays([pa.nulls(total, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bitmaps)))])
                 yield pa.RecordBatch.from_arrays([sig, *four, marks], names=["sig", "doc_id", "n", "a", "central", "bitmap"])
 
-    return rows.select("doc_id", "n_shingles", "common").mapInArrow(per_batch, "sig long, doc_id long, n long, a long, central long, bitmap array<long>")
+    return rows.select("doc_id", "n_shingles", "common").mapInArrow(lean(per_batch), "sig long, doc_id long, n long, a long, central long, bitmap array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -202,7 +202,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
     one, two = (sets.select(F.col("doc_id").alias(v), F.col("tokens").alias(f"t{v}")) for v in "xy")
     # y first: a document with many partners is an x, and its tokens aren't shuffled once for each of them
-    return pairs.select("x", "y").join(two, "y").join(one, "x").select("x", "y", "tx", "ty").mapInArrow(per_batch, "x long, y long")
+    return pairs.select("x", "y").join(two, "y").join(one, "x").select("x", "y", "tx", "ty").mapInArrow(lean(per_batch), "x long, y long")
 
 
 def linked_counts(i: int, j: int, ids: np.ndarray, block: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def _degrees(sets: DataFrame, placed: DataFrame, t: Threshold) -> DataFrame:
     pair = F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = each.select(pair.alias("pair"), F.struct("doc_id", "block", "tokens").alias("row")).groupBy("pair").agg(F.collect_list("row").alias("rows"))
     with batch_rows(spark, PAIR_ROWS):
-        counted, counted_at = stage(rows.select("pair.i", "pair.j", "rows").mapInArrow(per_batch, "rep long, n long"), "block-links")
+        counted, counted_at = stage(rows.select("pair.i", "pair.j", "rows").mapInArrow(lean(per_batch), "rep long, n long"), "block-links")
     out, _ = stage(counted.groupBy("rep").agg(F.sum("n").alias("n_links")), "degrees")
     drop(spark, large_at, counted_at)
     return out

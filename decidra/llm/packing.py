@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import task_id
+from decidra.llm._common import lean, task_id
 from decidra.llm._tokens import encoder
 
 OPEN_BINS = 1024
@@ -99,4 +99,4 @@ def pack_documents(
     if rows.rdd.getNumPartitions() > splits:
         rows = rows.coalesce(splits)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return rows.mapInArrow(per_split, schema)
+    return rows.mapInArrow(lean(per_split), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.llm._common import U64, drop, new_path, stage, task_id
+from decidra.llm._common import U64, drop, lean, new_path, stage, task_id
 from decidra.llm._tokens import encoder
 
 SCALE_BITS, LOW_BITS = 18, 31
@@ -175,7 +175,7 @@ def _tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return ordered.mapInArrow(per_part, "part int, start_in_part long, doc_ids array<long>, lengths array<long>, ids binary")
+    return ordered.mapInArrow(lean(per_part), "part int, start_in_part long, doc_ids array<long>, lengths array<long>, ids binary")
 
 
 def _plain(ids: bytes, lengths: list[int]) -> np.ndarray:
@@ -201,7 +201,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, end_id: i
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
 
     # both results are bounded: by the vocabulary, and by the number of partitions
-    counted = plain.select("ids", "lengths").mapInArrow(histogram, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counted = plain.select("ids", "lengths").mapInArrow(lean(histogram), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     parts = plain.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
     counts = np.zeros(max([r.token for r in counted], default=0) + 1, np.int64)
     for r in counted:
@@ -224,7 +224,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, types, strict=True)], names=["start", "doc_ids", "lengths", *names])
 
     schema = "start long, doc_ids array<long>, lengths array<long>, lanes int, words binary, states binary, word_starts array<long>, segment_crcs array<long>"
-    plain.mapInArrow(encode, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    plain.mapInArrow(lean(encode), schema).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq)], "token int, freq int").coalesce(1).write.parquet(f"{path}/table")
     drop(spark, plain_at)
 
@@ -247,7 +247,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     columns, names = [*columns, pa.array(spans, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return spark.read.parquet(f"{path}/blocks").mapInArrow(lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def token_stream(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

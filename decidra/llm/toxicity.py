@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decidra.llm._common import lean
+
 #: Look-alike letters and the Latin letters they stand for.
 HOMOGLYPHS = {
     "a": "аαάⓐ", "b": "Ььⓑ", "c": "сϲⓒ", "d": "ԁⓓ", "e": "еєεέⓔ", "f": "ғ", "g": "ɡ", "h": "һ", "i": "іιίıϊ", "j": "јϳ", "k": "кκ", "l": "ӏɩ",
@@ -253,7 +255,7 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
             columns = [pa.array([scorer.score(t, n) for t, _, n in found], pa.float64()), pa.array([k for _, k, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "score", "n_matches", "n_words"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(per_batch, "doc_id long, score double, n_matches long, n_words long")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(per_batch), "doc_id long, score double, n_matches long, n_words long")
 
 
 def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -266,7 +268,7 @@ def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.3, text_
             found = (scorer.matches(t or "") for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([scorer.score(t, n) < threshold for t, _, n in found], pa.bool_()))
 
-    return documents.mapInArrow(per_batch, documents.schema)
+    return documents.mapInArrow(lean(per_batch), documents.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
