@@ -30,9 +30,18 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, line_no, value of each non-blank line, numbered in each file: one file is read by one task, in order."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return raw.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter(F.trim("value") != "")
+    """path, line_no, value of each non-blank line, numbered from 0 in each file.
+
+    A file is read in splits, of which the lines are counted first: a line's number is that of the lines in the splits before,
+    and its place in its own, which consecutive ids give. No task holds a file, and no row is one.
+    """
+    at = {"path": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+    raw = spark.read.text(path, lineSep="\n").select(*(c.alias(name) for name, c in at.items()), "value")
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = raw.groupBy("path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    starts = splits.select("path", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = raw.join(F.broadcast(starts), ["path", "_split"])
+    return numbered.select("path", (F.col("_id") + F.col("_shift")).cast("int").alias("line_no"), "value").filter(F.trim("value") != "")
 
 
 def parse(lines: DataFrame, schema: str) -> DataFrame:

@@ -38,5 +38,12 @@ def cached(requests: DataFrame, key: str, order: str) -> DataFrame:
     return requests.join(first, key).withColumn("hit", F.col(order) > F.col("_first")).drop("_first")
 
 
+def echoed(requests: DataFrame, key: str, order: str, answer: str) -> DataFrame:
+    """In a batch: every request with its own identity, the answer of the first with its key, and whether that came from the cache."""
+    first = requests.groupBy(key).agg(F.min(order).alias("_first"), F.min_by(answer, order).alias("_answer"))
+    joined = requests.join(first, key).withColumn("hit", F.col(order) > F.col("_first"))
+    return joined.withColumn(answer, F.col("_answer")).drop("_first", "_answer")
+
+
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -288,3 +288,35 @@ def test_spans_in_other_languages(spark):
     texts = ["Réserver Été à Zürich de Łódź le 5 mai", 'Find "Café Noir" and Élan of Ångström, jose.ñ@exämple.com', "Search ٣٤ hôtels, Straße 12", "从 上海 到 北京 on 2026-05-01, Mar 3, 2026", "naïve Über-Cool O'Neill’s"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(spans(F.col("t")).alias("s")).collect()
     assert [r.s for r in got] == [plain(t) for t in texts]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Lines keep their numbers when a file is read in many splits, blank ones counted."""
+    lines = [f'{{"id": {i}, "text": "é{"x" * (i % 50)}"}}' if i % 7 else " " for i in range(4000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text("one\ntwo", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = io.read_lines(spark, [f"{tmp_path}/a.jsonl", f"{tmp_path}/b.jsonl"])
+        got = {(r.path.rsplit("/", 1)[1], r.line_no): r.value for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {("a.jsonl", i): t for i, t in enumerate(lines) if t.strip()} | {("b.jsonl", 0): "one", ("b.jsonl", 1): "two"}
+
+
+def test_the_log_goes_on_after_a_restart(spark, tmp_path):
+    from decidra.streaming import routing
+
+    schema = "t double, request_id string, reason string, state string"
+    source = lambda: spark.readStream.schema(schema).json(f"{tmp_path}/in")
+    for n in range(3):  # each time a new query over the same checkpoint
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{n}.json").write_text("".join(json.dumps({"t": i, "request_id": f"{n}/{i}", "reason": "fast_ok", "state": "secret"}) + "\n" for i in range(5)))
+        routing.write_log(source(), f"{tmp_path}/log", f"{tmp_path}/check").awaitTermination()
+        log = spark.read.parquet(f"{tmp_path}/log")
+        assert log.count() == log.select("request_id").distinct().count() == 5 * (n + 1) and "state" not in log.columns
+    asked = spark.createDataFrame([("k", 1, "r1", "yes"), ("k", 2, "r2", "no"), ("j", 3, "r3", "maybe")], "key string, at int, request_id string, answer string")
+    assert {r.request_id: (r.answer, r.hit) for r in routing.echoed(asked, "key", "at", "answer").collect()} == {"r1": ("yes", False), "r2": ("yes", True), "r3": ("maybe", False)}
