@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _packed(lengths: Iterable[int], max_batch: int, token_budget: int) -> list[int]:
@@ -72,3 +73,22 @@ def batch_sizes(lengths: Column, max_batch: int, token_budget: int) -> Column:
         )
 
     return F.aggregate(lengths, start, step, lambda s: F.when(s["size"] > 0, F.concat(s["done"], F.array(s["size"]))).otherwise(s["done"]))
+
+
+def collated(examples: DataFrame, batch: str, pad_id: int) -> DataFrame:
+    """Examples (batch, input_ids, label_ids, teacher, gold) as rows of rectangular batches: ids and mask of the batch's width, the
+    place of the last id, label ids padded with the first, which of them count, and the teacher padded with 0.
+
+    Widths are a batch's maxima, so a batch is one small group.
+    """
+    whole = Window.partitionBy(batch)
+    size = lambda c: F.size(c)
+    filled = lambda c, value, wide: F.concat(F.col(c), F.array_repeat(value, F.greatest(wide - size(c), F.lit(0)).cast("int")))
+    flags = lambda c, wide, kind: F.concat(F.array_repeat(F.lit(True), size(c)), F.array_repeat(F.lit(False), F.greatest(wide - size(c), F.lit(0)).cast("int"))).cast(f"array<{kind}>")
+    rows = examples.withColumns({"_wide": F.max(F.size("input_ids")).over(whole), "_many": F.max(F.size("label_ids")).over(whole)})
+    pad = F.lit(pad_id).cast(examples.schema["input_ids"].dataType.elementType)
+    return rows.withColumns({
+        "mask": flags("input_ids", F.col("_wide"), "int"), "last": F.size("input_ids") - 1, "valid": flags("label_ids", F.col("_many"), "boolean"),
+    }).withColumns({
+        "input_ids": filled("input_ids", pad, F.col("_wide")), "teacher": filled("teacher", F.lit(0.0), F.col("_many")), "label_ids": filled("label_ids", F.element_at("label_ids", 1), F.col("_many")),
+    }).drop("_wide", "_many")

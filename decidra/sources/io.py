@@ -260,11 +260,11 @@ def suite_summary(questions: DataFrame) -> DataFrame:
     return questions.groupBy("group").agg(F.count_distinct("id").alias("items"), F.count_if(F.col("reference").isNotNull()).alias("pairs"))
 
 
-def predictor(spec: str) -> dict[str, str]:
-    """A predictor spec taken apart: kind, model, url or bits, adapter and temperatures."""
+def predictor(spec: str, kinds: tuple[str, ...] | None = None) -> dict[str, str]:
+    """A predictor spec taken apart: kind, model, url or bits, adapter and temperatures. kinds: those that there are, if they are known."""
     head, _, temperatures = spec.partition("~")
     kind, _, rest = head.partition(":")
-    if kind not in ("uniform", "reference", "systemone", "local", "local-noshare", "mlx", "cua-s1"):
+    if kinds is not None and kind not in kinds:
         raise ValueError(f"no predictor {kind!r}")
     model, at, extra = rest.partition("@")
     model, _, adapter = model.partition("+")

@@ -37,7 +37,7 @@ def test_closed_loop(spark):
     rows = [(1, step("mail", 1), {"by": "fast"}), (2, step("mail", 2, label_source="planner"), None), (3, step("music", 1, label=None), None)]
     df = spark.createDataFrame([(k, json.dumps(r), json.dumps(x)) for k, r, x in rows], "k int, row string, routing string")
     got = fixtures.closed_loop_fixtures(df, "k", "run").collect()
-    assert [r.id for r in got] == ["hands/run/mail/1"] and got[0].session == "hands/run/mail" and got[0].split in ("dev", "holdout") and got[0].gold_op == "CLICK"
+    assert [r.id for r in got] == ["run/mail/1"] and got[0].session == "run/mail" and got[0].split in ("dev", "holdout") and got[0].gold_op == "CLICK"
     loop = json.loads(got[0].closed_loop)
     assert loop["choices"] == {"operation": "DONE"} and loop["routing"] == {"by": "fast"} and len(loop["options_digest"]) == 64 and json.loads(got[0].references)["click_target"] == {"1": 1.0}
     with pytest.raises(ValueError, match="isn't among"):

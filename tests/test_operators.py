@@ -320,3 +320,25 @@ def test_the_log_goes_on_after_a_restart(spark, tmp_path):
         assert log.count() == log.select("request_id").distinct().count() == 5 * (n + 1) and "state" not in log.columns
     asked = spark.createDataFrame([("k", 1, "r1", "yes"), ("k", 2, "r2", "no"), ("j", 3, "r3", "maybe")], "key string, at int, request_id string, answer string")
     assert {r.request_id: (r.answer, r.hit) for r in routing.echoed(asked, "key", "at", "answer").collect()} == {"r1": ("yes", False), "r2": ("yes", True), "r3": ("maybe", False)}
+
+
+def test_batches_are_rectangular(spark):
+    rows = spark.createDataFrame([(0, [5, 6, 7], [1, 2], [0.9, 0.1], 0), (0, [5], [3, 4, 1], [0.2, 0.3, 0.5], 2), (1, [8, 9], [1, 2], [1.0, 0.0], 0)], "batch int, input_ids array<int>, label_ids array<int>, teacher array<double>, gold int")
+    got = {(r.batch, r.gold): r for r in batching.collated(rows, "batch", 99).collect()}
+    first, second = got[0, 0], got[0, 2]
+    assert (first.input_ids, first["mask"], first["last"], first.label_ids, first.valid, first.teacher) == ([5, 6, 7], [1, 1, 1], 2, [1, 2, 1], [True, True, False], [0.9, 0.1, 0.0])
+    assert (second.input_ids, second["mask"], second["last"], second.label_ids, second.valid) == ([5, 99, 99], [1, 0, 0], 0, [3, 4, 1], [True] * 3)
+    assert got[1, 0].input_ids == [8, 9] and got[1, 0].valid == [True, True]
+
+
+def test_a_stream_of_batches(spark):
+    """Batches over one stream hold what the budget lets them, in order, but for cuts between partitions."""
+    lengths = [(i, random.Random(i).randint(1, 900)) for i in range(2000)]
+    rows = batching.batch_stream(spark.createDataFrame(lengths, "i int, n long").repartition(3), "i", "n", 6, 3000).collect()
+    batches = {}
+    for r in sorted(rows, key=lambda r: r.i):
+        batches.setdefault(r.batch, []).append(r)
+    plain = batching._packed([n for _, n in lengths], 6, 3000)
+    assert len(rows) == 2000 and len(batches) <= plain[-1] + 1 + 4
+    for held in batches.values():
+        assert len(held) <= 6 and max(r.n for r in held) * len(held) <= 3000 and [r.i for r in held] == list(range(held[0].i, held[0].i + len(held)))
