@@ -6,8 +6,9 @@ grouped by itself, probes the filters, and only the positives join the exact buc
 Batches are folded in one after the other; every fold makes the next snapshot and leaves the earlier one as it was.
 
 Defined results: a null text counts as empty, texts are equal when identical after lower-casing A-Z only, a null doc_id
-never stays while its group has another, rows that repeat a doc_id share their decision, an empty table gives no rows,
-and columns other than the two named are ignored.
+never stays while its group has another, all rows of a group of null doc_ids alone stay, as none has an id to go by, rows that
+repeat a doc_id share their decision, an empty table gives no rows, and columns other than the two named are ignored. (The
+pipeline's stage decides by rows instead, so there one row of every group stays.)
 """
 
 from __future__ import annotations
