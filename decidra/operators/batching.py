@@ -41,7 +41,7 @@ def batch_stream(examples: DataFrame, order: str, length: str, max_batch: int, t
                     done, size, width = done + 1, 0, n
                 size += 1
                 out.append(part + done)
-            yield rows.assign(batch=out)
+            yield rows.astype(object).assign(batch=out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in examples.dtypes) + ", batch long"
     return examples.repartitionByRange(order).sortWithinPartitions(order).mapInPandas(pack, schema)
@@ -55,7 +55,7 @@ def token_batches(examples: DataFrame, group: str, order: str, length: str, max_
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        return rows.assign(batch=_packed(rows[length], max_batch, token_budget))
+        return rows.astype(object).assign(batch=_packed(rows[length], max_batch, token_budget))
 
     schema = ", ".join(f"{c} {t}" for c, t in examples.dtypes) + ", batch long"
     return examples.groupBy(group).applyInPandas(pack, schema)

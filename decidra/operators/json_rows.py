@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def over_json(rows: DataFrame, key: str, columns: list[str], made: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
@@ -19,3 +20,9 @@ def over_json(rows: DataFrame, key: str, columns: list[str], made: Callable[...,
             yield pd.DataFrame(out, columns=[key, *names])
 
     return rows.select(key, *columns).mapInPandas(per_batch, f"{key} {dict(rows.dtypes)[key]}, {schema}")
+
+
+def take(rows: DataFrame, key: str, columns: list[str], rule: Callable[..., tuple | None], schema: str, n: int, seed: str) -> DataFrame:
+    """The first n rows, in a seeded order of their keys, for which a rule over the key and the parsed columns gives anything; with what it gives."""
+    tried = over_json(rows, key, columns, lambda k, *values: [made] if (made := rule(k, *values)) is not None else [], schema)
+    return tried.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(n)

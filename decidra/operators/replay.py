@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from decidra.functions.text import session_of, split_of
+
 #: Operations that change something, operations that may stand for another, the gates and what they allow.
 WRITE_OPS = ("TYPE_TEXT", "APPEND_TEXT", "REPLACE_TEXT", "RENAME", "DELETE", "MOVE", "SEND")
 EQUIVALENT = {"CLICK": ("OPEN",)}
@@ -27,6 +29,21 @@ def order_for_replay(rows: DataFrame, session: str, step: list[str], first: str)
     return rows.withColumns({"session_first": appeared, "position": within.cast("long")})
 
 
+def tagged(rows: DataFrame, set_name: str, id_col: str, categories: Column, session: Column | None = None) -> DataFrame:
+    """rows with what a fixture says of itself: set, session, split and categories. A variant's session may be given."""
+    own = session_of(F.col(id_col)) if session is None else F.coalesce(session, session_of(F.col(id_col)))
+    return rows.withColumn("session", own).withColumns({"set": F.lit(set_name), "split": split_of(F.col("session")), "categories": categories})
+
+
+def with_modes(rows: DataFrame, modes: tuple[str, ...] = ("cold", "warm")) -> DataFrame:
+    """Each step once for each mode, with `fresh`: whether what was kept from steps before is dropped first. Warm passes keep it within a session.
+
+    rows are ordered by order_for_replay. Timing is measured by the predictor and comes in as a column.
+    """
+    each = rows.withColumn("mode", F.explode(F.array(*(F.lit(m) for m in modes))))
+    return each.withColumn("fresh", (F.col("mode") == "cold") | (F.col("position") == 1))
+
+
 def contiguous_runs(rows: DataFrame, session: str, step: str, budget: int, longest: int, seed: str) -> DataFrame:
     """Sessions in a seeded order, each with a contiguous run of at most `longest` steps, while the rows fit the budget.
 

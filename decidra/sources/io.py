@@ -95,6 +95,22 @@ def by_number(paths: list[str]) -> list[str]:
     return sorted(paths, key=lambda p: (not number(p), [int(n) for n in number(p)], p))
 
 
+def concatenated(parts: dict[str, DataFrame], order: str) -> DataFrame:
+    """The rows of several sources one after the other: each with its source, source_ord and, from `order`, ord. Columns that a source lacks are NULL."""
+    union = None
+    for n, (name, rows) in enumerate(parts.items()):
+        part = rows.withColumns({"source_name": F.lit(name), "source_ord": F.lit(n), "ord": F.col(order)})
+        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
+    if union is None:
+        raise ValueError("no sources")
+    return union
+
+
+def encoded(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """value: each row's columns as one line of JSON, fields without a value left out; from_json with the columns' types gives them back."""
+    return rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}).alias("value"))
+
+
 def first_rows(rows: DataFrame, order: list[str], n: int | None) -> DataFrame:
     """The first n rows in order, or all."""
     return rows if n is None else rows.orderBy(*order).limit(n)

@@ -334,7 +334,7 @@ def test_batches_are_rectangular(spark):
 def test_a_stream_of_batches(spark):
     """Batches over one stream hold what the budget lets them, in order, but for cuts between partitions."""
     lengths = [(i, random.Random(i).randint(1, 900)) for i in range(2000)]
-    rows = batching.batch_stream(spark.createDataFrame(lengths, "i int, n long").repartition(3), "i", "n", 6, 3000).collect()
+    rows = batching.batch_stream(spark.createDataFrame(lengths, "i int, n long").withColumn("text", F.lit("x")).repartition(3), "i", "n", 6, 3000).collect()
     batches = {}
     for r in sorted(rows, key=lambda r: r.i):
         batches.setdefault(r.batch, []).append(r)
@@ -342,3 +342,57 @@ def test_a_stream_of_batches(spark):
     assert len(rows) == 2000 and len(batches) <= plain[-1] + 1 + 4
     for held in batches.values():
         assert len(held) <= 6 and max(r.n for r in held) * len(held) <= 3000 and [r.i for r in held] == list(range(held[0].i, held[0].i + len(held)))
+
+
+def test_http_predictor(spark):
+    """Against a server of our own: answers, cost by tokens, and errors that don't end the run."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            known = body["state"] != "bad" and self.headers["Authorization"] == "Bearer key" and body["model"] == "m"
+            self.send_response(200 if known else 500)
+            self.end_headers()
+            if known:
+                self.wfile.write(json.dumps({"answers": {q: {"choice": body["state"]} for q in body["questions"]}, "usage": {"input_tokens": 1000} if body["state"] == "a" else {}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    items = spark.createDataFrame([(s, json.dumps(s), '{"q": {}}') for s in ("a", "b", "bad")], "item_id string, state string, questions string")
+    got = {r.item_id: r for r in runner.run_predictions(items, runner.http_predictor(f"http://127.0.0.1:{server.server_port}/ask", "m", "key"), runner.HTTP).collect()}
+    server.shutdown()
+    assert json.loads(got["a"].answers) == {"q": {"choice": "a"}} and got["a"].cost_usd == pytest.approx(0.000042) and got["a"].latency_s > 0
+    assert got["b"].cost_usd is None and got["b"].error is None and "500" in got["bad"].error and got["bad"].answers is None
+
+
+def test_slots_and_modes(spark):
+    from decidra.operators import builders
+    from decidra.operators.json_rows import take
+
+    prompts = spark.createDataFrame([("one", ["A", "B"]), ("three", ["A", "B", "C"])], "prompt string, labels array<string>")
+    scored = runner.scored_prompts(prompts, lambda texts, labels: [[len(t) + i for i, _ in enumerate(ls)] for t, ls in zip(texts, labels, strict=True)])
+    assert {r.prompt: r.logits for r in scored.collect()} == {"one": [3.0, 4.0], "three": [5.0, 6.0, 7.0]}
+    rows = spark.createDataFrame([("t/1/5", 0), ("t/2/9", 1), ("t/1/41", 2)], "id string, ord int")
+    known = replay.tagged(rows, "gym", "id", F.array(F.lit("terminal")), F.when(F.col("ord") == 1, F.lit("other")))
+    assert {r.id: (r.set, r.session) for r in known.collect()} == {"t/1/5": ("gym", "t/1"), "t/2/9": ("gym", "other"), "t/1/41": ("gym", "t/1")} and {r.split for r in known.collect()} <= {"dev", "holdout"}
+    ordered = replay.order_for_replay(known.withColumn("key", step_key(F.col("id"))), "session", ["key"], "ord")
+    assert {(r.id, r["mode"]): r.fresh for r in replay.with_modes(ordered).collect()} == {
+        ("t/1/5", "cold"): True, ("t/1/41", "cold"): True, ("t/2/9", "cold"): True, ("t/1/5", "warm"): True, ("t/1/41", "warm"): False, ("t/2/9", "warm"): True,
+    }
+    numbers = spark.range(100).select("id", F.col("id").cast("string").alias("n"))
+    some = take(numbers, "id", ["n"], lambda k, n: (n * 2,) if n % 3 == 0 else None, "twice long", 10, "s").collect()
+    assert len(some) == 10 and all(r.twice == 2 * r.id and r.id % 3 == 0 for r in some)
+    seven = builders.repeat_to(spark.range(3).withColumnRenamed("id", "k"), 7, "k", "s").groupBy("k").count().collect()
+    assert sorted(r["count"] for r in seven) == [2, 2, 3] and builders.repeat_to(spark.range(3).withColumnRenamed("id", "k"), 2, "k", "s").count() == 2
+    both = io.concatenated({"x": rows, "y": rows.withColumn("more", F.lit(1))}, "ord").orderBy("source_ord", "ord").collect()
+    assert [(r.source_name, r.ord, r.more) for r in both] == [("x", i, None) for i in range(3)] + [("y", i, 1) for i in range(3)]
+    lines = io.encoded(spark.createDataFrame([("a", None, {"q": "1"})], "item_id string, latency_s double, answers map<string,string>"), ["item_id", "latency_s", "answers"])
+    assert [r.value for r in lines.collect()] == ['{"item_id":"a","answers":{"q":"1"}}'] and io.parse(lines, io.PREDICTION).collect()[0].answers == {"q": "1"}
+    states = spark.createDataFrame([(1, "f"), (2, "f"), (3, "g")], "id int, family string")
+    right = spark.createDataFrame([(1, True, False)], "id int, op_ok boolean, target_ok boolean")
+    assert {r.family: (r.states, r.op_right, r.all_right) for r in slices.family_states(states, right, "id", "family").collect()} == {"f": (2, 1, 0), "g": (1, 0, 0), None: (3, 1, 0)}
