@@ -101,8 +101,10 @@ def balanced_accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summarize(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """All metrics of each group; a metric over nothing is NULL. Plain means, balanced accuracy and ECE come from one aggregation."""
-    pairs = staged(pairs)
+    """All metrics of each group; a metric over nothing is NULL. Plain means, balanced accuracy and ECE come from one aggregation.
+
+    pairs are read three times: stage them first if they are costly.
+    """
     sums = {f"s_{m}": F.sum(m) for m in METRICS[1:]} | {"s_mae": F.sum("score_abs_err"), "n_mae": F.count("score_abs_err")}
     cells = staged(_cells(pairs, keys, 10, sums))
     mean = lambda s, n="a": F.try_divide(F.sum(s), F.sum(n))
@@ -122,7 +124,7 @@ def with_levels(pairs: DataFrame) -> DataFrame:
 
 
 def report(pairs: DataFrame) -> DataFrame:
-    return summarize(with_levels(pairs), ["run", "level", "name"])
+    return summarize(with_levels(staged(pairs)), ["run", "level", "name"])
 
 
 def grouping_report(pairs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def grouping_report(pairs: DataFrame) -> DataFrame:
 
 def macro(pairs: DataFrame) -> DataFrame:
     """Means over groups; a group without a metric doesn't count for it."""
-    by_group = summarize(pairs, ["run", "grp"])
+    by_group = summarize(staged(pairs), ["run", "grp"])
     return by_group.groupBy("run").agg(*(F.avg(m).alias(m) for m in ("accuracy", "balanced_accuracy", "nll", "brier", "ece", "kl", "tv")))
 
 
