@@ -34,10 +34,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; a component's name is its smallest node. Loops link nothing."""
     spark = links.sparkSession
     whole = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    edges, at = stage(whole, "edges")
-    while not _done(edges):
-        large, large_at = stage(_stars(edges, True), "edges")
-        edges, next_at = stage(_stars(large, False), "edges")
+    edges, at = stage(whole, "edges", most_rows=links.count())
+    while not _done(edges):  # a step makes no more edges than there were, and one for each node
+        n = 3 * edges.count()
+        large, large_at = stage(_stars(edges, True), "edges", most_rows=n)
+        edges, next_at = stage(_stars(large, False), "edges", most_rows=n)
         drop(spark, at, large_at)
         at = next_at
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

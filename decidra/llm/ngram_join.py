@@ -307,12 +307,12 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     near = shown.filter("doc_id <> x").filter(t.reachable(F.col("n"), F.col("head.n"), F.least("a", "head.a")))
     votes, votes_at = stage(near.groupBy("x", F.col("doc_id").alias("y")).agg(F.sum("times").alias("votes")), "votes")
     best = votes.groupBy("y").agg(F.max_by("x", F.struct("votes", -F.col("x"))).alias("x")).select("x", "y")
-    tried, tried_at = stage(best, "tried")
+    tried, tried_at = stage(best, "tried", most_rows=votes.count())
     first, first_at = stage(_verified(tried, sets, t), "links")
     # a document's name is the end of two steps up its verified pairs: equal names are one component, and most are enough
     up = first.select(F.col("y").alias("node"), F.col("x").alias("component"))
     above = up.select(F.col("node").alias("component"), F.col("component").alias("above"))
-    named, named_at = stage(up.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "names")
+    named, named_at = stage(up.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "names", most_rows=first.count())
     # what shares a bucket and is not known to be one component yet
     placed, placed_at = stage(
         sigs.drop("central").join(heads.select("sig", "m"), "sig").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed"
@@ -334,10 +334,10 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     apart = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     found, found_at = stage(apart.select("x", "y").distinct(), "near-pairs")
     known_pairs = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest, rest_at = stage(found.join(known_pairs, ["x", "y"], "left_anti"), "rest")
+    rest, rest_at = stage(found.join(known_pairs, ["x", "y"], "left_anti"), "rest", most_rows=found.count())
     second, second_at = stage(_verified(rest, sets, t), "links")
     links = first.unionByName(second)
-    final, final_at = stage(components(links, "x", "y"), "components")
+    final, final_at = stage(components(links, "x", "y"), "components", most_rows=2 * links.count())
     release(spark)
     degree = _degrees(sets, final, t) if count_links else final.select(F.col("node").alias("rep"), F.lit(None).cast("long").alias("n_links"))
     # representatives of all sets, then their components; a component's name is its smallest document
