@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -74,14 +75,16 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> DataFrame | None:
         """The live shards of a version; None before the first."""
         version = self.version() if version is None else version
-        if not version:
-            return None
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{self._committed(version)[0]}") if version else None
+
+    def _committed(self, version: int) -> tuple[str, int]:
+        """The name of a version's manifest and the number of its shards."""
         stream = self._fs.open(self._path("commits", f"{version:010d}"))
         try:
-            name = stream.readUTF()
+            name, shards = stream.readUTF().split()
         finally:
             stream.close()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}")
+        return name, int(shards)
 
     def runs(self, version: int | None = None) -> list[Run]:
         """The live runs of a version."""
@@ -91,20 +94,19 @@ class ShardStore:
         each = shards.groupBy("run").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), F.max("tier").alias("tier"))
         return [Run(*r) for r in each.orderBy("run").collect()]
 
-    def commit(self, based_on: int, new: list[Shard], gone: list[str] = ()) -> int:
+    def commit(self, based_on: int, new: list[Shard], gone: Sequence[Run] = ()) -> int:
         """Makes version based_on + 1: its predecessor's shards without the runs `gone`, and the new ones. The rename is the one atomic step."""
-        name = uuid.uuid4().hex
+        name, n = uuid.uuid4().hex, len(new)
         shards, before = self.spark.createDataFrame(new, MANIFEST), self.manifest(based_on)
-        files = 1
         if before is not None:
-            files += before.count() // MANIFEST_ROWS
-            kept = before.join(F.broadcast(self.spark.createDataFrame([(r,) for r in gone], "run string")), "run", "left_anti") if gone else before
+            n += self._committed(based_on)[1] - sum(r.shards for r in gone)
+            kept = before.join(F.broadcast(self.spark.createDataFrame([(r.run,) for r in gone], "run string")), "run", "left_anti") if gone else before
             shards = kept.select(*MANIFEST.names).unionByName(shards)
-        shards.coalesce(files).write.parquet(f"{self.path}/manifests/{name}")
+        shards.coalesce(1 + n // MANIFEST_ROWS).write.parquet(f"{self.path}/manifests/{name}")
         aside = self._path("aside", name)
         self._fs.mkdirs(self._path("commits"))
         stream = self._fs.create(aside, False)
-        stream.writeUTF(name)
+        stream.writeUTF(f"{name} {n}")
         stream.close()
         if not self._claimed(aside, based_on + 1):
             self._fs.delete(aside, False)
@@ -164,7 +166,7 @@ class ShardStore:
             full = next((runs for _, runs in sorted(tiers.items()) if len(runs) >= self.fanout), None)
             if full is None:
                 return based_on
-            self.commit(based_on, self._merge(full), [r.run for r in full])
+            self.commit(based_on, self._merge(full), full)
 
     def vacuum(self, keep: int = 1, grace_s: float = GRACE_S) -> int:
         """Deletes runs that none of the last `keep` versions lists, whether an older one does or no commit ever did; gives their number.
