@@ -357,3 +357,24 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert got == {r[0] for r in rows} - toxic - {1, 2, 2000}
+
+
+def test_without_broadcasts(spark, docs, monkeypatch):
+    """What is shuffled and salted beyond the bounds gives the same rows as what is broadcast below them."""
+    from decidra.llm import _common
+
+    page = lambda i: (i, f"http://h{i % 2}.example/{i}", f"<p>menu</p><p>own {i}</p>{'<p>rare</p>' if i < 3 else ''}")
+    pages = spark.createDataFrame([page(i) for i in range(40)] + [(50, None, None)], "page_id long, url string, html string")
+    runs = {
+        "lines": lambda: line_dedup.drop_boilerplate(pages, 0.2, 3), "exact": lambda: exact_dedup.exact_groups(docs)[0], "mix": lambda: mixing.mix_schedule(docs, target_entropy=0.5, max_repeat=2.0),
+        "near": lambda: ngram_join.near_duplicates(docs),
+    }
+    rows = lambda: {name: sorted(map(str, run().collect())) for name, run in runs.items()}
+    before = rows()
+    for module in (_common, exact_dedup, mixing):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "ARRAY_SOURCES", 0)
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(_common, "FILE_ROWS", 3)
+    after = rows()
+    assert after == before and any("n_dropped=2" in r or "n_dropped=1" in r for r in after["lines"])
