@@ -138,16 +138,15 @@ class ShardStore:
         return [Shard(f"{run}/{name}", run, n, self.tier(whole)) for name, n in files]
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> int:
-        """Adds rows as one run and commits it; with `arrival`, one run and one version for each value of that column, in their order."""
+        """Adds rows as one run, or with `arrival` as one for each value of that column, and commits them as one version: all or none."""
         based_on, run = self.version(), f"run-{uuid.uuid4().hex}"
         if arrival is None:
             rows.write.parquet(f"{self.path}/{run}")
             return self.commit(based_on, self._shards(run))
         part = free_name("part", rows)  # a copy, as the column that files are dealt by isn't in them
         rows.withColumn(part, F.col(arrival)).write.partitionBy(part).parquet(f"{self.path}/{run}")
-        for folder in sorted(s.getPath().getName() for s in self._listed(run) if s.isDirectory()):
-            based_on = self.commit(based_on, self._shards(f"{run}/{folder}"))
-        return based_on
+        folders = sorted(s.getPath().getName() for s in self._listed(run) if s.isDirectory())
+        return self.commit(based_on, [shard for f in folders for shard in self._shards(f"{run}/{f}")])
 
     def _merge(self, runs: list[Run]) -> list[Shard]:
         run = f"run-{uuid.uuid4().hex}"
