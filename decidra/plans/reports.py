@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decidra.operators import decisions as D
-from decidra.operators import fixtures, public_tasks, slices, traces
+from decidra.operators import builders, fixtures, public_tasks, replay, slices, traces
 from decidra.plans.decisions import V_ANSWERS, decided
 from decidra.plans.registry import query, table
 from decidra.plans.scoring import rounded
 from decidra.plans.views import with_views
 from decidra.sources import io
+from decidra.streaming import routing
 
 GOLD = "CASE event_type WHEN 'click' THEN 'CLICK' WHEN 'view' THEN 'OPEN' WHEN 'signup' THEN 'TYPE_TEXT' WHEN 'purchase' THEN 'DONE' ELSE 'ASK' END"
 
@@ -94,3 +95,48 @@ def train_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report's limit: the first 20 items in order."""
     return io.first_rows(table(spark, sf_dir, "benchmark"), ["item_id"], 20).select("item_id", F.length("text").alias("n"))
+
+
+@query("family_states", """SELECT event_type, count(*) AS states, count_if(event_id % 7 <> 0 AND event_id % 3 <> 0) AS op_right, count_if(event_id % 7 <> 0 AND event_id % 3 <> 0 AND event_id % 2 = 0) AS all_right
+  FROM events GROUP BY ROLLUP (event_type)""")
+def family_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    items = table(spark, sf_dir, "events").select("event_id", "event_type")
+    answered = items.filter(e % 7 != 0).select("event_id", (e % 3 != 0).alias("op_ok"), (e % 2 == 0).alias("target_ok"))
+    return slices.family_states(items, answered, "event_id", "event_type")
+
+
+@query("replay_modes", """SELECT mode, count(*) AS steps, count_if(mode = 'cold' OR position = 1) AS fresh
+  FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position FROM events), (SELECT unnest(['cold', 'warm']) AS mode) GROUP BY mode""")
+def replay_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = replay.order_for_replay(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", ["event_id"], "event_id")
+    return replay.with_modes(ordered).groupBy("mode").agg(F.count("*").alias("steps"), F.count_if("fresh").alias("fresh"))
+
+
+@query("fixture_tags", """SELECT event_id, 'gym' AS "set", s AS session, CASE WHEN ('0x' || sha256('replay-v1:' || s)[1:8])::BIGINT / 4294967295.0::DOUBLE < 0.3 THEN 'holdout' ELSE 'dev' END AS split, event_type AS categories
+  FROM (SELECT event_id, event_type, CASE WHEN event_id % 9 = 0 THEN 'given/' || user_id ELSE 'gym/' || user_id END AS s FROM events)""")
+def fixture_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("id", F.concat_ws("/", F.lit("gym"), "user_id", "event_id"))
+    given = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("given/"), "user_id"))
+    return replay.tagged(rows, "gym", "id", F.array("event_type"), given).select("event_id", "set", "session", "split", F.array_join("categories", ",").alias("categories"))
+
+
+@query("repeat_with_rest", "SELECT count(*) * 2 + count(*) // 3 AS n, count(*) AS items, 3::BIGINT AS most FROM benchmark")
+def repeat_with_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id")
+    n = rows.count()
+    each = builders.repeat_to(rows, 2 * n + n // 3, "item_id", "rest").groupBy("item_id").agg(F.count("*").alias("k"))
+    return each.agg(F.sum("k").alias("n"), F.count("*").alias("items"), F.max("k").alias("most"))
+
+
+@query("echoed_answers", """SELECT conv_id, turn, first_value(conv_id * 1000 + turn) OVER w AS answer, row_number() OVER w > 1 AS hit FROM conversations WINDOW w AS (PARTITION BY role, turn % 5 ORDER BY conv_id * 1000 + turn)""")
+def echoed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("conv_id") * 1000 + F.col("turn")).alias("ord")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", at, at.alias("answer"), F.concat_ws("|", "role", F.col("turn") % 5).alias("key"))
+    return routing.echoed(rows, "key", "ord", "answer").select("conv_id", "turn", "answer", "hit")
+
+
+@query("joined_sources", "SELECT 'benchmark' AS source_name, 0 AS source_ord, count(*) AS n, min(item_id) AS first FROM benchmark UNION ALL SELECT 'documents', 1, count(*), min(doc_id) FROM documents")
+def joined_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = {"benchmark": table(spark, sf_dir, "benchmark").withColumn("at", F.col("item_id")), "documents": table(spark, sf_dir, "documents").withColumn("at", F.col("doc_id"))}
+    return io.concatenated(parts, "at").groupBy("source_name", "source_ord").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
