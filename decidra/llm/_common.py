@@ -157,6 +157,32 @@ def free_name(name: str, *tables: DataFrame) -> str:
     return f"_{name}"
 
 
+def numbered_rows(documents: DataFrame, above: bool, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """documents with an id of its own for each row, and that column's name, which they don't have yet.
+
+    A row's id is its doc_id. Rows without one, and all but one of those that repeat one, get ids above (else below) all others.
+    Those rows are staged under running numbers, and the first of each id is found by a partial minimum, so an id that a third of
+    all rows have is no single task.
+    """
+    name, nth, odd_id, first = (free_name(x, documents) for x in ("row_id", "nth", "odd_id", "first"))
+    known = F.col(id_col).cast("long")
+    odd, odd_at = stage(documents.groupBy(known.alias(odd_id)).agg(F.count("*").alias(nth)).filter(F.col(odd_id).isNull() | (F.col(nth) > 1)).select(odd_id), "odd-ids")
+    n = odd.count()
+    if not n:
+        drop(documents.sparkSession, odd_at)
+        return documents.withColumn(name, known), name
+    least, most = documents.agg(F.coalesce(F.min(known), F.lit(0)), F.coalesce(F.max(known), F.lit(0))).collect()[0]
+    odd = F.broadcast(odd) if n <= BROADCAST_ROWS else odd
+    repeated = documents.join(odd, known == F.col(odd_id), "left_semi").unionByName(documents.filter(known.isNull()))
+    rows, _ = stage(repeated.withColumn(nth, F.monotonically_increasing_id()), "odd-rows")
+    firsts, _ = stage(rows.filter(known.isNotNull()).groupBy(known.alias(odd_id)).agg(F.min(nth).alias(first)), "first-rows")
+    joined = rows.join(F.broadcast(firsts) if n <= BROADCAST_ROWS else firsts, known == F.col(odd_id), "left")
+    given = F.when(F.col(nth) == F.col(first), known).otherwise(most + 1 + F.col(nth) if above else least - 1 - F.col(nth))
+    named = joined.withColumn(name, given).select(*documents.columns, name)
+    plain = documents.filter(known.isNotNull()).join(odd, known == F.col(odd_id), "left_anti").withColumn(name, known)
+    return plain.unionByName(named), name
+
+
 def with_row_ids(documents: DataFrame, above: bool) -> DataFrame:
     """documents with row_id, another for each row: its doc_id, or one above (else below) all ids.
 
