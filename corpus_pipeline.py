@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.llm._common import ship, stage, with_row_ids, without
+from decidra.llm._common import numbered_rows, ship, stage, without
 from decidra.llm.exact_dedup import exact_groups
 from decidra.llm.mixing import mix_documents
 from decidra.llm.ngram_join import near_duplicates
@@ -32,19 +32,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row stays: the document with the largest doc_id; null and repeated ids come last."""
     ship(spark)
-    rows = with_row_ids(docs, above=False)
-    groups, _ = exact_groups(rows, id_col="row_id")
-    gone = groups.filter("NOT kept").select(F.col("doc_id").alias("row_id"))
-    return without(rows, gone, "exact-copies", "row_id").select(*docs.columns)
+    rows, row_id = numbered_rows(docs, above=False)
+    groups, _ = exact_groups(rows, id_col=row_id)
+    gone = groups.filter("NOT kept").select(F.col("doc_id").alias(row_id))
+    return without(rows, gone, "exact-copies", row_id).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near copies, one row stays: the document with the smallest doc_id; null and repeated ids come last."""
     ship(spark)
-    rows = with_row_ids(docs, above=True)
-    joined = near_duplicates(rows, NEAR_WORDS, NEAR_NUM, NEAR_DEN, id_col="row_id", count_links=False)
-    gone = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("row_id"))
-    return without(rows, gone, "near-copies", "row_id").select(*docs.columns)
+    rows, row_id = numbered_rows(docs, above=True)
+    joined = near_duplicates(rows, NEAR_WORDS, NEAR_NUM, NEAR_DEN, id_col=row_id, count_links=False)
+    gone = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias(row_id))
+    return without(rows, gone, "near-copies", row_id).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
