@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 U64 = np.uint64
 BATCH_BYTES = 4 << 20
@@ -183,26 +182,6 @@ def numbered_rows(documents: DataFrame, above: bool, id_col: str = "doc_id") ->
     return plain.unionByName(named), name
 
 
-def with_row_ids(documents: DataFrame, above: bool) -> DataFrame:
-    """documents with row_id, another for each row: its doc_id, or one above (else below) all ids.
-
-    Rows without id and all but one of those that repeat an id have such ids; they are staged, so that these stay the same.
-    """
-    known = F.col("doc_id").cast("long")
-    odd, _ = stage(documents.groupBy(known.alias("odd_id")).agg(F.count("*").alias("n")).filter("odd_id IS NULL OR n > 1").select("odd_id"), "odd-ids")
-    n = odd.count()
-    if not n:
-        return documents.withColumn("row_id", known)
-    least, most = documents.agg(F.coalesce(F.min(known), F.lit(0)), F.coalesce(F.max(known), F.lit(0))).collect()[0]
-    odd = F.broadcast(odd) if n <= BROADCAST_ROWS else odd
-    repeated = documents.join(odd, known == F.col("odd_id"), "left_semi").withColumn("row_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    rest = repeated.unionByName(documents.filter(known.isNull()).withColumn("row_nth", F.lit(2)))
-    count = F.monotonically_increasing_id()
-    named, _ = stage(rest.withColumn("row_id", F.when(F.col("row_nth") == 1, known).otherwise(most + 1 + count if above else least - 1 - count)).drop("row_nth"), "odd-rows")
-    plain = documents.filter(known.isNotNull()).join(odd, known == F.col("odd_id"), "left_anti").withColumn("row_id", known)
-    return plain.unionByName(named)
-
-
 def release(spark: SparkSession) -> None:
     """Lets the context cleaner drop the shuffle files of plans that nothing holds any more."""
     gc.collect()

@@ -20,13 +20,13 @@ TEXTS = [
     (1, BASE), (2, BASE.upper()), (3, BASE.replace("lazy", "sleepy")), (4, None), (5, ""), (6, "   \n"), (7, "one two"), (8, "ONE  two"), (9, "Ö two"), (10, "word " * 40_000),
     (11, "cc by. All rights reserved"), (12, "Licensed under the Apache License, Version 2.0."), (13, BASE + " x y z"), (1, BASE), (14, "ö two"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, batch int, token long, sig long, block int, copy int, _mix_source string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, batch int, token long, sig long, block int, copy int, _mix_source string, row_id long, _row_id long, odd_id long"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     ship(spark)
-    rows = [(i, t, None, "s" if i % 2 else None, None, "d", 1, 2, 3, 4, 5, "m") for i, t in TEXTS]
+    rows = [(i, t, None, "s" if i % 2 else None, None, "d", 1, 2, 3, 4, 5, "m", 6, 7, 8) for i, t in TEXTS]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -322,7 +322,7 @@ def test_pipeline_stages_on_odd_rows(spark, docs, none, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([(i, i % 2) for i in range(1, 15)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    odd = docs.unionByName(spark.createDataFrame([(None,) * 12, (None, BASE, None, None, None, None, None, None, None, None, None, None), (20, "scum", *(None,) * 10)], docs.schema))
+    odd = docs.unionByName(spark.createDataFrame([(None,) * 15, (None, BASE, *(None,) * 13), (20, "scum", *(None,) * 13)], docs.schema))
     rows = collections.Counter(map(tuple, odd.collect()))
     for name, step in corpus_pipeline.STAGES[:-1]:
         got = step(spark, odd, str(tmp_path))
