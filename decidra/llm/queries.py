@@ -78,6 +78,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decidra.llm.conversation_repair import damaged, repair_facts
+
+    return repair_facts(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decidra.llm.hard_negatives import hard_negatives
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
@@ -153,6 +160,57 @@ WITH p AS (
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(kept, '') AS clean_text FROM p LEFT JOIN k USING (r)
 """
 
+#: States: 0 nothing written, 1 system, 2 user, 3 assistant. best: the least cost, and of those the least string, up to a row and into a state.
+OP12_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295::BIGINT, list_reduce(range(8 * len(k))::BIGINT[], lambda c, i: xor(c >> 1, 3988292384 * (xor(c, ascii(substr(k, (i // 8 + 1)::INT, 1)) >> (i % 8)) & 1)), 4294967295::BIGINT)) % 20 AS h
+  FROM c
+), r AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE h <> 0
+), n AS (
+  SELECT *, row_number() OVER w AS pos, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER w AS before, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), f AS (SELECT *, blank OR again AS must, (cut AND NOT blank AND NOT again)::INT AS short FROM n
+), moves(state, initial, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), inserts(state, made, price, nxt) AS (VALUES (0, '', 0, 0), (0, 'I', 2, 2), (0, 'II', 4, 3), (1, '', 0, 1), (1, 'I', 2, 2), (1, 'II', 4, 3), (2, '', 0, 2), (2, 'I', 2, 3), (3, '', 0, 3), (3, 'I', 2, 2)
+), forced(state, nxt) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)
+), edges AS (
+  SELECT i.state, i.made || 'D' AS made, i.price + 3 AS price, NULL::VARCHAR AS initial, 'D' AS kind, i.nxt FROM inserts i
+  UNION ALL SELECT i.state, i.made || 'R', i.price + 2, NULL::VARCHAR, 'R', forced.nxt FROM inserts i JOIN forced ON forced.state = i.nxt
+  UNION ALL SELECT i.state, i.made || 'K', i.price, m.initial, 'K', m.nxt FROM inserts i JOIN moves m ON m.state = i.nxt
+), best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, {'cost': 0::BIGINT, 'audit': ''} AS found FROM conversations
+  UNION ALL
+  SELECT b.conv_id, f.pos, e.nxt, min({'cost': b.found.cost + e.price + CASE WHEN e.kind = 'D' THEN 0 ELSE f.short END, 'audit': b.found.audit || e.made})
+  FROM best b JOIN f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = b.pos + 1 JOIN edges e ON e.state = b.state AND (e.kind = 'D' OR NOT f.must) AND (e.initial IS NULL OR e.initial = f.initial)
+  GROUP BY b.conv_id, f.pos, e.nxt
+), total AS (SELECT conv_id, count(*) AS n FROM f GROUP BY conv_id
+), chosen AS (
+  SELECT b.conv_id, min({'cost': b.found.cost + i.price, 'audit': b.found.audit || i.made}) AS found
+  FROM best b LEFT JOIN total t ON t.conv_id IS NOT DISTINCT FROM b.conv_id JOIN inserts i ON i.state = b.state AND i.nxt IN (0, 3) WHERE b.pos = coalesce(t.n, 0) GROUP BY b.conv_id
+), steps AS (
+  SELECT conv_id, found.audit AS audit, unnest(range(1, len(found.audit) + 1)) AS step FROM chosen
+), placed AS (
+  SELECT conv_id, step, audit[step] AS edit, len(replace(audit[:step], 'I', '')) AS pos, len(replace(audit[:step], 'D', '')) AS place FROM steps
+), lines AS (
+  SELECT p.*, f.role, f.text, max(p.edit = 'K' AND f.initial = 's') OVER (PARTITION BY p.conv_id) AS has_system FROM placed p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos AND p.edit <> 'I'
+), texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - coalesce(has_system, FALSE)::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY step) AS whole
+  FROM lines WHERE edit <> 'D' GROUP BY conv_id
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND again) AS duplicate,
+    sum(short)::BIGINT AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  found.cost::BIGINT AS cost, found.audit AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM chosen c LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 OP13_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
@@ -168,4 +226,4 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 *
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
-SQL: dict[str, str] = {"op3_temperature_mixing": OP3_SQL, "op4_site_line_dedup": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op13_hard_negatives": OP13_SQL}
+SQL: dict[str, str] = {"op3_temperature_mixing": OP3_SQL, "op4_site_line_dedup": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL}
