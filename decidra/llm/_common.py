@@ -131,21 +131,60 @@ def without(documents: DataFrame, ids: DataFrame, name: str, key: str = "doc_id"
     return documents.join(F.broadcast(staged) if few else staged, key, "left_anti").select(*documents.columns)
 
 
-SALTS = 32
+BLOCKS_BYTES = 64 << 20  # of blocks that are broadcast
+SLICE_ROWS = 65_536
 
 
-def join_by_key(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined to `small`, a staged table with one row for each key.
+def meet_blocks(rows: DataFrame, blocks: DataFrame, by: str, spread: str, n_rows: int) -> DataFrame:
+    """Staged blocks of rows, each with every one of the stated `blocks` (staged, numbered in g) that has the same `by`.
 
-    Up to BROADCAST_ROWS of its rows, counted, are broadcast. More are joined by shuffling, with every key dealt over SALTS parts,
-    so that a key with a third of all rows isn't one task.
+    Both are bounded blocks, so this is the stated queries against all rows, and a task sees one of `blocks` after the other. Rows are
+    dealt in slices by a hash of `spread`. Up to BLOCKS_BYTES of `blocks`, counted, are broadcast; more are shuffled, once
+    for each slice. Only their numbers are listed.
     """
+    spark = rows.sparkSession
+    content = sum(F.length(f.name) for f in blocks.schema if f.dataType.simpleString() == "binary")
+    n, size = blocks.agg(F.count("*"), F.coalesce(F.sum(content), F.lit(0))).collect()[0]
+    slices = max(spark.sparkContext.defaultParallelism, -(-n_rows // SLICE_ROWS))
+    groups = F.broadcast(blocks.groupBy(by).agg(F.sort_array(F.collect_list("g")).alias("groups")))
+    dealt = rows.join(groups, by).withColumn("slice", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int")).withColumn("g", F.explode("groups")).drop("groups")
+    own = blocks.drop(by)
+    if size <= BLOCKS_BYTES:
+        return dealt.repartition(min(slices * max(1, n), 100_000), "g", "slice").sortWithinPartitions("g").join(F.broadcast(own), "g")
+    return dealt.join(own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["g", "slice"])
+
+
+HEAVY_ROWS = 20_000
+NULL_PARTS = 64
+
+
+def join_dealt(rows: DataFrame, small: DataFrame, key: str, spread: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """rows joined by shuffling to `small`, which has one row for each key; keys of many rows are dealt over several tasks.
+
+    The rows of each key are counted in `counted` (`rows` if not given), which should be cheap to read. A key of more than HEAVY_ROWS rows is dealt in
+    as many parts as it has times as many, by a hash of the columns `spread`, and its row of `small` goes to each of them. Only such keys are
+    broadcast, with their numbers of parts; rows / HEAVY_ROWS bounds them. Rows without a key are dealt too. Nothing is drawn, so a
+    lost task is repeated alike.
+    """
+    parts, salt = free_name("parts", rows, small), free_name("salt", rows, small)
+    sizes = (rows if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / HEAVY_ROWS).cast("int").alias(parts)).filter(F.col(parts) > 1)
+    heavy, _ = stage(sizes.filter(F.col(key).isNotNull()), "heavy-keys")
+    n = heavy.count()
+    own = F.when(F.col(key).isNull(), NULL_PARTS)
+    if not n or n > BROADCAST_ROWS:
+        own, dealt, copies = F.coalesce(own, F.lit(1)), rows, small.withColumn(salt, F.lit(0))
+    else:
+        own, dealt = F.coalesce(own, F.col(parts), F.lit(1)), rows.join(F.broadcast(heavy), key, "left")
+        copies = small.join(F.broadcast(heavy), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    dealt = dealt.withColumn(salt, F.pmod(F.xxhash64(*spread), own).cast("int")).drop(parts)
+    return dealt.join(copies, [key, salt], how).drop(salt)
+
+
+def join_by_key(rows: DataFrame, small: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to `small`, a staged table with one row for each key: broadcast up to BROADCAST_ROWS of its rows, counted, and else by join_dealt."""
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), key, how)
-    salt = free_name("salt", rows, small)
-    dealt = rows.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
-    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [key, salt], how).drop(salt)
+    return join_dealt(rows, small, key, spread, how)
 
 
 def free_name(name: str, *tables: DataFrame) -> str:

@@ -1,7 +1,9 @@
 """Word shingles of whole texts as unsigned 64-bit hashes, by vector operations over an Arrow batch's bytes.
 
-Texts are lower-cased in A-Z only and cut at the bytes 0x20 and 0x09 to 0x0D. A word's hash is a polynomial in its bytes
-modulo 2**64, scrambled; a shingle's is a weighted sum of its words' hashes, scrambled.
+Texts are lower-cased in A-Z only and cut at the bytes 0x20 and 0x09 to 0x0D. A word's hash is of two polynomials in its bytes,
+modulo two primes near 2**31 (modulo a power of two, words that alternate by a rule can share a value whatever the base), and
+scrambled; two words of n bytes share both with a chance of (n / 2**31)**2 at most over the bases. A shingle's is a
+weighted sum of its words' hashes, scrambled.
 """
 
 from __future__ import annotations
@@ -16,21 +18,18 @@ from decidra.llm._common import U64, mix64
 _CHUNK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
+_PRIMES, _BASES = (2**31 - 1, 2**31 - 19), (1_103_515_249, 1_664_525_003)
+_NO_WRAP = 1 << 22  # bytes whose terms' sum stays below 2**63 without reducing each
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _letters() -> np.ndarray:
-    table = mix64(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    table[65:91] = table[97:123]
-    return table
-
-
-_LETTER = _letters()
+_LETTER = np.arange(1, 257, dtype=U64)
+_LETTER[65:91] = _LETTER[97:123]
 _POWERS = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+_PRIME_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(kind: str, n: int) -> np.ndarray:
+    """Powers of an odd number, or of its inverse, modulo 2**64."""
     if len(_POWERS[kind]) < n:
         base = np.full(max(n, _CHUNK + 1), _P if kind == "up" else _P_INVERSE, U64)
         base[0] = 1
@@ -38,6 +37,17 @@ def powers(kind: str, n: int) -> np.ndarray:
     return _POWERS[kind][:n]
 
 
+def prime_powers(which: int, inverse: bool, n: int) -> np.ndarray:
+    """Powers of a base, or of its inverse, modulo a prime."""
+    held = _PRIME_POWERS.get((which, inverse), np.ones(1, U64))
+    prime = _PRIMES[which]
+    base = pow(_BASES[which], -1, prime) if inverse else _BASES[which]
+    while len(held) < n:
+        held = np.concatenate([held, held * U64(pow(base, len(held), prime)) % U64(prime)])
+    _PRIME_POWERS[which, inverse] = held
+    return held[:n]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of a string column; null is empty."""
     if column.null_count:
@@ -61,9 +71,14 @@ def _words(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begins[1:] &= ~solid[:-1] | edge[1:n]
     ends[:-1] &= ~solid[1:] | edge[1:n]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_LETTER[text] * powers("down", n), out=sums[1:])
-    hashes = mix64((sums[stops] - sums[starts]) * powers("up", n)[starts] + (stops - starts).astype(U64))
+    letters, sums, halves = _LETTER[text], np.zeros(n + 1, U64), []
+    for which, prime in enumerate(_PRIMES):
+        terms = letters * prime_powers(which, False, n)
+        if n > _NO_WRAP:
+            terms %= U64(prime)
+        np.cumsum(terms, out=sums[1:])
+        halves.append((sums[stops] - sums[starts]) % U64(prime) * prime_powers(which, True, n)[starts] % U64(prime))
+    hashes = mix64(mix64((halves[0] << U64(32)) | halves[1]) + (stops - starts).astype(U64))
     return hashes, np.searchsorted(starts, bounds)
 
 

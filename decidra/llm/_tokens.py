@@ -2,13 +2,14 @@
 
 Byte-pair merges never cross the places where a tokenizer's pattern cuts a text. The two kinds of pattern known here are
 followed by vector operations over a column's bytes, so a text becomes pieces without a loop over its words. A piece is
-looked up by a 64-bit hash in a table of ids; only pieces that the process has not met go through the library's model.
+looked up by a 64-bit hash in a table of ids, and its bytes are compared with those found there; only pieces that the
+process has not met, or whose hash another piece has, go through the library's model.
 
 The pattern is followed for printable ASCII, ASCII white space and Latin letters, where it and the normaliser are plain. A
 word with any other character is one piece, which the whole tokenizer encodes, and a text that could hold a special
 token's string, or has white space beyond ASCII, is one piece as a whole. Tokenizers of other kinds encode whole texts.
 
-The table is bounded in pieces and ids, and is started afresh when full, so a worker's memory is bounded too.
+The table is bounded in pieces, bytes and ids, and is started afresh when full, so a worker's memory is bounded too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from decidra.llm._shingles import powers, text_buffers
 
 CHUNK = 1 << 18  # bytes of text at a time
 SLOT_BITS = 21
-MOST_PIECES, MOST_IDS = 1_200_000, 6_000_000
+MOST_PIECES, MOST_IDS, MOST_BYTES = 1_200_000, 6_000_000, 16_000_000
 LETTER, DIGIT, SIGN, ODD, BLANK, SPACE = 1, 2, 3, 4, 5, 6  # classes of bytes; BLANK is the space itself
 #: White space beyond ASCII.
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -96,7 +97,7 @@ def _contractions(text: np.ndarray, kinds: np.ndarray, starts: np.ndarray, ends:
 
 
 class _Ids:
-    """hash of a piece -> its ids: an open-addressed table over a pool of ids."""
+    """hash of a piece -> its ids: an open-addressed table of rows over pools of ids and of the pieces' bytes."""
 
     def __init__(self, wide: bool):
         self.wide = wide
@@ -104,9 +105,12 @@ class _Ids:
 
     def clear(self) -> None:
         self.keys, self.rows = np.zeros(1 << SLOT_BITS, U64), np.zeros(1 << SLOT_BITS, np.int32)
-        self.start, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
-        self.pool = np.zeros(1 << 14, np.uint32 if self.wide else np.uint16)
-        self.n = self.used = 0
+        self.start, self.length, self.byte_start, self.byte_length = (np.zeros(1 << 12, np.int32) for _ in range(4))
+        self.pool, self.bytes = np.zeros(1 << 14, np.uint32 if self.wide else np.uint16), np.zeros(1 << 14, np.uint8)
+        self.n = self.used = self.held = 0
+
+    def full(self, more: int) -> bool:
+        return self.n + more > MOST_PIECES or self.used > MOST_IDS or self.held > MOST_BYTES
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each hash, or -1."""
@@ -122,20 +126,40 @@ class _Ids:
             left = left[~hit & (keys != 0)]
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def others(self, rows: np.ndarray, text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces of text whose bytes aren't those of their row."""
+        lengths = stops - starts
+        wrong = self.byte_length[rows] != lengths
+        lengths = np.where(wrong, 0, lengths)
+        before = np.cumsum(lengths) - lengths
+        step = np.arange(int(lengths.sum()))
+        differ = text[np.repeat(starts - before, lengths) + step] != self.bytes[np.repeat(self.byte_start[rows] - before, lengths) + step]
+        if differ.any():
+            wrong[np.searchsorted(before + lengths, np.flatnonzero(differ), "right")] = True
+        return np.flatnonzero(wrong)
+
+    def append(self, ids: list[list[int]], pieces: list[bytes]) -> np.ndarray:
+        """New rows, which no hash leads to."""
+        n = self.n + len(ids)
+        for start, length, pool, used, flat, sizes in (
+            ("start", "length", "pool", "used", np.array([i for x in ids for i in x], self.pool.dtype), [len(x) for x in ids]),
+            ("byte_start", "byte_length", "bytes", "held", np.frombuffer(b"".join(pieces), np.uint8), [len(x) for x in pieces]),
+        ):
+            before, lengths = getattr(self, used), np.array(sizes, np.int32)
+            for name, wanted in ((start, n), (length, n), (pool, before + len(flat))):
+                held = getattr(self, name)
+                if wanted > len(held):
+                    setattr(self, name, np.concatenate([held, np.zeros(max(wanted, len(held) * 3 // 2) - len(held), held.dtype)]))
+            getattr(self, start)[self.n : n] = before + np.cumsum(lengths) - lengths
+            getattr(self, length)[self.n : n] = lengths
+            getattr(self, pool)[before : before + len(flat)] = flat
+            setattr(self, used, before + len(flat))
+        self.n = n
+        return np.arange(n - len(ids), n, dtype=np.int32)
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]], pieces: list[bytes]) -> None:
         """Adds distinct new hashes."""
-        lengths = np.array([len(x) for x in ids], np.int32)
-        flat = np.array([i for x in ids for i in x], self.pool.dtype)
-        n, used = self.n + len(hashes), self.used + len(flat)
-        for name, wanted in (("start", n), ("length", n), ("pool", used)):
-            held = getattr(self, name)
-            if wanted > len(held):
-                setattr(self, name, np.concatenate([held, np.zeros(max(wanted, len(held) * 3 // 2) - len(held), held.dtype)]))
-        self.start[self.n : n] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.n : n] = lengths
-        self.pool[self.used : used] = flat
-        rows, slot = np.arange(self.n, n, dtype=np.int32), (hashes >> U64(64 - SLOT_BITS)).astype(np.int64)
-        self.n, self.used = n, used
+        rows, slot = self.append(ids, pieces), (hashes >> U64(64 - SLOT_BITS)).astype(np.int64)
         while len(hashes):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = hashes[free]  # of several for one slot, one stays
@@ -209,6 +233,12 @@ class ColumnEncoder:
             return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _encoded(self, places: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, whole: np.ndarray, raw: bytes) -> tuple[list[list[int]], list[bytes]]:
+        """(ids, bytes) of the pieces with these numbers."""
+        entire = whole[np.searchsorted(first, starts[places], "right") - 1].tolist()
+        pieces = [raw[a:b] for a, b in zip(starts[places].tolist(), stops[places].tolist(), strict=True)]
+        return [self._encode(piece, w) for piece, w in zip(pieces, entire, strict=True)], pieces
+
     def _chunk(self, text: np.ndarray, first: np.ndarray, raw: bytes, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's end among them) of texts of a byte at least."""
         n = len(text)
@@ -234,14 +264,14 @@ class ColumnEncoder:
         new = np.flatnonzero(rows < 0)
         if len(new):
             fresh, at = np.unique(hashes[new], return_index=True)
-            if self.ids.n + len(fresh) > MOST_PIECES or self.ids.used > MOST_IDS:
+            if self.ids.full(len(fresh)):
                 self.ids.clear()
                 new = np.arange(len(hashes))
                 fresh, at = np.unique(hashes, return_index=True)
-            places = new[at]
-            entire = whole[np.searchsorted(first, starts[places], "right") - 1].tolist()
-            self.ids.add(fresh, [self._encode(raw[a:b], w) for a, b, w in zip(starts[places].tolist(), stops[places].tolist(), entire, strict=True)])
+            self.ids.add(fresh, *self._encoded(new[at], starts, stops, first, whole, raw))
             rows[new] = self.ids.find(hashes[new])
+        if len(other := self.ids.others(rows, text, starts, stops)):
+            rows[other] = self.ids.append(*self._encoded(other, starts, stops, first, whole, raw))
         lengths, begin = self.ids.length[rows], self.ids.start[rows]
         upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         ids = self.ids.pool[np.repeat(begin - upto[:-1], lengths) + np.arange(upto[-1])]

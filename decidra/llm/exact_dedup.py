@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import BROADCAST_ROWS, U64, byte_texts, drop, lean, mix64, stage
+from decidra.llm._common import BROADCAST_ROWS, U64, byte_texts, drop, join_by_key, lean, mix64, stage
 
 BUCKET_DIGESTS = 60_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -186,9 +186,13 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         snapshot, snapshot_at = stage(merged, "snapshot")
         spent += [same_at, snapshot_at]
     decided = links.join(snapshot, ["digest", "variant"]).select("batch", "digest", "keep_id", "group_size")
-    table, table_at = stage(decided, "decided")
+    # most texts are alone: only groups of several rows are looked up, a common text's rows in several tasks
+    of = F.struct("batch", "digest")
+    table, table_at = stage(decided.filter("group_size > 1").select(of.alias("of"), F.col("keep_id").alias("kept_id"), F.col("group_size").alias("rows")), "decided")
     drop(spark, *spent)
-    out = rows.join(table, ["batch", "digest"]).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    joined = join_by_key(rows.withColumn("of", of), table, "of", ["doc_id"], "left")
+    alone = F.col("rows").isNull()
+    keep, size = F.when(alone, F.col("doc_id")).otherwise(F.col("kept_id")), F.coalesce("rows", F.lit(1)).cast("long")
+    named = joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = named.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
     return out, [rows_at, table_at]

@@ -10,8 +10,8 @@ at most BLOCK_BYTES, anchors too, and each block of anchors meets each block of
 
 A row that isn't among a block's first few is not among the first few of all rows, so the result is exact. A task keeps one block of
 anchors with its best so far, whatever the number of rows. Blocks are dealt by a hash of their ids in slices; labels deal
-nothing, so a label with a third of all rows is no single task. Blocks of anchors up to BROADCAST_BYTES, counted first, are broadcast;
-more are joined by shuffling, once for each slice.
+nothing, so a label with a third of all rows is no single task. Few blocks of anchors, counted first, are broadcast; more are
+joined by shuffling, once for each slice.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite component, take no part; vectors meet those of the
 same length only (empty ones score 0); of rows that repeat an id, the one with the smallest label, then the smallest vector,
@@ -29,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from decidra.llm._common import drop, lean, stage
+from decidra.llm._common import drop, lean, meet_blocks, stage
 
 BLOCK_BYTES = 1 << 20
-BROADCAST_BYTES = 64 << 20
-SLICE_ROWS = 65_536
+ANCHOR_ROWS = 4_096  # of a task that packs anchors, about: blocks of rows go out once for each block of anchors
 ANCHORS_AT_ONCE = 128
 SCALE = 256
 NONE = -(1 << 62)  # the score of no row
@@ -185,23 +184,13 @@ def compared(anchors: DataFrame, rows: DataFrame, limits: Limits, mine: bool) ->
         if best is not None:
             yield flat(own_ids, best)
 
-    spark = rows.sparkSession
-    numbered, numbered_at = stage(anchors.withColumn("g", F.monotonically_increasing_id()), "anchor-blocks")
-    facts = numbered.agg(F.count("*"), F.coalesce(F.sum(F.length("vectors") + F.length("ids") * (2 + 2 * k)), F.lit(0))).collect()[0]
+    named = anchors.select("dim", F.monotonically_increasing_id().alias("g"), *(F.col(c).alias(f"own_{c}") for c in ("ids", "labels", "vectors", "positives")))
+    numbered, numbered_at = stage(named, "anchor-blocks")
     total = rows.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).collect()[0][0] // 8
-    slices = max(spark.sparkContext.defaultParallelism, -(-total // SLICE_ROWS))
-    few = facts[1] <= BROADCAST_BYTES
-    # which blocks of anchors a block of rows meets: numbers only, as many as there are blocks of anchors
-    groups = F.broadcast(numbered.groupBy("dim").agg(F.sort_array(F.collect_list("g")).alias("groups")))
-    dealt = rows.join(groups, "dim").withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int")).withColumn("g", F.explode("groups")).select("g", "slice", *rows.columns)
-    own = numbered.select("g", *(F.col(c).alias(f"own_{c}") for c in ("ids", "labels", "vectors", "positives")))
-    if few:
-        met = dealt.repartition(max(1, min(slices * max(1, facts[0]), 100_000)), "g", "slice").sortWithinPartitions("g").join(F.broadcast(own), "g")
-    else:
-        met = dealt.join(own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["g", "slice"])
+    met = meet_blocks(rows, numbered, "dim", "ids", total)
     wanted = met.select("g", "dim", "ids", "labels", "vectors", "positives", *(f"own_{c}" for c in ("ids", "labels", "vectors", "positives")))
     found, _ = stage(wanted.mapInArrow(lean(per_task), "anchor_id long, positive int, score long, id long"), "hard-found")
-    drop(spark, numbered_at)
+    drop(rows.sparkSession, numbered_at)
     order = Window.partitionBy("anchor_id", "positive").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (k if mine else limits.negatives))
 
@@ -230,11 +219,12 @@ def hard_negatives(
     valid = taking_part(embeddings, F.col("label") if label is None else label, id_col, vector_col)
     rows, rows_at = stage(packed(valid.select("*", unknown), positives), "hard-rows")
     chosen, chosen_at = stage(valid.filter(is_anchor), "hard-anchors")
-    asked, asked_at = stage(packed(chosen.select("*", unknown), positives), "asked")
+    few = 1 + chosen.count() // ANCHOR_ROWS
+    asked, asked_at = stage(packed(chosen.select("*", unknown).coalesce(few), positives), "asked")
     own, _ = stage(compared(asked, rows, limits, mine=True).select("anchor_id", (F.col("rank") - 1).alias("positive"), F.col("score").alias("positive_score"), F.col("id").alias("positive_id")), "hard-positives")
     best = own.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.sort_array(F.collect_list(F.struct("positive", F.col("positive_score").alias("score"), F.col("positive_id").alias("id")))).alias("all"))
     told = chosen.join(best, "vec_id").withColumn("positives", F.transform("all", lambda p: F.struct(p["score"].alias("score"), p["id"].alias("id"))))
-    limited, limited_at = stage(packed(told, positives), "limited")
+    limited, limited_at = stage(packed(told.coalesce(few), positives), "limited")
     found = compared(limited, rows, limits, mine=False).select("anchor_id", "positive", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     drop(spark, rows_at, chosen_at, asked_at, limited_at)
     return found.join(own, ["anchor_id", "positive"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -2,9 +2,10 @@
 
 One pass over all documents counts in how many of them each licence word occurs, so a word's IDF is that of the corpus. The
 index has all positions of every template word. In the second pass a document's licence words are ranked by IDF, and the
-postings of the highest are fetched: those that few documents have, and at least LEAST_WORDS. A posting says where its template
-would start; the lists are intersected by that, so a place counts that several distinct words agree on, give or take a few
-words. Places are verified against the template's mandatory key phrases and aligned word by word. Base phrases are searched for
+postings of the highest are fetched, as far down as it takes for every template whose key words the document has: two
+words of one of its key phrases, its rarest. A posting says where its template would start. The two words' lists are intersected
+by that, and each place is verified: all key phrases must stand within a few words of their places, and most words of
+the template too. Key phrases are mandatory, so no place that verifies is left out, however common its words are. Base phrases are searched for
 as whole word sequences besides, so a base label never hangs on the index.
 
 Words are runs of digits, letters after lower-casing A-Z, and every character beyond ASCII. Defined results: a null or
@@ -43,10 +44,12 @@ NOTICES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
     Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
     Template("apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ("apache license version 2 0",)),
+    Template("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work", ("each contributor hereby grants to you a perpetual", "irrevocable copyright license")),
     Template("artistic-2.0", "the artistic license 2 0 everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("artistic license 2 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "with or without modification")),
     Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code",)),
     Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form",)),
+    Template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("this software is provided by the copyright holders and contributors", "are disclaimed")),
     Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name", "endorse or promote products")),
     Template("bsl-1.0", "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software", ("boost software license",)),
     Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
@@ -69,6 +72,7 @@ NOTICES = (
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3 of the license")),
     Template("gpl-3.0", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("version 3 29 june 2007",)),
+    Template("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works", ("is a free copyleft license for software",)),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify", "with or without fee")),
     Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
@@ -76,6 +80,8 @@ NOTICES = (
     Template("mit", "licensed under the mit license", ("mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "copy of this software")),
     Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("copies or substantial portions of the software",)),
+    Template("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", ("to deal in the software without restriction", "sublicense and or sell copies")),
+    Template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability", ("the software is provided as is", "authors or copyright holders be liable for any claim")),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Template("wtfpl", "do what the fuck you want to public license version 2 december 2004", ("do what the fuck you want to",)),
@@ -95,10 +101,8 @@ def _tag(identifier: str) -> Template:
 
 
 TEMPLATES = NOTICES + tuple(_tag(i) for i in IDENTIFIERS)
-LEAST_WORDS = 4  # a document's licence words of highest IDF that are looked up in any case
-COMMON = 0.05  # of all documents; words that more of them have are looked up only among the LEAST_WORDS
-AGREE = 2  # distinct words that must agree on a place, of a template that has as many among those looked up
-SLACK = 3  # words by which two words' proposed starts may differ
+AGREE = 2  # words of a key phrase that must agree on a place, where it has as many
+SLACK = 3  # words by which a word or a key phrase may stand beside its place
 LEAST_COVER = 0.6  # of a template's words, found in place
 
 _KEEP = bytes(c if chr(c).isdigit() or chr(c).islower() and c < 128 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -141,11 +145,12 @@ def corpus_idf(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, float]:
 
 
 def place_of(number: int, start: int, index: Index, words: list[bytes]) -> float:
-    """The share of a template's words that stand in place if it starts there, or 0 if a key phrase is missing."""
+    """The share of a template's words that stand in place if it starts there, or 0 if a key phrase doesn't."""
     _, wanted, keys = index.templates[number]
-    near = _line(words[max(0, start - SLACK) : max(0, start + len(wanted) + SLACK)])
-    if not all(b" " + k + b" " in near for k in keys):
-        return 0.0
+    for key in keys:
+        at = [start + i + d for i in index.key_places[number, key] for d in range(-SLACK, SLACK + 1)]
+        if not any(i >= 0 and tuple(words[i : i + len(key)]) == key for i in at):
+            return 0.0
     return sum(w in words[max(0, start + i - SLACK) : max(0, start + i + SLACK + 1)] for i, w in enumerate(wanted)) / len(wanted)
 
 
@@ -153,45 +158,53 @@ class Index:
     """word -> [(template, position)] over all words of all templates, and the words' IDF."""
 
     def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float]):
-        self.templates = [(t.label, t.words.encode().split(), [k.encode() for k in t.keys]) for t in templates]
+        self.templates = [(t.label, t.words.encode().split(), [tuple(k.encode().split()) for k in t.keys]) for t in templates]
         self.idf = idf
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for number, (_, words, _) in enumerate(self.templates):
+        self.key_places: dict[tuple[int, tuple], list[int]] = {}
+        self.sought: list[tuple[bytes, ...]] = []  # of each template the words that must agree
+        self.key_words: list[frozenset[bytes]] = []
+        rarity = lambda w: (-idf.get(w, 0.0), w)
+        for number, (_, words, keys) in enumerate(self.templates):
             for position, word in enumerate(words):
                 self.postings[word].append((number, position))
+            for key in keys:
+                self.key_places[number, key] = [i for i in range(len(words)) if tuple(words[i : i + len(key)]) == key]
+            pairs = [tuple(sorted(set(key), key=rarity)[:AGREE]) for key in keys]
+            self.sought.append(min(pairs, key=lambda p: ([rarity(w) for w in p], -len(p))))
+            self.key_words.append(frozenset(w for key in keys for w in key))
         self.vocabulary = frozenset(self.postings)
-        self.floor = -math.log(COMMON)
-        #: A text without any of these can hold no template's key phrases: the rarest word of each key phrase.
-        self.anchors = frozenset(max(k.split(), key=lambda w: (idf.get(w, 0.0), w)) for _, _, keys in self.templates for k in keys)
+        #: A text without any of these can hold no template's key phrases: the rarest word that each template is sought by.
+        self.anchors = frozenset(s[0] for s in self.sought)
 
-    def looked_up(self, words: list[bytes]) -> list[bytes]:
-        """A text's licence words by IDF, the highest first: the rare ones, and LEAST_WORDS at least."""
-        ranked = sorted(self.vocabulary.intersection(words), key=lambda w: (-self.idf.get(w, 0.0), w))
-        return [w for i, w in enumerate(ranked) if i < LEAST_WORDS or self.idf.get(w, 0.0) >= self.floor]
+    def looked_up(self, held: set[bytes]) -> tuple[list[bytes], list[int]]:
+        """(a text's licence words of highest IDF, as far down as its templates need, and those templates): held are its words."""
+        possible = [n for n, keys in enumerate(self.key_words) if self.sought[n][0] in held and keys <= held]
+        needed = {w for n in possible for w in self.sought[n]}
+        ranked = sorted(self.vocabulary & held, key=lambda w: (-self.idf.get(w, 0.0), w)) if needed else []
+        last = max((i for i, w in enumerate(ranked) if w in needed), default=-1)
+        return ranked[: last + 1], possible
 
     def places(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(template, start) on which enough distinct looked-up words agree."""
-        look = set(self.looked_up(words))
-        starts: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        """(template, start) on which the sought words of a template agree."""
+        look, possible = self.looked_up(set(words))
+        if not possible:
+            return
+        fetched: dict[bytes, list[int]] = {w: [] for w in look}
         for position, word in enumerate(words):
-            if word in look:
-                for number, at in self.postings[word]:
-                    starts[number].append((position - at, word))
-        for number, proposed in starts.items():
-            need = min(AGREE, len(look.intersection(self.templates[number][1])))
-            proposed.sort()
-            first, held = 0, Counter()
-            last = None
-            for start, word in proposed:
-                held[word] += 1
-                while proposed[first][0] < start - 2 * SLACK:
-                    held[proposed[first][1]] -= 1
-                    held += Counter()  # without words that left
-                    first += 1
-                if len(held) >= need:
-                    for middle in range(max(start - SLACK, -1 << 60 if last is None else last + 1), start + 1):
-                        last = middle
-                        yield number, middle
+            if word in fetched:
+                fetched[word].append(position)
+        for number in possible:
+            starts = None
+            for word in self.sought[number]:
+                offsets = [at for n, at in self.postings[word] if n == number]
+                proposed = {position - at for position in fetched[word] for at in offsets}
+                starts = proposed if starts is None else starts & proposed
+            last = -1 << 60
+            for start in sorted(starts):
+                for near in range(max(start - SLACK, last + 1), start + SLACK + 1):
+                    last = near
+                    yield number, near
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """label -> the best share of a template's words that stand in place, of the templates that verify."""

@@ -45,8 +45,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.2, min_pages: int = 3, i
     totals, totals_at = stage(rows.groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
     seen = rows.select("host", F.explode(F.array_distinct(F.transform("lines", _key))).alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    over = join_by_key(counts, totals, "host").filter(F.col("n") > F.lit(float(ratio)) * F.col("pages"))
+    over = join_by_key(counts, totals, "host", ["line"]).filter(F.col("n") > F.lit(float(ratio)) * F.col("pages"))
     dropped, _ = stage(over.groupBy("host").agg(F.collect_list("line").alias("dropped")), "host-boilerplate")
     drop(rows.sparkSession, totals_at)
-    judged = join_by_key(rows, dropped, "host", "left").withColumn("kept", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains(F.col("dropped"), _key(line)))))
+    judged = join_by_key(rows, dropped, "host", ["page_id", "lines"], "left").withColumn("kept", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains(F.col("dropped"), _key(line)))))
     return judged.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("clean_text"))

@@ -1,6 +1,6 @@
 """Jaccard self-join of word n-gram sets by token-combination prefixes; components of the links.
 
-Everything is exact up to collisions of 64-bit hashes; the steps only leave out what can't link.
+Everything is exact up to collisions of hashes (62 bits of a word, 64 of a shingle); the steps only leave out what can't link.
 
 1. Every document's shingles are put in hash order, and an extended prefix of them is posted. Linked documents share so
    many tokens of their prefixes that a document with too few tokens that others post is out.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import U64, batch_rows, drop, lean, mix64, release, stage
+from decidra.llm._common import U64, batch_rows, drop, join_by_key, join_dealt, lean, mix64, release, stage
 from decidra.llm._shingles import shingle_sets
 from decidra.llm.components import components
 
@@ -201,8 +201,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (sets.select(F.col("doc_id").alias(v), F.col("tokens").alias(f"t{v}")) for v in "xy")
-    # y first: a document with many partners is an x, and its tokens aren't shuffled once for each of them
-    return pairs.select("x", "y").join(two, "y").join(one, "x").select("x", "y", "tx", "ty").mapInArrow(lean(per_batch), "x long, y long")
+    # y first: a document with many partners is an x, and its tokens aren't shuffled once for each of them, but for every HEAVY_ROWS
+    both = join_dealt(pairs.select("x", "y").join(two, "y"), one, "x", ["y"], counted=pairs)
+    return both.select("x", "y", "tx", "ty").mapInArrow(lean(per_batch), "x long, y long")
 
 
 def linked_counts(i: int, j: int, ids: np.ndarray, block: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -341,13 +342,13 @@ def _near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: s
     release(spark)
     degree = _degrees(sets, final, t) if count_links else final.select(F.col("node").alias("rep"), F.lit(None).cast("long").alias("n_links"))
     # representatives of all sets, then their components; a component's name is its smallest document
-    rep_of = facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    table = rep_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    decided, _ = stage(table, "decided")
+    rep_of = facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    table = rep_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").filter("m > 1 OR component IS NOT NULL").select("set_key", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    decided, _ = stage(table, "decided")  # sets of several documents or with links
     drop(spark, sets_at, sigs_at, heads_at, votes_at, first_at, tried_at, named_at, placed_at, open_at, left_at, found_at, rest_at, second_at, final_at)
     release(spark)
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     key = F.when(~empty, F.col("set_key"))
-    joined = facts.withColumn("set_key", key).join(decided, "set_key", "left")
+    joined = join_by_key(facts.withColumn("set_key", key), decided, "set_key", ["doc_id"], "left")
     out = joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out if count_links else out.drop("n_links")

@@ -173,8 +173,9 @@ def _tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
         if docs:
             yield block()
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    # an id or a row that repeats is dealt over several ranges
+    ordered = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return ordered.mapInArrow(lean(per_part), "part int, start_in_part long, doc_ids array<long>, lengths array<long>, ids binary")
 
 

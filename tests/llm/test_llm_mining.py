@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from decidra.llm import _common
 from decidra.llm import hard_negatives as hn
 from decidra.llm._common import ship
 
@@ -52,8 +53,8 @@ def rows(spark):
 def test_hard_negatives(spark, rows, monkeypatch, few):
     """Ties, repeated and contradictory ids, nulls, other lengths, clashing columns; with blocks of anchors broadcast and shuffled."""
     if not few:
-        monkeypatch.setattr(hn, "BROADCAST_BYTES", 0)
-        monkeypatch.setattr(hn, "SLICE_ROWS", 16)
+        monkeypatch.setattr(_common, "BLOCKS_BYTES", 0)
+        monkeypatch.setattr(_common, "SLICE_ROWS", 16)
     want = brute(rows, lambda i: i % 10 == 0)
     assert any(a == 950 for a, *_ in want) and any(a == 960 for a, *_ in want) and len(want) > 200
     assert result(hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0)) == want

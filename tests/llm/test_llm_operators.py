@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from decidra.llm import ann, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, rans, sharding, toxicity
+from decidra.llm import _common, ann, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, rans, sharding, toxicity
 from decidra.llm._common import new_path, ship
 from decidra.llm.components import components
 
@@ -378,3 +378,38 @@ def test_without_broadcasts(spark, docs, monkeypatch):
     monkeypatch.setattr(_common, "FILE_ROWS", 3)
     after = rows()
     assert after == before and any("n_dropped=2" in r or "n_dropped=1" in r for r in after["lines"])
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """Half of the rows have one key, a fifth none: the same rows as a plain join, and no task with more than a few hundredths of them."""
+    monkeypatch.setattr(_common, "HEAVY_ROWS", 200)
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 5 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 999)).alias("key"), "id", F.lit(1).alias("salt"), F.lit(2).alias("_salt"))
+    small = rows.select("key").distinct().filter("key IS NOT NULL AND key <> 'k7'").withColumn("value", F.length("key"))
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        for how in ("inner", "left"):
+            got = _common.join_dealt(rows, small, "key", ["id"], how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(small, "key", how).collect()))
+            largest = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0]
+            assert largest < 20_000 / 15
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_neighbours_where_most_vectors_take_no_part(spark):
+    """The codebooks' sample is of valid vectors, so 3,000 zero vectors hide none of the others; ids that repeat are one."""
+    rng = np.random.default_rng(3)
+    good = [(10_000 + i, rng.normal(size=4).tolist()) for i in range(10)]
+    rows = [(i, [0.0] * 4) for i in range(3_000)] + good + [(10_001, good[1][1]), (20_000, [1.0, None, 2.0, 3.0])] + [(30_000 + i, [1.0, 2.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 10_000 < 2, sample=50).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    unit = np.array([v for _, v in good]) / np.linalg.norm([v for _, v in good], axis=1)[:, None]
+    for q in (0, 1):
+        assert got[10_000 + q] == [10_000 + i for i in np.argsort(-(unit @ unit[q])) if i != q][:5]
+    assert set(got) == {10_000, 10_001}
