@@ -1,14 +1,12 @@
 """Scoring of predictions against references, and the calibration and selective metrics over the scored pairs.
 
 A pair is one reference question of one item in one run. Pairs are flat rows; every report is keyed aggregation over
-them. Rank metrics need a running error in order of confidence: it is made of bucket totals and a window inside each
-bucket, so a group of any size is many small windows instead of one.
+them. Rank metrics need a running error in order of confidence. All levels of a report share that order, so it is cut into
+paths of a bounded number of rows once, and each group's counts in the paths before are carried into every path.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +15,8 @@ from decidra.functions import prob as P
 from decidra.functions.text import k_bucket
 from decidra.sources.staging import staged
 
-BUCKETS = 64  # by confidence, and as many by ord within a confidence that many rows have
+MOST_ROWS = 200_000  # of a path of the order, and so of a window
+CUTS = 256  # of a cell with too many rows, at most
 METRICS = ("accuracy", "nll", "brier", "cross_entropy", "kl", "tv")
 
 
@@ -40,40 +39,83 @@ def score_pairs(questions: DataFrame, predictions: DataFrame, runs: list[int]) -
     )
 
 
-def ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Answered pairs with n (of their group), rn (rank by confidence, ties by ord) and errors (running).
+def _cell(place: Column, n: int | Column) -> Column:
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.least(F.greatest(F.floor(place * n), F.lit(0)), n - 1).cast("long")
 
-    A bucket is a range of confidence and, where one confidence is that of many rows, a range of ord in it: the bounds are
-    approximate quantiles of each over all rows, and any bounds give the same ranks.
-    """
-    rows = pairs.filter("answered")
-    cuts = rows.agg(*(F.percentile_approx(c, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias(c) for c in ("confidence", "ord"))).collect()[0]
-    by_conf, by_ord = sorted(set(cuts.confidence or [])), sorted(set(cuts.ord or []))
-    common = [c for c, n in Counter(cuts.confidence or []).items() if n > 1]  # what many rows have alike: bounds that repeat
-    place = lambda values, c: F.size(F.filter(F.array(*(F.lit(v) for v in values)), lambda v: v <= c)) if values else F.lit(0)
-    high = place(by_conf, F.col("confidence"))
-    low = F.when(F.col("confidence").isin(*common), -place(by_ord, F.col("ord"))).otherwise(0) if common else F.lit(0)
-    rows = rows.withColumn("_bucket", F.struct(high.alias("high"), low.alias("low")))
-    each = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.sum(1 - F.col("correct")).alias("_e"))
-    group, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = each.select(*keys, "_bucket", F.sum("_n").over(group).alias("n"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_e").over(above), F.lit(0.0)).alias("_e0"))
-    local = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("confidence"), "ord")
-    joined = rows.join(offsets, [*keys, "_bucket"])
-    rn = F.col("_n0") + F.row_number().over(local)
-    errors = F.col("_e0") + F.sum(1 - F.col("correct")).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    return joined.select("*", rn.alias("rn"), errors.alias("errors")).drop("_bucket", "_n0", "_e0")
 
+def with_paths(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """rows with `_path`, which grows with their order (confidence falling, then ord): no path has more than about `most` rows.
 
-def rank_metrics(pairs: DataFrame, keys: list[str], coverage: float = 0.8, risks: tuple[float, ...] = (0.05, 0.10)) -> DataFrame:
+    Cells of equal widths of the confidence are counted. A cell with too many rows is cut by the confidences it has, and one that has a
+    single confidence by ord, until none has too many. Only such cells are broadcast: rows / most of them, at most.
+    """
+    n = rows.count()
+    first = min(max(1, -(-4 * n // most)), 1 << 16) if n > most else 1
+    out = rows.withColumn("_path", first - 1 - _cell(F.col("confidence"), first))
+    while n > most:
+        sides = (F.min("confidence").alias("_c0"), F.max("confidence").alias("_c1"), F.min("ord").alias("_o0"), F.max("ord").alias("_o1"))
+        cells = out.groupBy("_path").agg(F.count("*").alias("_m"), *sides).filter((F.col("_m") > most) & ((F.col("_c0") < F.col("_c1")) | (F.col("_o0") < F.col("_o1"))))
+        heavy = staged(cells)
+        if heavy.isEmpty():
+            break
+        out = staged(out).join(F.broadcast(heavy), "_path", "left")
+        by_ord = F.col("_c0") == F.col("_c1")
+        falling = (F.col("_c1") - F.col("confidence")) / (F.col("_c1") - F.col("_c0"))
+        rising = (F.col("ord") - F.col("_o0")) / (F.col("_o1") - F.col("_o0")).cast("double")
+        part = F.when(F.col("_m").isNull(), 0).otherwise(_cell(F.when(by_ord, rising).otherwise(falling), F.least(F.lit(CUTS), F.ceil(4 * F.col("_m") / most))))
+        out = out.withColumn("_path", F.col("_path") * CUTS + part).drop("_m", "_c0", "_c1", "_o0", "_o1")
+    return out
+
+
+def ranked(pairs: DataFrame, levels: list[list[str]], most: int = MOST_ROWS) -> DataFrame:
+    """Answered pairs with, for each level i (groups by its columns), n_i (of the group), rn_i (rank by confidence, ties by ord) and errors_i (running).
+
+    Rows are dealt by paths of the one order that all levels share, and shuffled once. What a group has in the paths before comes into each path as
+    one more row, the first of its window, so no window reaches over more than a path.
+    """
+    names = sorted({c for level in levels for c in level})
+    rows = staged(with_paths(pairs.filter("answered").select(*names, "confidence", "ord", "correct"), most))
+    cells = staged(rows.groupBy("_path", *names).agg(F.count("*").alias("_n"), F.sum(1 - F.col("correct")).alias("_e")))
+    whole = rows
+    for i, level in enumerate(levels):
+        group = Window.partitionBy(*level)
+        before = group.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+        each = cells.groupBy("_path", *level).agg(F.sum("_n").alias("_n"), F.sum("_e").alias("_e"))
+        marks = each.select("_path", *level, F.lit(i).alias("_level"), F.sum("_n").over(group).alias("_all"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_e").over(before), F.lit(0.0)).alias("_e"))
+        whole = whole.unionByName(marks, allowMissingColumns=True)
+    out = whole.repartition("_path")  # which deals all the windows below
+    own = F.col("_level").isNull()
+    for i, level in enumerate(levels):
+        upto = Window.partitionBy("_path", *level).orderBy(own, F.desc("confidence"), "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        mark = F.col("_level") == i
+        out = out.withColumns({
+            f"n_{i}": F.max(F.when(mark, F.col("_all"))).over(upto), f"rn_{i}": F.sum(F.when(own, 1).when(mark, F.col("_n")).otherwise(0)).over(upto),
+            f"errors_{i}": F.sum(F.when(own, 1 - F.col("correct")).when(mark, F.col("_e")).otherwise(0.0)).over(upto),
+        })
+    return out.filter(own).drop("_path", "_level", "_all", "_n", "_e")
+
+
+def rank_metrics_by(pairs: DataFrame, levels: dict[str, list[str]], coverage: float = 0.8, risks: tuple[float, ...] = (0.05, 0.10), most: int = MOST_ROWS) -> DataFrame:
+    """level, key (a struct of all levels' columns, NULL where a level doesn't have one) and the rank metrics of its groups."""
+    names = sorted({c for level in levels.values() for c in level})
+    each = ranked(pairs, list(levels.values()), most)
+    key = lambda level: F.struct(*((F.col(c) if c in level else F.lit(None).cast(pairs.schema[c].dataType)).alias(c) for c in names), F.lit(0).alias("_"))
+    rows = [F.struct(F.lit(name).alias("level"), key(level).alias("key"), *(F.col(f"{c}_{i}").alias(c) for c in ("n", "rn", "errors")), "correct") for i, (name, level) in enumerate(levels.items())]
     kept = F.greatest(F.lit(1), F.bround(F.col("n") * coverage).cast("long"))
     held = lambda r: F.coalesce(F.max(F.when(F.col("errors") <= r * F.col("rn"), F.col("rn"))), F.lit(0)) / F.first("n")
-    return ranked(pairs, keys).groupBy(*keys).agg(
+    return each.select(F.explode(F.array(*rows)).alias("r")).select("r.*").groupBy("level", "key").agg(
         F.avg(F.col("errors") / F.col("rn")).alias("aurc"),
         (F.sum(F.when(F.col("rn") <= kept, F.col("correct"))) / F.first(kept)).alias(f"sel_acc_{round(coverage * 100)}"),
         *(held(r).alias(f"cov_risk{round(r * 100)}") for r in risks),
     )
 
 
+def rank_metrics(pairs: DataFrame, keys: list[str], coverage: float = 0.8, risks: tuple[float, ...] = (0.05, 0.10)) -> DataFrame:
+    found = rank_metrics_by(pairs, {"all": keys}, coverage, risks)
+    return found.select(*(F.col(f"key.{k}").alias(k) for k in keys), *found.columns[2:])
+
+
 def _cells(pairs: DataFrame, keys: list[str], bins: int, more: dict[str, Column] | None = None) -> DataFrame:
     """Sums of answered and other pairs by keys, label and bin of confidence: all that means over groups, labels or bins need."""
     at = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))
@@ -100,31 +142,41 @@ def balanced_accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return _balanced(_cells(pairs, keys, 10), keys)
 
 
-def summarize(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """All metrics of each group; a metric over nothing is NULL. Plain means, balanced accuracy and ECE come from one aggregation.
+def _sums() -> dict[str, Column]:
+    return {f"s_{m}": F.sum(m) for m in METRICS[1:]} | {"s_mae": F.sum("score_abs_err"), "n_mae": F.count("score_abs_err")}
 
-    pairs are read three times: stage them first if they are costly.
-    """
-    sums = {f"s_{m}": F.sum(m) for m in METRICS[1:]} | {"s_mae": F.sum("score_abs_err"), "n_mae": F.count("score_abs_err")}
-    cells = staged(_cells(pairs, keys, 10, sums))
+
+def _summary(cells: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
     mean = lambda s, n="a": F.try_divide(F.sum(s), F.sum(n))
     base = cells.groupBy(*keys).agg(
         F.sum("n").alias("pairs"), (F.sum("a") / F.sum("n")).alias("coverage"), mean("c").alias("accuracy"), *(mean(f"s_{m}").alias(m) for m in METRICS[1:]), mean("s_mae", "n_mae").alias("score_mae")
     )
-    for part in (_balanced(cells, keys), _ece(cells, keys), rank_metrics(pairs, keys)):
+    for part in (_balanced(cells, keys), _ece(cells, keys), ranks):
         base = base.join(part, keys, "left")
     return base
 
 
-def with_levels(pairs: DataFrame) -> DataFrame:
-    """Each pair once for every level of a report: overall, its group, its type, its K bucket."""
-    level = lambda kind, name: F.struct(F.lit(kind).alias("level"), name.alias("name"))
-    levels = F.array(level("overall", F.lit("all")), level("group", F.col("grp")), level("type", F.col("qtype")), level("k", k_bucket(F.col("k"))))
-    return pairs.withColumn("_level", F.explode(levels)).select("*", "_level.level", "_level.name").drop("_level")
+def summarize(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """All metrics of each group; a metric over nothing is NULL. Plain means, balanced accuracy and ECE come from one aggregation.
+
+    pairs are read several times: stage them first if they are costly.
+    """
+    return _summary(staged(_cells(pairs, keys, 10, _sums())), keys, rank_metrics(pairs, keys))
 
 
 def report(pairs: DataFrame) -> DataFrame:
-    return summarize(with_levels(staged(pairs)), ["run", "level", "name"])
+    """All metrics of each run: overall, by group, by type and by K bucket.
+
+    Pairs are read once for sums by the finest cells, from which all levels are added up, and ranked once for all levels.
+    """
+    rows = staged(pairs.withColumn("kb", k_bucket(F.col("k"))))
+    levels = {"overall": ["run"], "group": ["run", "grp"], "type": ["run", "qtype"], "k": ["run", "kb"]}
+    fine = _cells(rows, ["run", "grp", "qtype", "kb"], 10, _sums())
+    named = F.array(*(F.struct(F.lit(level).alias("level"), (F.col(keys[1]) if len(keys) > 1 else F.lit("all")).alias("name")) for level, keys in levels.items()))
+    cells = staged(fine.withColumn("_l", F.explode(named)).select("run", "_l.level", "_l.name", *(c for c in fine.columns if c not in ("run", "grp", "qtype", "kb"))))
+    ranks = rank_metrics_by(rows, levels)
+    name = F.coalesce(*(F.col(f"key.{keys[1]}") for keys in levels.values() if len(keys) > 1), F.lit("all"))
+    return _summary(cells, ["run", "level", "name"], ranks.select("key.run", "level", name.alias("name"), *ranks.columns[2:]))
 
 
 def grouping_report(pairs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from decidra.functions.text import session_of, split_of
+from decidra.operators import selection
 
 #: Operations that change something, operations that may stand for another, the gates and what they allow.
 WRITE_OPS = ("TYPE_TEXT", "APPEND_TEXT", "REPLACE_TEXT", "RENAME", "DELETE", "MOVE", "SEND")
@@ -119,25 +120,12 @@ def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.select("gate", passed.alias("passed"), allowed.alias("allowed"), limit.alias("limit"), "cn", "co")
 
 
-def nearest_rank(column: str, q: float) -> Column:
-    """Percentile by nearest rank, an element of the data."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
-
-
-def floor_index(column: str, q: float) -> Column:
-    """The element at floor(q * n) of the sorted values, counted from 0: the servers' percentile.
-
-    percentile_disc(p) is element ceil(p * n), counted from 1; it differs only where q * n is whole, and there a p just
-    above q gives the next element (as long as a group has fewer than 1e12 rows).
-    """
-    return F.expr(f"percentile_disc({q + 1e-12!r}D) WITHIN GROUP (ORDER BY {column})")
-
-
 def latency_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Shares are of the summed time of requests; both tiers count for a stage. strong is NULL without escalation.
 
     rows: total_s, route_s, candidates, fast and strong structs (total_s, tokenize_s, prefill_s, score_s, checkpoint). Where the tiers have
-    prefilled_tokens and prompt_tokens, and the rows peak_memory_gb, the table has their percentiles and the peak.
+    prefilled_tokens and prompt_tokens, and the rows peak_memory_gb, the table has their percentiles and the peak. Percentiles are by
+    nearest rank, and exact (`selection`); rows are read once for the sums and once for each pass of theirs.
     """
     both = lambda stage: F.sum(F.coalesce(F.col(f"fast.{stage}"), F.lit(0.0)) + F.coalesce(F.col(f"strong.{stage}"), F.lit(0.0)))
     whole = F.sum("total_s")
@@ -145,16 +133,18 @@ def latency_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     hits = lambda tier: F.try_divide(F.count_if(F.col(f"{tier}.checkpoint") == "hit").cast("double"), F.count_if(F.col(f"{tier}.checkpoint").isin("hit", "miss")))
     named = {f.name for f in rows.schema["fast"].dataType.fields}
     rows = rows.withColumns({"_strong_s": F.col("strong.total_s")} | {f"_{t}_{n}": F.col(f"{t}.{n}") for t in ("fast", "strong") for n in ("prefilled_tokens", "prompt_tokens") if n in named})
-    more = [nearest_rank(f"_{t}_prefilled_tokens", 0.5).alias(f"{t}_prefill_tokens_p50") for t in ("fast", "strong") if "prefilled_tokens" in named]
-    more += [nearest_rank("_fast_prompt_tokens", q).alias(f"prompt_tokens_p{round(100 * q)}") for q in (0.5, 0.95) if "prompt_tokens" in named]
-    more += [F.max("peak_memory_gb").alias("peak_memory_gb_max")] * ("peak_memory_gb" in rows.columns)
+    at = {"p50_s": ("total_s", 0.5), "p95_s": ("total_s", 0.95), "strong_p50_s": ("_strong_s", 0.5), "candidates_p50": ("candidates", 0.5)}
+    at |= {f"{t}_prefill_tokens_p50": (f"_{t}_prefilled_tokens", 0.5) for t in ("fast", "strong") if "prefilled_tokens" in named}
+    at |= {f"prompt_tokens_p{round(100 * q)}": ("_fast_prompt_tokens", q) for q in (0.5, 0.95) if "prompt_tokens" in named}
     out = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), nearest_rank("total_s", 0.5).alias("p50_s"), nearest_rank("total_s", 0.95).alias("p95_s"), F.avg("total_s").alias("mean_s"),
-        *(c.alias(name) for name, c in shares.items()), (F.sum("route_s") / whole).alias("route_share"), F.count("strong").alias("escalated"),
-        nearest_rank("_strong_s", 0.5).alias("strong_p50_s"), hits("fast").alias("fast_hit_rate"), hits("strong").alias("strong_hit_rate"),
-        nearest_rank("candidates", 0.5).cast("int").alias("candidates_p50"), F.max("candidates").alias("candidates_max"), *more,
+        F.count("*").alias("n"), F.avg("total_s").alias("mean_s"), *(c.alias(name) for name, c in shares.items()), (F.sum("route_s") / whole).alias("route_share"),
+        F.count("strong").alias("escalated"), hits("fast").alias("fast_hit_rate"), hits("strong").alias("strong_hit_rate"), F.max("candidates").alias("candidates_max"),
+        *([F.max("peak_memory_gb").alias("peak_memory_gb_max")] * ("peak_memory_gb" in rows.columns)),
     )
-    return out.withColumn("other_share", 1 - F.col("tokenize_share") - F.col("prefill_share") - F.col("score_share") - F.col("route_share"))
+    out = out.withColumn("other_share", 1 - F.col("tokenize_share") - F.col("prefill_share") - F.col("score_share") - F.col("route_share"))
+    values = selection.percentiles(rows, keys, {name: (column, "nearest", q) for name, (column, q) in at.items()}).withColumn("candidates_p50", F.col("candidates_p50").cast("int"))
+    values = values.select(F.struct(*keys, F.lit(0).alias("_")).alias("_key"), *at)
+    return out.withColumn("_key", F.struct(*keys, F.lit(0).alias("_"))).join(values, "_key", "left").drop("_key")
 
 
 def head_agreement(rows: DataFrame, reference: DataFrame, id_col: str = "id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decidra.operators import selection
+
 
 def confusions(rows: DataFrame, gold: str, pred: str, most: int = 8) -> DataFrame:
     """The most frequent wrong pairs; a top list, ties by name."""
@@ -110,7 +112,10 @@ def request_stats(rows: DataFrame, seconds: str, op: str, by: str, reason: str)
     """what ('all', 'op', 'by', 'reason'), name, n, p50_s (the middle two averaged) and mean_s of requests."""
     what = F.array(*(F.struct(F.lit(w).alias("what"), c.alias("name")) for w, c in (("all", F.lit("requests")), ("op", F.col(op)), ("by", F.col(by)), ("reason", F.col(reason)))))
     each = rows.select(F.col(seconds).alias("s"), F.explode(what).alias("w")).filter((F.col("w.what") == "op") | F.col("w.name").isNotNull())
-    return each.groupBy("w.what", "w.name").agg(F.count("*").alias("n"), F.median("s").alias("p50_s"), F.avg("s").alias("mean_s"))
+    named = each.select("w.what", "w.name", "s")
+    means = named.groupBy("what", "name").agg(F.count("*").alias("n"), F.avg("s").alias("mean_s"))
+    middle = selection.percentiles(named, ["what", "name"], {"p50_s": ("s", "median", 0.5)}).select(F.col("what").alias("_what"), F.col("name").alias("_name"), "p50_s")
+    return means.join(middle, (F.col("what") == F.col("_what")) & F.col("name").eqNullSafe(F.col("_name")), "left").select("what", "name", "n", "p50_s", "mean_s")
 
 
 def family_states(items: DataFrame, answers: DataFrame, key: str, family: str) -> DataFrame:

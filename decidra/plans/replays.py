@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from decidra.functions.text import heads_for, session_of, split_of, step_key
 from decidra.operators import replay as R
 from decidra.operators import router as T
+from decidra.operators import selection
 from decidra.plans.registry import query, table
 from decidra.plans.scoring import rounded
 from decidra.plans.views import V_STEPS, steps, with_views
@@ -159,12 +160,12 @@ def latency_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latency_floor_index", "SELECT event_type, list_sort(list(value))[floor(count(*) * 0.5::DOUBLE)::BIGINT + 1] AS p50, list_sort(list(value))[floor(count(*) * 0.95::DOUBLE)::BIGINT + 1] AS p95 FROM events GROUP BY event_type")
 def latency_floor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(R.floor_index("value", 0.5).alias("p50"), R.floor_index("value", 0.95).alias("p95"))
+    return selection.percentiles(table(spark, sf_dir, "events"), ["event_type"], {"p50": ("value", "floor", 0.5), "p95": ("value", "floor", 0.95)})
 
 
 @query("latency_median", "SELECT event_type, round(median(value), 6) AS p50 FROM events GROUP BY event_type")
 def latency_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("p50")))
+    return rounded(selection.percentiles(table(spark, sf_dir, "events"), ["event_type"], {"p50": ("value", "median", 0.5)}))
 
 
 @query("route_decide", with_views(V_ROUTED, "SELECT event_id, escalate, reason, conf FROM v_r"))

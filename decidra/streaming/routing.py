@@ -1,9 +1,7 @@
-"""Routing as a stream: a metadata-only log, counts by reason, and answers kept by request key."""
+"""Routing as a stream: a metadata-only log and counts by reason; and, in a batch, repeats answered from the first (`answers` does so in a stream)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,11 +25,6 @@ def reason_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def first_answers(requests: DataFrame, key: str, event_time: str, keep: str = "1 hour") -> DataFrame:
-    """The first request of each key; repeats within the watermark are answered from it. State ages out with the watermark."""
-    return requests.withWatermark(event_time, keep).dropDuplicatesWithinWatermark([key])
-
-
 def cached(requests: DataFrame, key: str, order: str) -> DataFrame:
     """In a batch: whether each request would be answered from the cache (its key was there before)."""
     first = requests.groupBy(key).agg(F.min(order).alias("_first"))
@@ -43,7 +36,3 @@ def echoed(requests: DataFrame, key: str, order: str, answer: str) -> DataFrame:
     first = requests.groupBy(key).agg(F.min(order).alias("_first"), F.min_by(answer, order).alias("_answer"))
     joined = requests.join(first, key).withColumn("hit", F.col(order) > F.col("_first"))
     return joined.withColumn(answer, F.col("_answer")).drop("_first", "_answer")
-
-
-def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -259,16 +260,58 @@ def test_missing_confidence_escalates(spark):
         replay.compare(base, base.withColumn("gate", F.lit("false_done"))).collect()
 
 
-def test_ranked_with_one_confidence(spark):
-    """Most rows share a confidence: the ranks are those of a single window."""
+@pytest.mark.parametrize("most", [100, 700, 10_000])
+def test_ranks_of_all_levels_in_bounded_windows(spark, most):
+    """Most rows share a confidence: the ranks of each level are those of a single window, no path is larger than the bound, and the shuffle has little but the rows."""
     rng = random.Random(3)
-    rows = [(1, i, True, rng.choice([0.0, 0.5, 1.0]), 1.0 if rng.random() < 0.7 else rng.random()) for i in range(3000)]
-    df = spark.createDataFrame(rows, "run int, ord long, answered boolean, correct double, confidence double")
-    got = {r.ord: (r.rn, r.errors) for r in metrics.ranked(df, ["run"]).collect()}
-    errors = 0.0
-    for n, (_, i, _, c, _) in enumerate(sorted(rows, key=lambda r: (-r[4], r[1])), 1):
-        errors += 1 - c
-        assert got[i][0] == n and got[i][1] == pytest.approx(errors)
+    rows = [(rng.randint(1, 2), rng.choice([None, "a", "b", "c"]), i, i % 50 > 0, rng.choice([0.0, 0.5, 1.0]), 1.0 if rng.random() < 0.7 else rng.random()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "run int, grp string, ord long, answered boolean, correct double, confidence double")
+    kept = [r for r in rows if r[3]]
+    paths = [r.n for r in metrics.with_paths(df.filter("answered"), most).groupBy("_path").agg(F.count("*").alias("n")).collect()]
+    assert sum(paths) == len(kept) and max(paths) <= most
+    levels = [["run"], ["run", "grp"], []]
+    out = metrics.ranked(df, levels, most)
+    got = {r.ord: r for r in out.collect()}
+    assert set(got) == {r[2] for r in kept}
+    for i, level in enumerate(levels):
+        key = (lambda r: r[0], lambda r: r[:2], lambda r: None)[i]
+        for name in {key(r) for r in kept}:
+            errors, mine = 0.0, sorted((r for r in kept if key(r) == name), key=lambda r: (-r[5], r[2]))
+            for n, r in enumerate(mine, 1):
+                errors += 1 - r[4]
+                found = got[r[2]]
+                assert (found[f"n_{i}"], found[f"rn_{i}"]) == (len(mine), n) and found[f"errors_{i}"] == pytest.approx(errors)
+    if most > 100:  # markers: one for each path and group
+        assert len(paths) * (2 + 8 + 1) <= 0.2 * len(kept)
+
+
+def test_selection_is_exact(spark):
+    """Ties, signs, magnitudes, infinities and NaN, NULLs, one value, NULL keys: the sorted list's element at every kind of place."""
+    from decidra.operators import selection
+
+    rng = random.Random(9)
+    inf, nan = float("inf"), float("nan")
+    draws = {
+        "ties": lambda: float(rng.choice([1, 1, 1, 2, 3])), "wide": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300), "odd": lambda: rng.choice([inf, -inf, nan, 0.0, 1.7e308, -1.7e308, 5e-324, None]),
+        None: lambda: rng.gauss(1000, 1e-9), "one": lambda: 7.5, "times": lambda: rng.expovariate(1.0),
+    }
+    rows = [(g, draw()) for g, draw in draws.items() for _ in range(1 if g == "one" else 997)] + [("none", None)]
+    wanted = {f"{kind}{round(100 * q)}": ("v", kind, q) for kind in ("nearest", "floor") for q in (0.0, 0.05, 0.5, 0.95, 1.0)} | {"mid": ("v", "median", 0.5)}
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in selection.percentiles(df, ["g"], wanted).collect()}
+    assert set(got) == set(draws)
+    order = lambda v: (math.isnan(v), 0 if math.isnan(v) else v)
+    for g in draws:
+        held = sorted((v for name, v in rows if name == g and v is not None), key=order)
+        n = len(held)
+        for name, (_, kind, q) in wanted.items():
+            if kind == "median":
+                want = (held[(n - 1) // 2] + held[n // 2]) / 2
+            else:
+                want = held[max(math.ceil(q * n), 1) - 1] if kind == "nearest" else held[min(math.floor(q * n), n - 1)]
+            assert got[g][name] == want or math.isnan(want) and math.isnan(got[g][name]), (g, name)
+    assert selection.percentiles(df.limit(0), ["g"], wanted).count() == 0
+    assert selection.percentiles(df.filter("g = 'ties'"), [], {"p": ("v", "nearest", 0.5)}).collect()[0].p == 1.0
 
 
 def test_spans_in_other_languages(spark):
