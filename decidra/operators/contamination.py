@@ -1,39 +1,85 @@
 """Contamination of a corpus by benchmark items: shared token n-grams and equal option sets; exact dedup; guards.
 
-Grams are joined as 64-bit hashes, so neither side carries 13 times its text. The benchmark's grams are the small side: they
-are broadcast only while their number, counted first, is below a bound; beyond it both sides are shuffled on the hash.
+The benchmark's grams are the small side. A Bloom filter of them is probed inside each document's array of grams, so that only
+grams that may be shared become rows and strings; those are joined by their text. The grams are broadcast only while their
+number, counted first, is below a bound; beyond it both sides are shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from decidra.functions.text import let, option_set, tokens
 from decidra.sources.staging import staged
 
 BROADCAST_GRAMS = 2_000_000
+BITS, MOST_WORDS = 16, 1 << 19  # of the filter: for each gram, and words at most (4 MB)
 #: A benchmark item is flagged from this share of its grams, or this many of them in one training item.
 FLAG_SHARE, FLAG_COUNT = 0.05, 20
 
 
 def grams_of(rows: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
-    """key and each distinct n-gram's hash."""
-    return rows.select(key, F.explode(gram_hashes(F.col(text), n)).alias("gram"))
+    """key and each distinct n-gram."""
+    return rows.select(key, F.explode(gram_texts(F.col(text), n)).alias("gram"))
 
 
-def gram_hashes(text: Column, n: int = 13) -> Column:
-    """The distinct hashes of a text's runs of n tokens, without making the runs' strings."""
-    made = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n))))).otherwise(F.array().cast("array<bigint>"))
-    return let(tokens(text), made)
+def _starts(w: Column, n: int) -> Column:
+    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def gram_texts(text: Column, n: int = 13) -> Column:
+    """The distinct runs of n tokens of a text."""
+    return let(tokens(text), lambda w: F.array_distinct(F.transform(_starts(w, n), lambda i: F.array_join(F.slice(w, i, n), " "))))
+
+
+def _words(grams: int) -> int:
+    """64-bit words of a filter of about BITS bits a gram: a power of two."""
+    return 1 << max(0, min(MOST_WORDS, (max(grams, 1) * BITS // 64)).bit_length())
+
+
+def _probes(h: Column) -> list[Column]:
+    return [h, F.xxhash64(F.lit("second"), h)]
+
+
+def bloom_words(grams: DataFrame, n: int, words: int) -> Column:
+    """The filter of (gram) as one array of 64-bit words, which is a scalar subquery: `words` bounds its size."""
+    hashes = grams.select(F.xxhash64(F.split("gram", " ")).alias("h")).select(F.explode(F.array(*_probes(F.col("h")))).alias("h"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(words - 1).cast("int").alias("word")
+    bits = hashes.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
+    every = grams.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
+    one = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all")).select(F.transform("all", lambda x: x["bits"]).alias("words"))
+    return staged(one).scalar()
+
+
+def maybe_shared(text: Column, bloom: Column, words: int, n: int = 13) -> Column:
+    """The distinct runs of n tokens that the filter lets through."""
+
+    def passes(held: Column, h: Column) -> Column:
+        fine = F.lit(True)
+        for probe in _probes(h):
+            at = F.shiftrightunsigned(probe, 6).bitwiseAND(words - 1).cast("int")
+            fine = fine & (F.call_function("bit_get", F.get(held, at), probe.bitwiseAND(63).cast("int")) == 1)
+        return fine
+
+    made = lambda w, held: F.transform(F.filter(_starts(w, n), lambda i: passes(held, F.xxhash64(F.slice(w, i, n)))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(tokens(text), lambda w: F.array_distinct(made(w, bloom)))
+
+
+def maybe_grams(bench: DataFrame, corpus: DataFrame, n: int = 13) -> tuple[DataFrame, DataFrame, int]:
+    """(the benchmark's grams, staged: item_id, gram; the corpus's that may be among them: doc_id, gram; how many the first are)."""
+    wanted = staged(grams_of(bench, "item_id", "text", n))
+    count = wanted.count()
+    words = _words(count)
+    bloom = bloom_words(wanted, n, words)
+    held = corpus.select("doc_id", "text").withColumn("_bloom", bloom)  # a subquery can't stand inside an array's lambda itself
+    return wanted, held.select("doc_id", F.explode(maybe_shared(F.col("text"), F.col("_bloom"), words, n)).alias("gram")), count
 
 
 def gram_hits(bench: DataFrame, corpus: DataFrame, n: int = 13) -> DataFrame:
     """item_id, doc_id, gram of every shared gram. bench: item_id, text; corpus: doc_id, text."""
-    wanted = grams_of(bench, "item_id", "text", n)
-    small = wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    return grams_of(corpus, "doc_id", "text", n).join(F.broadcast(wanted) if small else wanted, "gram")
+    wanted, maybe, count = maybe_grams(bench, corpus, n)
+    return maybe.join(F.broadcast(wanted) if count <= BROADCAST_GRAMS else wanted, "gram")
 
 
 def best_match(hits: DataFrame) -> DataFrame:
@@ -45,7 +91,7 @@ def best_match(hits: DataFrame) -> DataFrame:
 def summary(bench: DataFrame, hits: DataFrame, n: int = 13) -> DataFrame:
     """item_id, grams, hits, share, best, shared, flagged of every benchmark item. hits are worked out once, though used twice."""
     hits = staged(hits)
-    size = bench.select("item_id", F.size(gram_hashes(F.col("text"), n)).cast("long").alias("grams"))
+    size = bench.select("item_id", F.size(gram_texts(F.col("text"), n)).cast("long").alias("grams"))
     distinct = hits.groupBy("item_id").agg(F.count_distinct("gram").alias("hits"))
     rows = size.join(distinct, "item_id", "left").join(best_match(hits), "item_id", "left").withColumns({"hits": F.coalesce("hits", F.lit(0)), "shared": F.coalesce("shared", F.lit(0))})
     share = F.col("hits") / F.greatest("grams", F.lit(1))
@@ -65,10 +111,6 @@ def dedup_exact(rows: DataFrame, content: Column, order: str) -> DataFrame:
     return first.select("_r.*")
 
 
-def dedup_window(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
-
-
 def guarded(rows: DataFrame, fields: list[str], markers: list[str], path: Column | None = None) -> DataFrame:
     """rows, or a failing job if a field or the path has a marker (lower case) of answers that may not be training labels."""
     parts = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]

@@ -46,7 +46,7 @@ def with_modes(rows: DataFrame, modes: tuple[str, ...] = ("cold", "warm")) -> Da
 
 
 def contiguous_runs(rows: DataFrame, session: str, step: str, budget: int, longest: int, seed: str) -> DataFrame:
-    """Sessions in a seeded order, each with a contiguous run of at most `longest` steps, while the rows fit the budget.
+    """Sessions in a seeded order, each with a contiguous run of at most `longest` steps, until there are `budget` rows: the last run is cut.
 
     The running total is over sessions, which are aggregated first; a session's run begins at a hashed offset.
     """
@@ -58,7 +58,8 @@ def contiguous_runs(rows: DataFrame, session: str, step: str, budget: int, longe
     parts = sizes.groupBy("_part").agg(F.sum("_take").alias("_sum"))
     before = parts.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     upto = F.col("_before") + F.sum("_take").over(Window.partitionBy("_part").orderBy("_turn", session).rowsBetween(Window.unboundedPreceding, 0))
-    kept = sizes.join(F.broadcast(before.limit(256)), "_part").withColumn("_upto", upto).filter(F.col("_upto") <= budget)
+    kept = sizes.join(F.broadcast(before.limit(256)), "_part").withColumn("_upto", upto).filter(F.col("_upto") - F.col("_take") < budget)
+    kept = kept.withColumn("_take", F.least(F.col("_take"), budget - (F.col("_upto") - F.col("_take"))))
     numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(session).orderBy(step)) - 1)
     joined = numbered.join(kept.select(session, "_start", "_take"), session)
     return joined.filter(F.col("_rn").between(F.col("_start"), F.col("_start") + F.col("_take") - 1)).drop("_rn", "_start", "_take")

@@ -212,10 +212,14 @@ def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(batching.batch_sizes(ordered, 4, 2000).alias("sizes"))
 
 
-@query("token_stream", "SELECT count(*) AS examples, sum(length(text))::BIGINT AS tokens FROM conversations")
+@query("token_stream", """WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations
+  ), w AS (SELECT *, count(*) OVER () AS total, max(n) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS w2, max(n) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w3, max(n) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS w4 FROM r
+  ), e AS (SELECT p, p + CASE WHEN p + 1 >= total OR 2 * w2 > 2000 THEN 1 WHEN p + 2 >= total OR 3 * w3 > 2000 THEN 2 WHEN p + 3 >= total OR 4 * w4 > 2000 THEN 3 ELSE 4 END AS q FROM w
+  ), b AS (SELECT p, q, 0::BIGINT AS batch FROM e WHERE p = 0 UNION ALL SELECT e.p, e.q, b.batch + 1 FROM b JOIN e ON e.p = b.q)
+  SELECT conv_id, turn, batch FROM r JOIN b ON r.p >= b.p AND r.p < b.q""")
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), F.length("text").cast("long").alias("n"))
-    return batching.batch_stream(rows, "at", "n", 4, 2000).agg(F.count("*").alias("examples"), F.sum("n").alias("tokens"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), F.length("text").cast("long").alias("n"))
+    return batching.batch_stream(rows, "at", "n", 4, 2000).select("conv_id", "turn", "batch")
 
 
 @query("adjacent_duplicates", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role")

@@ -43,7 +43,7 @@ RUN_KEY = "('0x' || md5('7:{what}:' || user_id)[1:8])::BIGINT"
 
 
 @query("contiguous_runs", f"""WITH s AS (SELECT user_id, count(*) AS n, least(count(*), 8) AS take, {RUN_KEY.format(what='turn')} AS turn, {RUN_KEY.format(what='start')} % (count(*) - least(count(*), 8) + 1) AS start FROM events GROUP BY user_id
-  ), k AS (SELECT * FROM (SELECT *, sum(take) OVER (ORDER BY turn // 16777216, turn, user_id ROWS UNBOUNDED PRECEDING) AS upto FROM s) WHERE upto <= 300
+  ), k AS (SELECT user_id, start, least(take, 300 - (upto - take)) AS take FROM (SELECT *, sum(take) OVER (ORDER BY turn, user_id ROWS UNBOUNDED PRECEDING) AS upto FROM s) WHERE upto - take < 300
   ), e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events)
   SELECT user_id, event_id FROM e JOIN k USING (user_id) WHERE rn BETWEEN start AND start + take - 1""")
 def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

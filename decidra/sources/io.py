@@ -150,8 +150,14 @@ def checked_fixtures(spark: SparkSession, root: str, sets: list[T.Row], private_
 
 
 def sha256_of(spark: SparkSession, path: str) -> str:
-    """The hash of one file."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).collect()[0][0]
+    """The hash of one file of any size, read as a stream, block by block, by the driver's JVM. Manifests name few files."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

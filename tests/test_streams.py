@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from decidra.streaming import answers as A
 from decidra.streaming import runs
@@ -124,3 +125,78 @@ def test_a_batch_cut_while_it_was_written_is_written_anew(spark, tmp_path):
     runs.write_predictions(stream, answer, PREDICTIONS, f"{tmp_path}/log", f"{tmp_path}/ck").awaitTermination()
     rows = runs.committed(spark, f"{tmp_path}/log", PREDICTIONS).collect()
     assert sorted((r.item_id, r.answer) for r in rows) == [(i, "x") for i in range(5)]
+
+
+def test_batches_over_range_cuts_are_those_of_one_stream(spark):
+    """100,000 lengths in many ranges, of which some are shorter than a batch: the batches of a plain loop."""
+    from decidra.operators import batching
+
+    rng = random.Random(2)
+    lengths = [rng.choice([1, 5, 40, 300, 5000]) * rng.randint(1, 9) for _ in range(100_000)]
+    df = spark.range(len(lengths)).join(spark.createDataFrame(list(enumerate(lengths)), "id long, n long"), "id").withColumn("batch_name", F.lit("x"))
+    want, batch, size, width = [], 0, 0, 0
+    for n in lengths:
+        width = max(width, n)
+        if size and (size >= 16 or width * (size + 1) > 8000):
+            batch, size, width = batch + 1, 0, n
+        size += 1
+        want.append(batch)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        for parts in ("7", "64"):
+            spark.conf.set(key, parts)
+            got = [r.batch for r in batching.batch_stream(df, "id", "n", 16, 8000).orderBy("id").collect()]
+            assert got == want
+        spark.conf.set(key, "64")
+        few = batching.batch_stream(df.filter("id < 100"), "id", "n", 16, 8000).orderBy("id").collect()
+        assert [r.batch for r in few] == want[:100]
+    finally:
+        spark.conf.set(key, before)
+    assert batching.batch_stream(df.limit(0), "id", "n", 16, 8000).count() == 0
+
+
+def test_only_grams_that_may_be_shared_become_rows(spark):
+    from decidra.operators import contamination as C
+
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(3000)}"
+    docs = [(i, " ".join(word() for _ in range(rng.randint(5, 120)))) for i in range(400)] + [(900, None), (901, "")]
+    bench = [(i, " ".join(docs[i][1].split()[3:40])) for i in range(0, 30)] + [(50, " ".join(word() for _ in range(60))), (51, "short"), (52, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    grams = lambda t: {" ".join(t.split()[i : i + 13]) for i in range(len(t.split()) - 12)} if t else set()
+    want = sorted((i, j, g) for i, t in bench for j, u in docs for g in grams(t) & grams(u))
+    assert sorted((r.item_id, r.doc_id, r.gram) for r in C.gram_hits(b, d).collect()) == want and len(want) > 100
+    _, maybe, _ = C.maybe_grams(b, d)
+    exploded, every = maybe.count(), sum(len(grams(t)) for _, t in docs)
+    assert len({(j, g) for _, j, g in want}) <= exploded <= len({(j, g) for _, j, g in want}) + 0.05 * every
+
+
+def test_deep_pages_take_time_in_proportion(spark):
+    from decidra.operators import pages
+
+    def page(n):
+        return "<div>" * n + "<a>x</a>" + "</div>" * n + "</b>" * n
+
+    begun = time.perf_counter()
+    entries = pages.stream_of(page(100_000))
+    assert time.perf_counter() - begun < 10 and [(e["tag"], e["name"]) for e in entries] == [("a", "x")]
+    nested = pages.stream_of("<div>one <p>two <b>three</b> </p><button>go <i>on</i></button> four</div><div title='t'></div>")
+    assert [(e["tag"], e["name"]) for e in nested][:2] == [("button", "go on"), ("i", "on")] or [e["name"] for e in nested]
+
+
+def test_digest_of_a_large_file(spark, tmp_path):
+    """More than 2 GB, which no row could hold."""
+    import hashlib
+
+    from decidra.sources.io import sha256_of
+
+    path = tmp_path / "large"
+    with path.open("wb") as f:
+        f.seek((1 << 31) + 5)
+        f.write(b"end")
+    want = hashlib.sha256()
+    with path.open("rb") as f:
+        while block := f.read(1 << 24):
+            want.update(block)
+    assert sha256_of(spark, f"file://{path}") == want.hexdigest()
