@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.operators import counterexamples, prompts, search_tasks, traces, workflows
+from decidra.operators import counterexamples, fixtures, prompts, search_tasks, steps, traces, workflows
 from decidra.plans.registry import query, table
 from decidra.plans.scoring import rounded
 
@@ -70,8 +70,8 @@ def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = traces.admitted(trace_rows(spark, sf_dir), "2", "nobody")
     made = traces.imported(rows, "event_id", undo=True)
-    p = F.coalesce(F.get_json_object("references", "$.click_target.1"), F.get_json_object("references", "$.click_target['1']")).cast("double")
-    offered = F.size(F.json_object_keys(F.get_json_object("questions", "$.click_target.criteria")))
+    p = F.try_element_at(F.try_element_at(F.col("references"), F.lit("click_target")), F.lit("1"))
+    offered = F.size(steps.criteria(F.col("questions"), "click_target"))
     return rounded(made.select("event_id", "gold_op", "source_kind", F.array_join("soft", ",").alias("soft"), p.alias("first_row"), offered.alias("offered")))
 
 
@@ -87,27 +87,56 @@ def trace_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("row_clicks", """
   SELECT event_id, event_id % 3 <> 0 AND event_id % 11 <> 0 AS holds FROM events WHERE event_id % 13 <> 0 AND event_id % 5 <> 0 AND event_id % 11 <> 0""")
 def row_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.filtered(traces.imported(traces.admitted(trace_rows(spark, sf_dir), None, None), "event_id"), "event_id", traces.row_click)
-
-
-def documents_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished editing steps from documents: the goal asks for a change that the text shows."""
-    body = F.concat(F.lit("status: final\nowner "), "source", F.lit("\ncount "), F.col("doc_id").cast("string"))
-    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1_000_000)
-    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
-    inner = F.regexp_replace(quoted(body), r"\]$", "")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", text('{"elements": [{"index": "1", "role": "textArea", "label": ', inner, ', "current_value": ', inner, '}], "page": {"title": "note', F.col("doc_id").cast("string"), '.txt", "text": ', inner, "}}").alias("state"),
-        F.lit('{"operation": {"type": "choice", "instructions": {"goal": "Change the status from draft to final."}, "criteria": {"DONE": "", "REPLACE_TEXT": "", "TYPE_TEXT": ""}}}').alias("questions"),
-        F.lit('{"operation": {"DONE": 1.0, "REPLACE_TEXT": 0.0, "TYPE_TEXT": 0.0}}').alias("references"), F.lit('{"operation": {"DONE": 0.95, "REPLACE_TEXT": 0.025, "TYPE_TEXT": 0.025}}').alias("teacher"), F.lit("DONE").alias("gold_op"),
-    )
-
-
-@query("counterexamples", """
-  SELECT 'spoilt' AS rule, 'REPLACE_TEXT' AS gold_op, count(*) AS n FROM (SELECT 1 FROM documents LIMIT 100) UNION ALL SELECT 'sibling', 'DONE', count(*) FROM (SELECT 1 FROM documents LIMIT 50)""")
-def spoilt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = counterexamples.counterexamples(documents_done(spark, sf_dir), "doc_id", {"spoilt": 100, "sibling": 50, "ask": 10})
-    return made.groupBy("rule", "gold_op").agg(F.count("*").alias("n"))
+    items = traces.imported(traces.admitted(trace_rows(spark, sf_dir), None, None), "event_id")
+    return items.select("event_id", traces.row_click(F.col("questions"), F.col("references")).alias("holds"))
+
+
+def editing_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text-editing steps from documents: the goal asks for a change that the text shows, and another window shows a value to copy.
+
+    Every 4th is finished, the next types, the next looks at the other window, the last is finished and could look there.
+    """
+    d = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("status: final\nowner "), "source", F.lit("\ncount "), d)
+    area = F.struct(F.lit("1").alias("index"), F.lit("textArea").alias("role"), body.alias("label"), body.alias("current_value"))
+    value = F.concat(F.lit("A-"), (F.col("doc_id") + 1000).cast("string"))
+    state = F.struct(F.array(area).alias("elements"), F.struct(F.concat(F.lit("note"), d, F.lit(".txt")).alias("title"), body.alias("text")).alias("page"),
+                     F.array(F.struct(F.lit("w").alias("window"), F.concat(F.lit("one\nid "), value, F.lit("\nend")).alias("text"))).alias("read_in_other_windows"))
+    asked = F.concat(F.lit('{"operation": {"type": "choice", "instructions": {"goal": "Change the status from draft to final."}, "criteria": {"DONE": "", "REPLACE_TEXT": "", "TYPE_TEXT": ""'),
+                     F.when(F.col("doc_id") % 4 == 3, ', "FOCUS_WINDOW": ""').otherwise(""), F.lit('}}, "type_text_value": {"type": "choice", "criteria": {"1": {"value": "'), value, F.lit('"}}}}'))
+    gold = F.element_at(F.array(*map(F.lit, ("DONE", "TYPE_TEXT", "FOCUS_WINDOW", "DONE"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    mass = lambda sure, rest: F.concat(F.lit('{"operation": {"'), "gold_op", F.lit(f'": {sure}, "REPLACE_TEXT": {rest}}}, "type_text_value": {{"1": 1.0}}}}'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.to_json(state).alias("state"), asked.alias("questions"), gold.alias("gold_op")).withColumns({"references": mass(1.0, 0.0), "teacher": mass(0.95, 0.05)})
+    return steps.typed(rows, references=steps.MASS, teacher=steps.MASS)
+
+
+PICK = "('0x' || md5('{what}' || chr(31) || 'counter:{rule}:' || doc_id)[1:12])::BIGINT"
+TURN = "row_number() OVER (ORDER BY ('0x' || md5('counter:{rule}|' || doc_id)[1:8])::BIGINT, doc_id)"
+WORDS = ", ".join(f"'{v}'" for v in counterexamples.VALUES if v != "final")
+
+
+@query("counterexamples", f"""
+  WITH d AS (SELECT doc_id, doc_id % 4 AS g, 'status: final' || chr(10) || 'owner ' || source || chr(10) || 'count ' || doc_id AS body FROM documents
+  ), s AS (SELECT *, ['revert', 'revert', 'wrong', 'wrong', 'punct'][{PICK.format(what='kind', rule='spoilt')} % 5 + 1] AS kind, [{WORDS}][{PICK.format(what='value', rule='spoilt')} % 17 + 1] AS other,
+      ['，', '。', ',', '.', ';', '；'][{PICK.format(what='sign', rule='spoilt')} % 6 + 1] AS sign FROM d WHERE g IN (0, 3) QUALIFY {TURN.format(rule='spoilt')} <= 100)
+  SELECT 'spoilt' AS rule, doc_id, 'corrupt_' || kind AS kind, 'REPLACE_TEXT' AS gold_op, 'status: ' || CASE kind WHEN 'revert' THEN 'draft' WHEN 'wrong' THEN other ELSE 'final' || sign END || substr(body, 14) AS text, 1 AS windows, CASE g WHEN 0 THEN 3 ELSE 4 END AS offered FROM s
+  UNION ALL SELECT 'sibling_done', doc_id, 'sibling_done', 'DONE', body, 2, 4 FROM (SELECT * FROM d WHERE g = 0 QUALIFY {TURN.format(rule='sibling_done')} <= 50)
+  UNION ALL SELECT 'sibling_open', doc_id, 'sibling_keep', 'TYPE_TEXT', body, 2, 4 FROM (SELECT * FROM d WHERE g = 1 QUALIFY {TURN.format(rule='sibling_open')} <= 50)
+  UNION ALL SELECT 'ask', doc_id, 'ask', 'ASK', body, 1, 4 FROM (SELECT * FROM d WHERE g = 1 QUALIFY {TURN.format(rule='ask')} <= 60)""")
+def made_counterexamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = counterexamples.counterexamples(editing_steps(spark, sf_dir), "doc_id", {"spoilt": 100, "sibling_done": 50, "sibling_open": 50, "ask": 60})
+    area = steps.text_area(F.col("state"))["current_value"]
+    return made.select("rule", "doc_id", "kind", "gold_op", area.alias("text"), F.size("state.read_in_other_windows").alias("windows"), F.size(steps.criteria(F.col("questions"), "operation")).alias("offered"))
+
+
+@query("filler_fixtures", """
+  WITH d AS (SELECT doc_id, [12, 24, 40][('0x' || md5('size' || chr(31) || doc_id || chr(31) || 'filler')[1:12])::BIGINT % 3 + 1] AS n FROM documents)
+  SELECT doc_id, doc_id || '~filler' || n AS id, (5 * n + 1)::INT AS elements, (n + 3)::INT AS lines, 3::INT AS offered FROM d""")
+def filler_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = editing_steps(spark, sf_dir).filter("gold_op IS NOT NULL").select("doc_id", "state", "questions", "references")
+    made = fixtures.filler_fixtures(rows, "doc_id")
+    base = F.size(steps.criteria(F.col("questions"), "operation")) - (F.col("doc_id") % 4 == 3).cast("int")
+    return made.select("doc_id", "id", F.size("state.elements").alias("elements"), F.size(F.split("state.page.text", "\n")).alias("lines"), base.alias("offered"))
 
 
 def _workflow(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
