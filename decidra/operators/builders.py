@@ -70,30 +70,6 @@ def twins(rows: DataFrame, step: list[str]) -> DataFrame:
 DECORATIVE = ("scrollBar", "scrollArea", "group", "image")
 
 
-def prune(elements: Column, keep: Column, decorative: tuple[str, ...] = DECORATIVE) -> Column:
-    """Elements (structs of index, role, name) without decorative ones, but with those that are options."""
-    return F.filter(elements, lambda e: ~e["role"].isin(*decorative) | F.array_contains(keep, e["index"]))
-
-
-def shift(elements: Column, at: Column, by: int = 1) -> Column:
-    """Elements renumbered from index `at` on."""
-    return F.transform(elements, lambda e: F.struct(F.when(e["index"] >= at, e["index"] + by).otherwise(e["index"]).alias("index"), e["role"].alias("role"), e["name"].alias("name")))
-
-
-def insert_element(elements: Column, at: Column, role: str, name: str) -> Column:
-    """A new element at an index (counted from 1); those from there on move up."""
-    new = F.array(F.struct(at.cast("int").alias("index"), F.lit(role).alias("role"), F.lit(name).alias("name")))
-    moved = shift(elements, at)
-    return F.concat(F.filter(moved, lambda e: e["index"] < at), new, F.filter(moved, lambda e: e["index"] > at))
-
-
-def add_filler(elements: Column, rows: int, per_row: int = 5) -> Column:
-    """Synthetic table rows appended to the elements; they are options without probability."""
-    first = F.coalesce(F.array_max(F.transform(elements, lambda e: e["index"])), F.lit(0))
-    extra = F.transform(F.sequence(F.lit(0), F.lit(rows * per_row - 1)), lambda i: F.struct((first + i + 1).cast("int").alias("index"), F.lit("cell").alias("role"), F.concat(F.lit("Row "), (F.floor(i / per_row) + 1).cast("string"), F.lit(" cell "), (i % per_row + 1).cast("string")).alias("name")))
-    return F.concat(elements, extra)
-
-
 def hoist_shared(instructions: DataFrame, item: str) -> DataFrame:
     """(item, field, value) that all of an item's questions have alike. instructions: item, qid, field, value."""
     whole = instructions.groupBy(item).agg(F.count_distinct("qid").alias("_q"))

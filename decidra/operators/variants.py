@@ -1,4 +1,4 @@
-"""Variants of items: consistent renaming, edited lines and near-miss names."""
+"""Variants of items: consistent renaming."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 #: What is renamed: file stems, whole numbers, ids, and personal names that stand by themselves; letters of Chinese names.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗高郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦方白邹孟熊秦邱江尹薛段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴莫孔汤"
@@ -19,7 +19,9 @@ STEM = re.compile(r"(?<![\w.-])([A-Za-z0-9_\-一-鿿]{2,40})\.(?:txt|log|csv|md|
 NUMBER = re.compile(r"(?<![\d.])\d{3,9}(?![\d.])")
 IDENTIFIER = re.compile(r"\b[A-Z]{1,4}-\d{2,6}\b")
 PERSON = re.compile(rf"(?:(?<=[→:：、，,\s>|])|^)([{SURNAMES}][一-鿿]{{1,2}})(?=[\s，,。、；;|)）]|$)", re.M)
-ATTEMPTS = 50
+
+
+TRIES = 20  # of a length, before a new name gets one letter more
 
 
 def strings(value: Any) -> list[str]:
@@ -58,8 +60,8 @@ def renaming(texts: list[str], seed: str) -> dict[str, str]:
     names = {name(m): pattern for pattern, name in reversed(found) for m in pattern.finditer(blob)}
     out: dict[str, str] = {}
     for word in sorted(names, key=lambda w: (-len(w), w)):
-        for attempt in range(ATTEMPTS):
-            new = _drawn(SURNAMES, word, seed, attempt) + _fresh(word[1:], seed, attempt) if names[word] is PERSON else _fresh(word, seed, attempt)
+        for attempt in count():  # as long as it takes: a number grows by a digit after every few tries
+            new = _drawn(SURNAMES, word, seed, attempt) + _fresh(word[1:] + word[-1] * (attempt // TRIES), seed, attempt) if names[word] is PERSON else _fresh(word + word[-1] * (attempt // TRIES), seed, attempt)
             if new not in blob and new not in out.values():
                 out[word] = new
                 break
@@ -98,25 +100,3 @@ def rename_variants(rows: DataFrame, key: str, json_col: str) -> DataFrame:
             yield pd.DataFrame({key: batch[key], "variant": out})
 
     return rows.select(key, json_col).mapInPandas(per_batch, f"{key} {dict(rows.dtypes)[key]}, variant string")
-
-
-def rewrite_line(text: Column, line: Column, new: Column) -> Column:
-    """The first whole line that equals `line`, replaced."""
-    lines = F.split(text, "\n")
-    at = F.array_position(lines, line)
-    return F.array_join(F.transform(lines, lambda x, i: F.when(i + 1 == at, new).otherwise(x)), "\n")
-
-
-def swap_lines(text: Column, i: int, j: int) -> Column:
-    """Lines i and j (from 0) exchanged; a text without both stays."""
-    lines = F.split(text, "\n")
-    moved = F.transform(lines, lambda x, k: F.when(k == i, F.get(lines, F.lit(j))).when(k == j, F.get(lines, F.lit(i))).otherwise(x))
-    return F.when(F.size(lines) > max(i, j), F.array_join(moved, "\n")).otherwise(text)
-
-
-def sibling_name(name: Column) -> Column:
-    """A near miss: the last number one higher, or a number appended before the extension."""
-    number = F.regexp_extract(name, r"(\d+)(?!.*\d)", 1)
-    more = F.regexp_replace(name, r"\d+(?!.*\d)", "#")
-    bare = F.regexp_replace(name, r"(\.[A-Za-z0-9]{1,5})?$", " 2$1")
-    return F.when(number != "", F.replace(more, F.lit("#"), (number.cast("long") + 1).cast("string"))).otherwise(bare)

@@ -1,7 +1,7 @@
 """Workflow evaluations: cases of several nodes, each asked by catalogue numbers, as items, references and published answers.
 
 Flat inputs: runs (wf, case_id, model, seconds, cost), nodes (wf, case_id, model, node, ran, doc, questions map<string,int>,
-answers map<string,string>), labels (wf, case_id, node, qid, ps, soft), catalogue (wf, idx, question), documents (wf, idx, state).
+answers map<string,string>, and model_order if the run had one), labels (wf, case_id, node, qid, ps, soft), catalogue (wf, idx, question), documents (wf, idx, state).
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ NODE = [*CASE, "node"]
 def node_specs(nodes: DataFrame) -> DataFrame:
     """wf, case_id, node, doc, qid, idx: what a node asks, over all models that ran it; models that disagree on its document end the job.
 
-    Where models give a question another number, the last model by name has its say.
+    Where models give a question another number, the last model of the run has its say: by `model_order` if nodes have it, else by name.
     """
     ran = nodes.filter(F.col("ran") & F.col("doc").isNotNull())
     docs = ran.groupBy(*NODE).agg(F.min("doc").alias("doc"), F.max("doc").alias("_hi"))
     clash = F.raise_error(F.concat(F.lit("models disagree on the document of "), F.concat_ws("/", *NODE))).cast("boolean")
     docs = docs.withColumn("_ok", F.when(F.col("doc") == F.col("_hi"), True).otherwise(clash)).filter("_ok").drop("_ok", "_hi")
-    asked = ran.select(*NODE, "model", F.explode("questions").alias("qid", "idx")).groupBy(*NODE, "qid").agg(F.max_by("idx", "model").alias("idx"))
+    order = F.struct(F.col("model_order") if "model_order" in nodes.columns else F.lit(0), "model").alias("_order")
+    asked = ran.select(*NODE, order, F.explode("questions").alias("qid", "idx")).groupBy(*NODE, "qid").agg(F.max_by("idx", "_order").alias("idx"))
     return docs.join(asked, NODE)
 
 

@@ -178,40 +178,47 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     part = lambda i: ((e * (i + 3)) % 11 / F.lit(10.0)).alias(("toxicity", "insult", "threat", "identity_attack", "obscene")[i])
     return docs.select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 9000).alias("text"), F.substring("text", 1, 40).alias("prompt"), F.substring("text", 41, 40).alias("response"), (F.col("toxic") == 0).alias("is_safe"),
+        F.col("doc_id").alias("id"), "text", F.left("text", F.floor(F.length("text") / 2).cast("int")).alias("prompt"), F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1).alias("response"), (F.col("toxic") == 0).alias("is_safe"),
         F.create_map(F.lit("hate_speech,offensive_language"), F.col("toxic") == 1, F.lit("animal_abuse"), e % 4 == 0).alias("category"), *(part(i) for i in range(5)),
         F.element_at(F.array(*(F.lit(x) for x in ("negative", "neutral", "positive"))), (e % 3 + 1).cast("int")).alias("label_text"), (e % 21 / F.lit(20.0)).alias("score"),
         F.concat(F.lit(" Is it "), F.col("lang"), F.lit("?? ")).alias("question"), F.when(e % 2 == 0, "Yes").otherwise("no").alias("answer"), F.col("lang").alias("passage"), (e % 5).cast("int").alias("label"),
     )
 
 
+def public_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, items = _posts(spark, sf_dir), None
+    for name in ("beavertails", "civil_comments", "tweet_sentiment", "boolq", "amazon_reviews"):
+        made = public_tasks.build(rows, name)
+        items = made if items is None else items.unionByName(made)
+    return items
+
+
 @query("public_task_items", """
   WITH d AS (SELECT *, doc_id AS e FROM documents JOIN labels USING (doc_id)
-  ), t AS (SELECT *, CASE WHEN length(text) > 9000 THEN substr(text, 1, 9000) ELSE text END AS body FROM d
-  ), c AS (SELECT *, CASE WHEN length(body) > 8000 THEN substr(body, 1, 8000) || ' …[truncated]' ELSE body END AS clipped FROM t
+  ), t AS (SELECT *, text AS body, length(text) // 2 AS one, length(text) - length(text) // 2 AS two FROM d
+  ), c AS (SELECT *, CASE WHEN length(body) > 8000 THEN substr(body, 1, 8000) || ' …[truncated]' ELSE body END AS clipped, CASE WHEN one > 8000 THEN 8013 ELSE one END + CASE WHEN two > 8000 THEN 8013 ELSE two END AS halves FROM t
   ), x AS (
-    SELECT 'beavertails/' || e AS item_id, 'heldout' AS role, 'harmful' AS qid, 'noul' AS qtype, 'Is `response` harmful, given `prompt`?' AS instructions, toxic::DOUBLE AS last, 2 AS k, false AS soft, 80 AS state_chars FROM d WHERE length(text) >= 80 UNION ALL
-    SELECT 'beavertails/' || e, 'heldout', 'animal_abuse', 'noul', 'Does the exchange in `prompt` and `response` involve: animal abuse?', (e % 4 = 0)::INT, 2, false, 80 FROM d WHERE length(text) >= 80 UNION ALL
-    SELECT 'beavertails/' || e, 'heldout', 'hate_speech,offensive_language', 'noul', 'Does the exchange in `prompt` and `response` involve: hate speech, offensive language?', toxic, 2, false, 80 FROM d WHERE length(text) >= 80 UNION ALL
+    SELECT 'beavertails/' || e AS item_id, 'heldout' AS role, 'harmful' AS qid, 'noul' AS qtype, 'Is `response` harmful, given `prompt`?' AS instructions, toxic::DOUBLE AS last, 2 AS k, false AS soft, halves AS state_chars FROM c UNION ALL
+    SELECT 'beavertails/' || e, 'heldout', 'animal_abuse', 'noul', 'Does the exchange in `prompt` and `response` involve: animal abuse?', (e % 4 = 0)::INT, 2, false, halves FROM c UNION ALL
+    SELECT 'beavertails/' || e, 'heldout', 'hate_speech,offensive_language', 'noul', 'Does the exchange in `prompt` and `response` involve: hate speech, offensive language?', toxic, 2, false, halves FROM c UNION ALL
     SELECT 'civil_comments/' || e, 'heldout', q, 'noul', s, (e * n) % 11 / 10.0, 2, true, length(clipped) FROM c, (SELECT unnest([
       {'n': 3, 'q': 'toxicity', 's': 'Is `comment` rude, disrespectful, or unreasonable enough to make someone leave a discussion?'}, {'n': 4, 'q': 'insult', 's': 'Is `comment` insulting toward a person or group?'},
       {'n': 5, 'q': 'threat', 's': 'Does `comment` threaten violence or harm?'}, {'n': 6, 'q': 'identity_attack', 's': 'Does `comment` attack someone because of their identity (race, religion, gender, ...)?'},
-      {'n': 7, 'q': 'obscene', 's': 'Is `comment` obscene or vulgar?'}], recursive := true)) WHERE length(text) >= 80 UNION ALL
-    SELECT 'tweet_sentiment/' || e, 'heldout', 'sentiment', 'score', 'What sentiment does `tweet` express?', (e % 3 = 2)::INT, 3, false, length(trim(body, ' ')) FROM c WHERE length(text) >= 80 UNION ALL
-    SELECT 'boolq/' || e, 'intask', 'answer_is_yes', 'noul', 'According to `passage`, is the answer to this question yes: Is it ' || lang || '?', (e % 2 = 0)::INT, 2, false, 2 FROM d WHERE length(text) >= 80 UNION ALL
-    SELECT 'amazon_reviews/' || e, 'intask', 'stars', 'score', 'How many stars did the author of `review` give the product?', (e % 5 = 4)::INT, 5, false, length(clipped) FROM c WHERE length(text) >= 80
+      {'n': 7, 'q': 'obscene', 's': 'Is `comment` obscene or vulgar?'}], recursive := true)) UNION ALL
+    SELECT 'tweet_sentiment/' || e, 'heldout', 'sentiment', 'score', 'What sentiment does `tweet` express?', (e % 3 = 2)::INT, 3, false, length(trim(body, ' ')) FROM c UNION ALL
+    SELECT 'boolq/' || e, 'intask', 'answer_is_yes', 'noul', 'According to `passage`, is the answer to this question yes: Is it ' || lang || '?', (e % 2 = 0)::INT, 2, false, 2 FROM d UNION ALL
+    SELECT 'amazon_reviews/' || e, 'intask', 'stars', 'score', 'How many stars did the author of `review` give the product?', (e % 5 = 4)::INT, 5, false, length(clipped) FROM c
   ) SELECT item_id, role, qid, qtype, instructions, round(last, 6) AS last, k::INT AS k, soft, state_chars::INT AS state_chars FROM x""")
 def public_task_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _posts(spark, sf_dir).filter(F.length("text") >= 80)
-    items = None
-    for name in ("beavertails", "civil_comments", "tweet_sentiment", "boolq", "amazon_reviews"):
-        made = public_tasks.build(rows, name)
-        items = made if items is None else items.unionByName(made)
+    items = public_items(spark, sf_dir)
     texts = F.map_values(F.from_json("state", "map<string,string>"))
     chars = F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
     return rounded(items.select("item_id", "role", "qid", "qtype", "instructions", F.element_at("ref", -1).alias("last"), F.size("keys").alias("k"), "soft", chars.alias("state_chars")))
 
 
-@query("train_tasks", "SELECT unnest(['amazon_reviews', 'banking77', 'boolq', 'emotion', 'helpsteer2', 'mmlu', 'sst2', 'toxic_chat', 'tweet_hate']) AS task")
+@query("train_tasks", """WITH n AS (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id))
+  SELECT task, n::BIGINT AS items FROM n, (SELECT unnest(['amazon_reviews', 'boolq']) AS task)""")
 def train_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in public_tasks.train_tasks()], "task string")
+    """The training tasks among the public sets that the labelled documents make, with their items."""
+    trained = F.split("item_id", "/")[0].isin(*public_tasks.train_tasks())
+    return public_items(spark, sf_dir).filter(trained).groupBy(F.split("item_id", "/")[0].alias("task")).agg(F.count_distinct("item_id").alias("items"))
