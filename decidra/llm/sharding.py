@@ -8,7 +8,8 @@ written a few times at most.
 Every change ends in a manifest, a new table of all live shards, and a commit file with the manifest's name. The commit file is
 written aside, whole, and then renamed to its number without overwriting, so a number appears with its content or not at all,
 and only one writer gets it. A writer lost before the rename leaves files that no version lists; `vacuum` finds them by listing
-the store. Readers keep the version that they opened. The driver holds one row for each run, never one for each shard.
+the store. Readers keep the version that they opened. The driver holds one row for each run, and of a commit's new runs the
+names and sizes of their shards, as it lists them.
 
 Defined results: rows are stored as they are, nulls, empty and long texts and repeated rows included; an arrival
 without rows adds no shard; committing on an outdated version raises CommitConflict, leaves the store as it was and deletes
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -170,13 +171,19 @@ class ShardStore:
     def vacuum(self, keep: int = 1, grace_s: float = GRACE_S) -> int:
         """Deletes runs that none of the last `keep` versions lists, whether an older one does or no commit ever did; gives their number.
 
-        What no commit lists is left alone for grace_s, as its writer may be about to commit.
+        What no commit lists is left alone for grace_s, as its writer may be about to commit. The manifests of older versions go too, so these can't be read any
+        more, and commit files that never got a number. All manifests are read by one job.
         """
         current = self.version()
-        last = range(max(1, current - keep + 1), current + 1)
-        used = {r.run for v in last for r in self.runs(v)}
-        known = {r.run for v in range(1, current + 1) for r in self.runs(v)} if grace_s else set()
+        held = {s.getPath().getName() for s in self._listed("manifests")}
+        names = {v: name for v in range(1, current + 1) if (name := self._committed(v)[0]) in held}
+        last = {names[v] for v in names if v > current - keep}
+        listed = self._runs_of(names.values())
+        used, known = {r for name in last for r in listed.get(name, ())}, {r for runs in listed.values() for r in runs}
         newest = self.spark._jvm.System.currentTimeMillis() - 1000 * grace_s
+        for status in self._listed("aside"):
+            if status.getModificationTime() <= newest:
+                self._fs.delete(status.getPath(), False)
         gone = 0
         for status in self._listed():
             top = status.getPath().getName()
@@ -189,8 +196,19 @@ class ShardStore:
                     gone += 1
             if folders != [top] and not any(s.isDirectory() for s in self._listed(top)):  # all its arrivals are gone
                 self._fs.delete(self._path(top), True)
+        for name in set(names.values()) - last:
+            self._fs.delete(self._path("manifests", name), True)
         return gone
 
+    def _runs_of(self, names: Iterable[str]) -> dict[str, list[str]]:
+        """The runs that each manifest lists."""
+        paths = [f"{self.path}/manifests/{name}" for name in names]
+        if not paths:
+            return {}
+        of = F.regexp_extract(F.col("_metadata.file_path"), r"manifests/([0-9a-f]+)/", 1)
+        each = self.spark.read.schema(MANIFEST).parquet(*paths).groupBy(of.alias("name")).agg(F.collect_set("run").alias("runs"))
+        return {r.name: r.runs for r in each.collect()}
+
     # --- reading
 
     def _read(self, runs: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -207,6 +208,72 @@ def test_sharding(spark, docs):
     assert sorted((r.doc_id, r.text_crc32) for r in rows) == sorted((i, zlib.crc32((t or "").encode())) for i, t in TEXTS)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_tiers_against_a_plain_simulation(spark, monkeypatch, seed):
+    """Which runs merge, what they become, and how often a byte is written, for arrivals of many sizes."""
+    rng, target, least, fanout = random.Random(seed), 1 << 20, 1 << 12, 3
+    store = sharding.ShardStore(spark, "file:///nowhere", target, fanout, least)
+    live, merges = [], []
+
+    def merge(runs):
+        whole = sum(r.bytes for r in runs)
+        merges.append(sorted(r.bytes for r in runs))
+        return [sharding.Run(f"m{len(merges)}", whole, max(1, round(whole / target)), store.tier(whole))]
+
+    def commit(_, new, gone=()):
+        live[:] = [r for r in live if r not in gone] + new
+        return 1
+
+    for name, fake in (("version", lambda: 1), ("runs", lambda *_: list(live)), ("_merge", merge), ("commit", commit)):
+        monkeypatch.setattr(store, name, fake)
+    plain: list[tuple[int, int]] = []  # bytes and shards
+    expected, written, arrived = [], 0, 0
+    for i in range(120):
+        n = int(2 ** rng.uniform(8, 21))
+        arrived += n
+        live.append(sharding.Run(f"r{i}", n, 1, store.tier(n)))
+        store.compact()
+        plain.append((n, 1))
+        while True:
+            tiers = collections.defaultdict(list)
+            for b, k in plain:
+                level = 0
+                while b > least * fanout**level:
+                    level += 1
+                if b / k < target / 2:
+                    tiers[level if b > least else 0].append((b, k))
+            full = [t for t in sorted(tiers) if len(tiers[t]) >= fanout]
+            if not full:
+                break
+            together = tiers[full[0]]
+            for run in together:
+                plain.remove(run)
+            whole = sum(b for b, _ in together)
+            plain.append((whole, max(1, round(whole / target))))
+            expected.append(sorted(b for b, _ in together))
+            written += whole
+    assert [sorted(m) for m in merges] == expected and sorted((r.bytes, r.shards) for r in live) == sorted(plain) and len(expected) > 10
+    assert sum(r.bytes for r in live) == arrived and written / arrived <= 1 + np.log(target / least) / np.log(fanout)
+    small = collections.Counter(r.tier for r in live if r.bytes / r.shards < target / 2)
+    assert all(n < fanout for n in small.values())
+
+
+def test_vacuum_keeps_what_versions_list(spark, docs):
+    """Runs, manifests and commit files that no kept version needs go; what they list stays readable."""
+    store = sharding.ShardStore(spark, new_path(spark, "store"), 1 << 20, 4, 1 << 10)
+    for _ in range(5):
+        store.append(docs)
+    store.compact()
+    whole, before = store.read().count(), store.version()
+    assert store.vacuum(keep=2) == 0 and store.read(before - 1).count() == whole  # the version before the merge lists its runs
+    store.append(docs)
+    assert store.vacuum(keep=1) >= 4 and store.read().count() == whole + len(TEXTS)
+    assert len(store._listed("manifests")) == 1
+    store._fs.create(store._path("aside", "lost")).close()
+    assert store.vacuum() == 0 and len(store._listed("aside")) == 1
+    assert store.vacuum(grace_s=0) == 0 and not store._listed("aside") and store.read().count() == whole + len(TEXTS)
+
+
 def test_a_lost_writer_leaves_the_store_readable(spark, docs, monkeypatch):
     """A writer that dies before or in the rename, or loses the number to another, leaves the last version as it was."""
     store = sharding.ShardStore(spark, new_path(spark, "store"), 1 << 20, 4, 1 << 10)
