@@ -88,6 +88,11 @@ def option_set(keys: Column) -> Column:
     return F.array_sort(F.array_distinct(keys))
 
 
+def options_left(keys: Column, used: Column) -> Column:
+    """The options that aren't used, as a set."""
+    return F.array_sort(F.array_except(keys, F.coalesce(used, F.array().cast("array<string>"))))
+
+
 def shared_prefix(rows: Column) -> Column:
     """Length of the longest common prefix of arrays, leaving each at least one element."""
     shortest = F.array_min(F.transform(rows, F.size)) - 1

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decidra.functions.text import options_left
 from decidra.operators import decisions as D
 from decidra.operators import builders, fixtures, public_tasks, replay, slices, traces
 from decidra.plans.decisions import V_ANSWERS, decided
@@ -12,7 +15,8 @@ from decidra.plans.registry import query, table
 from decidra.plans.scoring import rounded
 from decidra.plans.views import with_views
 from decidra.sources import io
-from decidra.streaming import routing
+from decidra.sources.staging import shared_dir
+from decidra.streaming import answers, routing
 
 GOLD = "CASE event_type WHEN 'click' THEN 'CLICK' WHEN 'view' THEN 'OPEN' WHEN 'signup' THEN 'TYPE_TEXT' WHEN 'purchase' THEN 'DONE' ELSE 'ASK' END"
 
@@ -140,3 +144,54 @@ def echoed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {"benchmark": table(spark, sf_dir, "benchmark").withColumn("at", F.col("item_id")), "documents": table(spark, sf_dir, "documents").withColumn("at", F.col("doc_id"))}
     return io.concatenated(parts, "at").groupBy("source_name", "source_ord").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+
+
+#: A request's key has as many values as a server's memory can't hold; a repeat is a hit if fewer other keys than it holds came in between.
+@query("cached_answers", """
+  WITH r AS (SELECT event_id, 's' || user_id % 6 AS server, event_type || '/' || (props->>'$.k')::INT % 40 AS key FROM events
+  ), n AS (SELECT *, lag(event_id) OVER (PARTITION BY server, key ORDER BY event_id) AS before FROM r
+  ), b AS (SELECT n.event_id, count(DISTINCT r.key) AS others FROM n JOIN r ON r.server = n.server AND r.event_id > n.before AND r.event_id < n.event_id GROUP BY n.event_id)
+  SELECT n.event_id, server, before IS NOT NULL AND coalesce(others, 0) < 64 AS hit, 'answer to ' || key AS answer FROM n LEFT JOIN b USING (event_id)""")
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of six servers, as a stream whose state answers repeats."""
+    e = table(spark, sf_dir, "events")
+    key = F.concat("event_type", F.lit("/"), (F.get_json_object("props", "$.k").cast("int") % 40).cast("string"))
+    rows = e.select(F.concat(F.lit("s"), (F.col("user_id") % 6).cast("string")).alias("server"), F.col("event_id").cast("string").alias("request_id"), F.col("event_id").alias("ord"), key.alias("key"), key.alias("payload"))
+    at = f"{shared_dir(spark)}/decidra/cached-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{at}/requests")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/requests")
+    with answers.map_states(spark):
+        made = answers.answered(stream, lambda payload: f"answer to {payload}").writeStream.format("parquet").option("path", f"{at}/answers").option("checkpointLocation", f"{at}/checkpoint")
+        made.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(answers.OUT).parquet(f"{at}/answers").select(F.col("ord").alias("event_id"), "server", "hit", "answer")
+
+
+@query("unused_options", "SELECT conv_id, array_to_string(list_sort(list_filter(['assistant', 'system', 'user'], lambda r: NOT list_contains(list(role), r))), ',') AS left_over FROM conversations GROUP BY conv_id")
+def unused_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("used"))
+    return used.select("conv_id", F.array_join(options_left(F.array(*map(F.lit, ("user", "system", "assistant"))), F.col("used")), ",").alias("left_over"))
+
+
+RUNS = """SELECT id FROM (SELECT id, session, row_number() OVER (PARTITION BY session ORDER BY step) - 1 AS rn FROM i) JOIN (
+      SELECT session, start, least(take, {n} - (upto - take)) AS take FROM (SELECT *, sum(take) OVER (ORDER BY turn, session ROWS UNBOUNDED PRECEDING) AS upto FROM (
+        SELECT session, least(count(*), 8) AS take, ('0x' || md5('16:{name}:turn:' || session)[1:8])::BIGINT AS turn, ('0x' || md5('16:{name}:start:' || session)[1:8])::BIGINT % (count(*) - least(count(*), 8) + 1) AS start FROM i GROUP BY session)) WHERE upto - take < {n}
+    ) USING (session) WHERE rn BETWEEN start AND start + take - 1"""
+SCENES = """SELECT id FROM i JOIN (SELECT session FROM (SELECT DISTINCT session FROM i WHERE kind = '{first}') ORDER BY ('0x' || md5('16:{first}|' || session)[1:8])::BIGINT, session LIMIT {n}) USING (session) WHERE kind IN ({kinds})"""
+
+
+@query("replay_sets", f"""WITH i AS (SELECT 'chat/' || conv_id || '/' || turn AS id, 'chat/' || conv_id AS session, turn AS step, role AS kind FROM conversations)
+  SELECT 'gym' AS name, id FROM ({RUNS.format(name='gym', n=300)}) UNION ALL SELECT 'text', id FROM ({RUNS.format(name='text', n=30)}) UNION ALL
+  SELECT 'pairs', id FROM i WHERE session IN (SELECT session FROM i GROUP BY session HAVING count(*) >= 2 ORDER BY ('0x' || md5('16:pairs|' || session)[1:8])::BIGINT, session LIMIT 14) UNION ALL
+  SELECT 'large', id FROM (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ('0x' || md5('16:large|' || id)[1:8])::BIGINT, id) AS turn FROM i WHERE kind = 'user') ORDER BY turn, session, id LIMIT 30) UNION ALL
+  SELECT 'ambiguity', id FROM ({SCENES.format(first='system', n=15, kinds="'system', 'user'")}) UNION ALL SELECT 'ambiguity', id FROM ({SCENES.format(first='assistant', n=10, kinds="'assistant'")})""")
+def replay_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sets of conversations' turns, written with their manifest and read back by it."""
+    part = F.concat(F.lit("chat/"), F.col("conv_id").cast("string"))
+    items = table(spark, sf_dir, "conversations").select(F.concat(part, F.lit("/"), F.col("turn").cast("string")).alias("id"), part.alias("session"), F.col("turn").alias("step"), F.col("role").alias("kind"))
+    pools = dict.fromkeys(("gym", "pairs", "ambiguity", "text"), items) | {"large": items.filter("kind = 'user'")}
+    sets = fixtures.replay_sets(pools, "kind", {"system": (15, ["system", "user"]), "assistant": (10, ["assistant"])}, "16")
+    root = f"{shared_dir(spark)}/decidra/sets-{uuid.uuid4().hex}"
+    lines = {name: rows.select("id", F.to_json(F.struct("id", "session", "kind")).alias("value")) for name, rows in sets.items()}
+    made = fixtures.write_sets(lines, root, {name: {"visibility": "public"} for name in lines}, name="replay", version="1")
+    rows, _ = io.checked_fixtures(spark, root, [s | {"ord": i} for i, s in enumerate(made["sets"])])
+    return rows.select(F.col("set").alias("name"), F.get_json_object("value", "$.id").alias("id"))

@@ -296,10 +296,9 @@ def predictor(spec: str, kinds: tuple[str, ...] | None = None) -> dict[str, str]
     return {k: v for k, v in found.items() if v}
 
 
-def from_manifest(path: str, default: float = 0.94) -> float:
-    """The routing threshold in a model's manifest, or the default."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            return float(json.load(f)["threshold"])
-    except (OSError, KeyError, TypeError, ValueError):
+def from_manifest(spark: SparkSession, path: str, default: float = 0.94) -> float:
+    """The routing threshold in a model's manifest, or the default where there is none, or no manifest."""
+    if not _exists(spark, path):
         return default
+    found = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.threshold").try_cast("double")).first()
+    return default if found is None or found[0] is None else found[0]

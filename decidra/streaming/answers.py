@@ -13,15 +13,17 @@ micro-batch: give it a processing time, or once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: The state store that map states with ageing need.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
 KEEP = 64
 OUT = "server string, request_id string, ord long, key string, answer string, hit boolean, error string"
 NO_KEY = "\x00null"
@@ -77,6 +79,17 @@ class AnswerCache(StatefulProcessor):
         pass
 
 
+@contextmanager
+def map_states(spark: SparkSession) -> Iterator[None]:
+    """A store that keeps map states, for the queries that start and end inside."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
+
 def answered(requests: DataFrame, predict: Callable[[str], str], size: int = KEEP, ttl_ms: int | None = None) -> DataFrame:
     """OUT for a stream of requests (server, request_id, ord, key, payload); predict gives a payload's answer."""
     return (
