@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.llm._common import U64, batch_rows, drop, join_by_key, join_dealt, lean, mix64, release, stage
+from decidra.llm._common import BROADCAST_ROWS, U64, batch_rows, drop, join_by_key, join_dealt, lean, mix64, release, stage
 from decidra.llm._shingles import shingle_sets
 from decidra.llm.components import components
 
@@ -254,7 +254,8 @@ def _degrees(sets: DataFrame, placed: DataFrame, t: Threshold) -> DataFrame:
     members = sets.join(placed.withColumnRenamed("node", "doc_id"), "doc_id")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_TOKENS)).cast("int")
     large, large_at = stage(members.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"), "large-components")  # one for BLOCK_ROWS members or BLOCK_TOKENS tokens at most
-    dealt = members.join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    few = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    dealt = members.join(few, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # one key in one column: blocks of a component must not meet in one task
     pair = F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
