@@ -15,6 +15,7 @@ from decidra.sources.staging import staged
 
 BROADCAST_GRAMS = 2_000_000
 BITS, MOST_WORDS = 16, 1 << 19  # of the filter: for each gram, and words at most (4 MB)
+HEAD = 3  # tokens of a gram that are looked up first
 #: A benchmark item is flagged from this share of its grams, or this many of them in one training item.
 FLAG_SHARE, FLAG_COUNT = 0.05, 20
 
@@ -43,8 +44,10 @@ def _probes(h: Column) -> list[Column]:
 
 
 def bloom_words(grams: DataFrame, n: int, words: int) -> Column:
-    """The filter of (gram) as one array of 64-bit words, which is a scalar subquery: `words` bounds its size."""
-    hashes = grams.select(F.xxhash64(F.split("gram", " ")).alias("h")).select(F.explode(F.array(*_probes(F.col("h")))).alias("h"))
+    """The filter of (gram), and of each one's first HEAD tokens, as one array of 64-bit words, which is a scalar subquery: `words` bounds its size."""
+    begun = F.split("gram", " ")
+    both = F.array(F.xxhash64(begun), F.xxhash64(*(F.get(begun, F.lit(i)) for i in range(HEAD))))
+    hashes = grams.select(F.explode(both).alias("h")).select(F.explode(F.array(*_probes(F.col("h")))).alias("h"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(words - 1).cast("int").alias("word")
     bits = hashes.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
     every = grams.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
@@ -62,7 +65,11 @@ def maybe_shared(text: Column, bloom: Column, words: int, n: int = 13) -> Column
             fine = fine & (F.call_function("bit_get", F.get(held, at), probe.bitwiseAND(63).cast("int")) == 1)
         return fine
 
-    made = lambda w, held: F.transform(F.filter(_starts(w, n), lambda i: passes(held, F.xxhash64(F.slice(w, i, n)))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    # most places fall by their first tokens, which cost no array; each hash is made once, not once for each probe
+    heads = lambda w: F.transform(_starts(w, n), lambda i: F.struct(i.alias("i"), F.xxhash64(*(F.get(w, i + j - 1) for j in range(HEAD))).alias("h")))
+    likely = lambda w, held: F.filter(heads(w), lambda x: passes(held, x["h"]))
+    hashed = lambda w, held: F.transform(likely(w, held), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(F.slice(w, x["i"], n)).alias("h")))
+    made = lambda w, held: F.transform(F.filter(hashed(w, held), lambda x: passes(held, x["h"])), lambda x: F.array_join(F.slice(w, x["i"], n), " "))
     return let(tokens(text), lambda w: F.array_distinct(made(w, bloom)))
 
 
@@ -70,7 +77,7 @@ def maybe_grams(bench: DataFrame, corpus: DataFrame, n: int = 13) -> tuple[DataF
     """(the benchmark's grams, staged: item_id, gram; the corpus's that may be among them: doc_id, gram; how many the first are)."""
     wanted = staged(grams_of(bench, "item_id", "text", n))
     count = wanted.count()
-    words = _words(count)
+    words = _words(2 * count)
     bloom = bloom_words(wanted, n, words)
     held = corpus.select("doc_id", "text").withColumn("_bloom", bloom)  # a subquery can't stand inside an array's lambda itself
     return wanted, held.select("doc_id", F.explode(maybe_shared(F.col("text"), F.col("_bloom"), words, n)).alias("gram")), count

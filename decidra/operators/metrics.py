@@ -44,28 +44,29 @@ def _cell(place: Column, n: int | Column) -> Column:
     return F.least(F.greatest(F.floor(place * n), F.lit(0)), n - 1).cast("long")
 
 
-def with_paths(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """rows with `_path`, which grows with their order (confidence falling, then ord): no path has more than about `most` rows.
+def with_paths(rows: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame, bool]:
+    """(rows with `_path`, whether there are several). A path grows with the rows' order (confidence falling, then ord): none has more than about `most` rows.
 
     Cells of equal widths of the confidence are counted. A cell with too many rows is cut by the confidences it has, and one that has a
     single confidence by ord, until none has too many. Only such cells are broadcast: rows / most of them, at most.
     """
     n = rows.count()
-    first = min(max(1, -(-4 * n // most)), 1 << 16) if n > most else 1
+    if n <= most:
+        return rows.withColumn("_path", F.lit(0).cast("long")), False
+    first = min(-(-4 * n // most), 1 << 16)
     out = rows.withColumn("_path", first - 1 - _cell(F.col("confidence"), first))
-    while n > most:
+    while True:
         sides = (F.min("confidence").alias("_c0"), F.max("confidence").alias("_c1"), F.min("ord").alias("_o0"), F.max("ord").alias("_o1"))
         cells = out.groupBy("_path").agg(F.count("*").alias("_m"), *sides).filter((F.col("_m") > most) & ((F.col("_c0") < F.col("_c1")) | (F.col("_o0") < F.col("_o1"))))
         heavy = staged(cells)
         if heavy.isEmpty():
-            break
+            return out, True
         out = staged(out).join(F.broadcast(heavy), "_path", "left")
         by_ord = F.col("_c0") == F.col("_c1")
         falling = (F.col("_c1") - F.col("confidence")) / (F.col("_c1") - F.col("_c0"))
         rising = (F.col("ord") - F.col("_o0")) / (F.col("_o1") - F.col("_o0")).cast("double")
         part = F.when(F.col("_m").isNull(), 0).otherwise(_cell(F.when(by_ord, rising).otherwise(falling), F.least(F.lit(CUTS), F.ceil(4 * F.col("_m") / most))))
         out = out.withColumn("_path", F.col("_path") * CUTS + part).drop("_m", "_c0", "_c1", "_o0", "_o1")
-    return out
 
 
 def ranked(pairs: DataFrame, levels: list[list[str]], most: int = MOST_ROWS) -> DataFrame:
@@ -75,7 +76,15 @@ def ranked(pairs: DataFrame, levels: list[list[str]], most: int = MOST_ROWS) ->
     one more row, the first of its window, so no window reaches over more than a path.
     """
     names = sorted({c for level in levels for c in level})
-    rows = staged(with_paths(pairs.filter("answered").select(*names, "confidence", "ord", "correct"), most))
+    rows, several = with_paths(pairs.filter("answered").select(*names, "confidence", "ord", "correct"), most)
+    if not several:  # the windows are within the bound as they are
+        out = rows.coalesce(1)
+        for i, level in enumerate(levels):
+            group = Window.partitionBy(*level)
+            upto = group.orderBy(F.desc("confidence"), "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            out = out.withColumns({f"rn_{i}": F.count("*").over(upto), f"errors_{i}": F.sum(1 - F.col("correct")).over(upto), f"n_{i}": F.count("*").over(group)})
+        return out.drop("_path")
+    rows = staged(rows)
     cells = staged(rows.groupBy("_path", *names).agg(F.count("*").alias("_n"), F.sum(1 - F.col("correct")).alias("_e")))
     whole = rows
     for i, level in enumerate(levels):

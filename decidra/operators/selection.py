@@ -1,6 +1,6 @@
 """Exact order statistics of any number of values, with a few thousand counters for each group.
 
-Values are counted in buckets of a histogram: first by a fixed scale of magnitudes, then, inside the bucket that holds a wanted
+Values are counted in buckets of a histogram: first by a fixed scale of magnitudes (some 300 buckets for a factor of ten), then, inside the bucket that holds a wanted
 place, by equal widths between its least and its greatest value, until that bucket has one value. A bucket is a
 monotone function of the value, so the count of what lies below is exact; every pass sums counters map-side and shuffles
 counters only. Two passes do for values of one magnitude, three for a billion of them.
@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from decidra.sources.staging import staged
 
 BUCKETS = 4096
-SCALE = 1024.0  # how finely magnitudes around 1 are told apart
+SCALE, FINE = 1024.0, 128  # below 1 / SCALE magnitudes run together; buckets of a factor of e
 MOST_TARGETS = 500_000  # ranges that are broadcast
 
 
@@ -31,9 +31,9 @@ def floor_index(q: float) -> Column:
 
 def _magnitude(v: Column) -> Column:
     """A bucket by magnitude and sign, alike for all tables: it never falls as v rises."""
-    steps = F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300)) * SCALE) * (BUCKETS / 1500.0))
-    steps = F.when(F.abs(v) == float("inf"), BUCKETS).otherwise(steps)
-    return F.when(F.isnan(v), BUCKETS + 1).otherwise(F.when(v < 0, -steps).otherwise(steps)).cast("int")
+    steps = F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300)) * SCALE) * FINE)
+    steps = F.when(F.abs(v) == float("inf"), 750 * FINE).otherwise(steps)
+    return F.when(F.isnan(v), 750 * FINE + 1).otherwise(F.when(v < 0, -steps).otherwise(steps)).cast("int")
 
 
 def _place(v: Column, lo: Column, hi: Column) -> Column:
@@ -50,7 +50,7 @@ def select(values: DataFrame, wanted: dict[str, Column]) -> DataFrame:
     wanted: tag -> the place, from 1, as a column of n.
     """
     counted = values.groupBy("g", _magnitude(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    cells, left = staged(counted), None
+    cells, left = counted, None
     found = None
     while True:
         below = Window.partitionBy(*(["g"] if left is None else ["g", "tag"])).orderBy("b")
@@ -75,7 +75,7 @@ def select(values: DataFrame, wanted: dict[str, Column]) -> DataFrame:
         ranges = F.broadcast(left) if n <= MOST_TARGETS else left
         inside = values.join(ranges, "g").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         bucket = _place(F.col("v"), F.col("lo"), F.col("hi"))
-        cells = staged(inside.groupBy("g", "tag", bucket.alias("b")).agg(F.count("*").alias("c"), F.first("k").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        cells = inside.groupBy("g", "tag", bucket.alias("b")).agg(F.count("*").alias("c"), F.first("k").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
 def percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, str, float]]) -> DataFrame:
@@ -97,7 +97,7 @@ def percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, s
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))
     key = F.struct(*(F.col(k).alias(k) for k in keys), F.lit(0).alias("_"))
     long = rows.select(key.alias("key"), each.alias("e")).filter(F.col("e.v").isNotNull()).select(F.struct("key", F.col("e.column").alias("column")).alias("g"), F.col("e.v").alias("v"))
-    got = select(long, tags)
+    got = select(staged(long), tags)
     right = F.lit(False)
     for tag, column in of.items():
         right = right | ((F.col("tag") == tag) & (F.col("g.column") == column))

@@ -144,12 +144,13 @@ def _first_anchors(stream: DataFrame) -> DataFrame:
 
 
 def _web_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One step for each page, whose target is its first anchor, and the pages' streams."""
+    """One step for each page, whose target is its first anchor, and the pages' streams. Every 5th step's target isn't on its page, every 7th has none."""
     stream = pages.page_stream(table(spark, sf_dir, "pages"))
     before = F.transform(F.sequence(F.lit(1).cast("long"), F.col("page_id") % 7 + 1), lambda i: F.concat(F.lit("step "), i.cast("string")))
     steps = table(spark, sf_dir, "pages").join(_first_anchors(stream), "page_id", "left").select(
-        F.col("page_id").alias("step_id"), F.regexp_extract("url", "://([^/]+)", 1).alias("website"), F.concat(F.lit("Open link "), "page_id").alias("goal"), before.alias("history"), "node"
-    )
+        F.col("page_id").alias("step_id"), F.regexp_extract("url", "://([^/]+)", 1).alias("website"), F.concat(F.lit("Open link "), "page_id").alias("goal"), before.alias("history"),
+        F.when(F.col("page_id") % 5 == 0, "elsewhere").when(F.col("page_id") % 7 > 0, F.col("node")).alias("node"),
+    )
     return steps, stream.withColumnRenamed("page_id", "step_id")
 
 
@@ -158,7 +159,7 @@ def web_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.web_items(*_web_steps(spark, sf_dir))[0]
 
 
-@query("web_items_skipped")
+@query("web_items_skipped", "SELECT 'no_target' AS skipped, count(*) AS n FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0")
 def web_items_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.web_items(*_web_steps(spark, sf_dir))[1]
 

@@ -267,7 +267,7 @@ def test_ranks_of_all_levels_in_bounded_windows(spark, most):
     rows = [(rng.randint(1, 2), rng.choice([None, "a", "b", "c"]), i, i % 50 > 0, rng.choice([0.0, 0.5, 1.0]), 1.0 if rng.random() < 0.7 else rng.random()) for i in range(6000)]
     df = spark.createDataFrame(rows, "run int, grp string, ord long, answered boolean, correct double, confidence double")
     kept = [r for r in rows if r[3]]
-    paths = [r.n for r in metrics.with_paths(df.filter("answered"), most).groupBy("_path").agg(F.count("*").alias("n")).collect()]
+    paths = [r.n for r in metrics.with_paths(df.filter("answered"), most)[0].groupBy("_path").agg(F.count("*").alias("n")).collect()]
     assert sum(paths) == len(kept) and max(paths) <= most
     levels = [["run"], ["run", "grp"], []]
     out = metrics.ranked(df, levels, most)
