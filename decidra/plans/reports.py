@@ -157,13 +157,8 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     key = F.concat("event_type", F.lit("/"), (F.get_json_object("props", "$.k").cast("int") % 40).cast("string"))
     rows = e.select(F.concat(F.lit("s"), (F.col("user_id") % 6).cast("string")).alias("server"), F.col("event_id").cast("string").alias("request_id"), F.col("event_id").alias("ord"), key.alias("key"), key.alias("payload"))
-    at = f"{shared_dir(spark)}/decidra/cached-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{at}/requests")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/requests")
-    with answers.map_states(spark):
-        made = answers.answered(stream, lambda payload: f"answer to {payload}").writeStream.format("parquet").option("path", f"{at}/answers").option("checkpointLocation", f"{at}/checkpoint")
-        made.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(answers.OUT).parquet(f"{at}/answers").select(F.col("ord").alias("event_id"), "server", "hit", "answer")
+    made = answers.answered_table(rows, lambda payload: f"answer to {payload}", f"{shared_dir(spark)}/decidra/cached-{uuid.uuid4().hex}")
+    return made.select(F.col("ord").alias("event_id"), "server", "hit", "answer")
 
 
 @query("unused_options", "SELECT conv_id, array_to_string(list_sort(list_filter(['assistant', 'system', 'user'], lambda r: NOT list_contains(list(role), r))), ',') AS left_over FROM conversations GROUP BY conv_id")

@@ -79,6 +79,32 @@ def test_repeats_are_answered_from_the_state(store, tmp_path):
     assert any(hit and answer.endswith("-0") for ident, (answer, hit, _) in got.items() if ident.startswith("r1"))
 
 
+def test_a_batch_writes_its_last_keys_not_its_requests(store, tmp_path):
+    """Thousands of requests of a server are a few changes of its state, and a batch of one server comes in order from all files."""
+    rng = random.Random(6)
+    rows = [("x", f"r{i:04}", i, f"k{rng.randrange(12)}", f"p{i}") for i in range(4000)]
+    mixed = rng.sample(rows, len(rows))
+    store.createDataFrame(mixed, REQUESTS).repartition(3).write.json(f"{tmp_path}/in")
+    stream = store.readStream.schema(REQUESTS).json(f"{tmp_path}/in")
+    query = A.answered(stream, predictor(), 8).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) <= 2 * 8 + 1
+    got = {r.request_id: (r.answer, r.hit, r.error) for r in store.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == simulated([rows], 8)
+
+
+@pytest.mark.parametrize(("piece", "parts"), [(70, 3), (1000, None)])
+def test_a_table_is_answered_in_pieces(spark, tmp_path, piece, parts):
+    """The state goes on from piece to piece; requests of one place are cut between pieces by their identity."""
+    rng = random.Random(7)
+    keys = [None, "bad", *(f"k{n}" for n in range(6))]
+    rows = [(rng.choice("xy"), f"r{i:03}", i // 50, key, f"{key or 'none'}-{i}") for i in range(200) for key in [rng.choice(keys)]]
+    table = spark.createDataFrame(rng.sample(rows, len(rows)), REQUESTS).repartition(4)
+    found = A.answered_table(table, predictor(), f"file://{tmp_path}/at", 3, piece).collect()
+    assert {r.request_id: (r.answer, r.hit, r.error) for r in found} == simulated([rows], 3) and len(found) == len(rows)
+    assert len(list(tmp_path.glob("at/pieces/piece=*"))) == (parts or 0)
+
+
 def test_answers_age_out(store, tmp_path):
     for i in range(2):
         store.createDataFrame([("x", f"r{i}", i, "k", f"p{i}")], REQUESTS).write.mode("append").json(f"{tmp_path}/in")
